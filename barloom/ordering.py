@@ -56,3 +56,52 @@ def series(keys: Sequence[str], order: Sequence[str]) -> "Window":
 def full(value: Column, count_of: Column, window, n: int) -> Column:
     """``value`` where the frame holds ``n`` non-null inputs, else null."""
     return F.when(F.count(count_of).over(window) == n, value)
+
+
+def running(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], specs: dict[str, tuple[str, Column | str]], inclusive: bool = True, cell_us: int = HOUR_US * 6) -> DataFrame:
+    """Adds running aggregates along each series: ``specs`` maps an output to ('sum' | 'max' | 'min' | 'last' | 'count', column); 'last' is the last
+    non-null value. They run inside (keys, calendar cell) and are carried over cells by the cells' own aggregates.
+    ``inclusive=False`` ends before the row itself, so ('last', x) is the previous non-null x."""
+    whole = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count, "last": lambda c: F.last(c, ignorenulls=True)}
+    cell = F.floor(F.unix_micros(ts) / F.lit(cell_us)) if dict(df.dtypes)[ts].startswith("timestamp") else F.floor(F.col(ts) / F.lit(cell_us))
+    inputs = {f"_in_{o}": (F.col(c) if isinstance(c, str) else c) for o, (_, c) in specs.items()}
+    rows = df.withColumn("_cell", cell).withColumns(inputs)
+    by_cell = [*keys, "_cell"]
+    here = Window.partitionBy(*by_cell).orderBy(ts, *tie)
+    frame = here.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    rows = rows.withColumns({f"_run_{o}": whole[f](f"_in_{o}").over(frame) for o, (f, _) in specs.items()})
+    order = F.struct(ts, *tie)
+
+    def total(o: str, f: str) -> Column:
+        return F.max(F.when(F.col(f"_in_{o}").isNotNull(), F.struct(order.alias("o"), F.col(f"_in_{o}").alias("v"))))["v"] if f == "last" else whole[f](f"_in_{o}")
+
+    cells = rows.groupBy(*by_cell).agg(*[total(o, f).alias(f"_cell_{o}") for o, (f, _) in specs.items()])
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    carry = {"count": F.sum}
+    cells = cells.select(*by_cell, *[carry.get(f, whole[f])(f"_cell_{o}").over(before).alias(f"_carry_{o}") for o, (f, _) in specs.items()])
+    l, r = rows.alias("l"), cells.alias("r")
+    joined = l.join(r, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by_cell], "inner")
+
+    def merged(o: str, f: str) -> Column:
+        a, b = F.col(f"l._run_{o}"), F.col(f"r._carry_{o}")
+        if f in ("sum", "count"):
+            return F.coalesce(a + b, a, b)
+        if f == "last":
+            return F.coalesce(a, b)
+        return F.greatest(a, b) if f == "max" else F.least(a, b)
+
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], *[merged(o, f).alias(o) for o, (f, _) in specs.items()])
+
+
+def blocked(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], halo: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Position and blocks at once. Window functions over ``block_window(keys)`` that look no further than ``halo`` rows are exact
+    on the rows with ``_core``; finish with ``core``."""
+    return in_blocks(with_position(df, keys, ts, tie), halo, block_rows=max(block_rows, 4 * halo))
+
+
+def block_window(keys: Sequence[str]):
+    return Window.partitionBy(*keys, "_block").orderBy("_pos")
+
+
+def core(df: DataFrame) -> DataFrame:
+    return df.where("_core").drop("_block", "_core", "_pos")

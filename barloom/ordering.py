@@ -49,15 +49,6 @@ def in_blocks(df: DataFrame, halo: int, pos: str = "_pos", block_rows: int = BLO
     return out.withColumn("_core", F.col("_block") == own)
 
 
-def series(keys: Sequence[str], order: Sequence[str]) -> "Window":
-    return Window.partitionBy(*keys).orderBy(*order)
-
-
-def full(value: Column, count_of: Column, window, n: int) -> Column:
-    """``value`` where the frame holds ``n`` non-null inputs, else null."""
-    return F.when(F.count(count_of).over(window) == n, value)
-
-
 def running(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], specs: dict[str, tuple[str, Column | str]], inclusive: bool = True, cell_us: int = HOUR_US * 6) -> DataFrame:
     """Adds running aggregates along each series: ``specs`` maps an output to ('sum' | 'max' | 'min' | 'last' | 'count', column); 'last' is the last
     non-null value. They run inside (keys, calendar cell) and are carried over cells by the cells' own aggregates.
@@ -93,10 +84,10 @@ def running(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], spe
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], *[merged(o, f).alias(o) for o, (f, _) in specs.items()])
 
 
-def blocked(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], halo: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def blocked(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], halo: int, block_rows: int = BLOCK_ROWS, cell_us: int = HOUR_US * 6) -> DataFrame:
     """Position and blocks at once. Window functions over ``block_window(keys)`` that look no further than ``halo`` rows are exact
     on the rows with ``_core``; finish with ``core``."""
-    return in_blocks(with_position(df, keys, ts, tie), halo, block_rows=max(block_rows, 4 * halo))
+    return in_blocks(with_position(df, keys, ts, tie, cell_us), halo, block_rows=max(block_rows, 4 * halo))
 
 
 def block_window(keys: Sequence[str]):
@@ -105,3 +96,48 @@ def block_window(keys: Sequence[str]):
 
 def core(df: DataFrame) -> DataFrame:
     return df.where("_core").drop("_block", "_core", "_pos")
+
+
+class Staged:
+    """Columns over one window, added in stages (a window function can't hold another). All stages share one shuffle and sort."""
+
+    def __init__(self, df: DataFrame, window) -> None:
+        self.df, self.w = df, window
+
+    @classmethod
+    def over(cls, df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = (), halo: int = 100, cell_us: int = HOUR_US * 6) -> "Staged":
+        """Blocks with ``halo`` rows of the neighbours; end with ``rows``."""
+        return cls(blocked(df, keys, ts, tie, halo, cell_us=cell_us), block_window(keys))
+
+    def let(self, **columns: Column) -> "Staged":
+        if columns.keys() & {"_pos", "_block", "_core"}:
+            raise ValueError("the series is ordered by that column")
+        self.df = self.df.withColumns(columns)
+        return self
+
+    def lag(self, c: Column | str, n: int = 1) -> Column:
+        return F.lag(c, n).over(self.w)
+
+    def lead(self, c: Column | str, n: int = 1) -> Column:
+        return F.lead(c, n).over(self.w)
+
+    def diff(self, c: str) -> Column:
+        return F.col(c) - self.lag(c)
+
+    def log_return(self, c: str) -> Column:
+        return F.ln(F.col(c) / self.lag(c))
+
+    def roll(self, f, c: Column | str, n: int) -> Column:
+        """``f`` of the last n values; null unless all n are there."""
+        c = F.col(c) if isinstance(c, str) else c
+        frame = self.w.rowsBetween(1 - n, 0)
+        return F.when(F.count(c).over(frame) == n, f(c).over(frame))
+
+    def ahead(self, f, c: Column | str, n: int) -> Column:
+        """``f`` of this and the next n - 1 values; null unless all n are there."""
+        c = F.col(c) if isinstance(c, str) else c
+        frame = self.w.rowsBetween(0, n - 1)
+        return F.when(F.count(c).over(frame) == n, f(c).over(frame))
+
+    def rows(self, *columns: str | Column) -> DataFrame:
+        return self.df.where("_core").select(*columns)

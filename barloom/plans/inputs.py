@@ -31,3 +31,21 @@ def daily(spark: SparkSession, folder: str) -> DataFrame:
     rows = rows.select("instrument", day.alias("day"), F.struct("seq", F.col("Open").alias("o"), F.col("High").alias("h"), F.col("Low").alias("l"), F.col("Close").alias("c"), F.col("Volume").alias("v")).alias("r"))
     best = rows.groupBy("instrument", "day").agg(F.max("r").alias("r"))
     return best.select("instrument", "day", *[F.col(f"r.{x}").alias(x) for x in "ohlcv"]).where("o is not null and h is not null and l is not null and c is not null and v > 0")
+
+
+PRICES_SQL = "prices AS (SELECT instrument, epoch_us(date_time) AS ts, arg_min(close, seq) AS close FROM bars WHERE date_time IS NOT NULL AND close > 0 GROUP BY 1, 2)"
+LABELS_SQL = """labels AS (SELECT instrument, epoch_us(t0) AS t0, epoch_us(max(t1)) AS t1, max(trgt) AS trgt, coalesce(max(side), 1.0) AS side, max(pt) AS pt, max(sl) AS sl
+  FROM triple_barrier_events WHERE trgt IS NOT NULL AND (t1 IS NULL OR t1 >= t0) GROUP BY instrument, t0)"""
+
+
+def prices(spark: SparkSession, folder: str) -> DataFrame:
+    """The bars' closes: instrument, ts (epoch microseconds, unique) and close; of rows with one time the first to arrive."""
+    b = table(spark, folder, "bars").where("date_time is not null and close > 0")
+    return b.groupBy("instrument", F.unix_micros("date_time").alias("ts")).agg(F.min(F.struct("seq", "close"))["close"].alias("close"))
+
+
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Label intervals with a target, one per instrument and start: t0, t1 (epoch microseconds, t1 null where no vertical barrier), trgt, side, pt, sl."""
+    e = table(spark, folder, "triple_barrier_events").where("trgt is not null and t0 is not null and (t1 is null or t1 >= t0)")
+    e = e.groupBy("instrument", F.unix_micros("t0").alias("t0")).agg(F.max(F.unix_micros("t1")).alias("t1"), *[F.max(c).alias(c) for c in ("trgt", "side", "pt", "sl")])
+    return e.withColumn("side", F.coalesce("side", F.lit(1.0)))

@@ -55,6 +55,7 @@ def phase_points(df: DataFrame, keys: Sequence[str], ts: str, tie: str, m: Measu
     x = F.col(m.column).cast("double")
     rows = df.where(F.col(ts).isNotNull() & x.isNotNull() & ~F.isnan(x)).select(*keys, F.unix_micros(ts).alias("_ts"), F.col(tie).alias("_tie"), x.alias("_x"))
     halo = max(m.neighbours or 0, m.stuck) + 2
+    given = rows
     rows = in_blocks(with_position(rows, keys, "_ts", ["_tie"]), halo, block_rows=block_rows)
     w = Window.partitionBy(*keys, "_block").orderBy("_pos")
     log = F.when(F.col("_x") > 0, F.ln("_x"))
@@ -74,7 +75,7 @@ def phase_points(df: DataFrame, keys: Sequence[str], ts: str, tie: str, m: Measu
         step |= {"_before": F.lag("_mid", 1).over(w), "_after": F.lead("_mid", n).over(w)}
     rows = rows.withColumns(step).where("_core")
     if not n:
-        middle = small_side(exact_median(rows, keys, "_x").alias("m"))
+        middle = small_side(materialize(exact_median(given, keys, "_x"), "medians"))
         rows = rows.alias("r").join(middle.alias("m"), _same(keys, "r", "m"), "left").select("r.*", F.col("m.median").alias("_before"), F.col("m.median").alias("_after"))
         v = F.when(F.col("_before") <= 0, F.lit(float("inf"))).when(F.col("_x") > 0, F.ln(F.col("_x") / F.col("_before")))
     else:

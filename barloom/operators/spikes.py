@@ -51,7 +51,7 @@ def _off(x: Column, m: Column) -> Column:
 
 def phase_points(df: DataFrame, keys: Sequence[str], ts: str, tie: str, m: Measure, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per reading: keys, tie, ``_measure``, ``_x``, medians before and after (or the source's median in both),
-    the three coordinates, and whether it is stuck."""
+    both differences, and whether it is stuck."""
     x = F.col(m.column).cast("double")
     rows = df.where(F.col(ts).isNotNull() & x.isNotNull() & ~F.isnan(x)).select(*keys, F.unix_micros(ts).alias("_ts"), F.col(tie).alias("_tie"), x.alias("_x"))
     halo = max(m.neighbours or 0, m.stuck) + 2
@@ -77,11 +77,18 @@ def phase_points(df: DataFrame, keys: Sequence[str], ts: str, tie: str, m: Measu
     if not n:
         middle = small_side(materialize(exact_median(given, keys, "_x"), "medians"))
         rows = rows.alias("r").join(middle.alias("m"), _same(keys, "r", "m"), "left").select("r.*", F.col("m.median").alias("_before"), F.col("m.median").alias("_after"))
-        v = F.when(F.col("_before") <= 0, F.lit(float("inf"))).when(F.col("_x") > 0, F.ln(F.col("_x") / F.col("_before")))
-    else:
-        b, a = _off(F.col("_x"), F.col("_before")), _off(F.col("_x"), F.col("_after"))
-        v = F.when(b.isNull() | a.isNull(), F.coalesce(b, a)).when(F.abs(b) <= F.abs(a), b).otherwise(a)
-    return rows.select(*keys, "_tie", F.lit(m.column).alias("_measure"), "_x", "_before", "_after", v.alias("_v"), "_d1", "_d2", F.coalesce("_stuck", F.lit(False)).alias("_stuck"))
+    # The differences only meet thresholds, so single precision does for them.
+    return rows.select(*keys, "_tie", F.lit(m.column).alias("_measure"), "_x", "_before", "_after", *[F.col(c).cast("float").alias(c) for c in ("_d1", "_d2")], F.coalesce("_stuck", F.lit(False)).alias("_stuck"))
+
+
+def with_deviation(points: DataFrame, measures: Sequence[Measure]) -> DataFrame:
+    """Adds ``_v``, the deviation from the usual value."""
+    x, before = F.col("_x"), F.col("_before")
+    b, a = _off(x, before), _off(x, F.col("_after"))
+    near = F.when(b.isNull() | a.isNull(), F.coalesce(b, a)).when(F.abs(b) <= F.abs(a), b).otherwise(a)
+    ratio = F.when(before <= 0, F.lit(float("inf"))).when(x > 0, F.ln(x / before))
+    local = [m.column for m in measures if m.neighbours]
+    return points.withColumn("_v", F.when(F.col("_measure").isin(local), near).otherwise(ratio))
 
 
 def _half_axes(points: DataFrame, keys: Sequence[str], limits: dict[str, float], per_octave: int, floor: float) -> DataFrame:
@@ -117,6 +124,7 @@ def flag_readings(df: DataFrame, measures: Sequence[Measure], keys: Sequence[str
     ignored. ``per_octave`` sets how exactly the robust scale is taken (4: within a tenth).
     """
     points = materialize(reduce(DataFrame.unionByName, [phase_points(df, keys, ts, tie, m, block_rows) for m in measures]), "points")
+    points = with_deviation(points, measures)
     limits = {m.column: m.limit * (1 - 1e-9) for m in measures}
     by = [*keys, "_measure"]
     left, rounds = points, []

@@ -77,7 +77,7 @@ def tail_members(spark: SparkSession, folder: str) -> DataFrame:
     return L.tail_members(tail_sets(spark, folder), "day", "instrument")
 
 
-_CLOSED = "closed AS (SELECT l.instrument, l.t0, coalesce(l.t1, z) AS t1 FROM labels l JOIN (SELECT instrument, max(ts) AS z FROM prices GROUP BY 1) USING (instrument))"
+_CLOSED = "closed AS (SELECT l.instrument, l.t0, coalesce(l.t1, z) AS t1 FROM labels l LEFT JOIN (SELECT instrument, max(ts) AS z FROM prices GROUP BY 1) USING (instrument))"
 _CONC = "conc AS (SELECT p.instrument, p.ts, p.close, count(c.t0) AS n FROM prices p LEFT JOIN closed c ON c.instrument = p.instrument AND p.ts BETWEEN c.t0 AND c.t1 GROUP BY 1, 2, 3)"
 
 

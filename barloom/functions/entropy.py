@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.selection import quantile_list
+
 
 def shannon(message: str) -> float:
     n = len(message)
@@ -96,7 +98,7 @@ def message(order: Sequence[str | Column], letter: Column) -> Column:
 def quantile_keys(values: DataFrame, value: str, letters: int = 26) -> list[float]:
     """The quantiles at ``letters`` levels from 0.01 to 1; key i stands for letter i."""
     levels = [float(q) for q in np.linspace(0.01, 1, letters)]
-    return list(values.agg(F.percentile(value, F.array(*[F.lit(q) for q in levels]))).first()[0])
+    return quantile_list(values, value, levels)
 
 
 def sigma_keys(values: DataFrame, value: str, step: float = 0.01) -> list[float]:

@@ -1,7 +1,7 @@
-"""Exact medians per group by bin refinement.
+"""Exact order statistics (medians, quantiles) per group by bin refinement.
 
-Groups are reduced to counts of (group, bin): first logarithmic bins, then linear sub-bins of the bin that holds the
-median's rank, until that bin holds one value. Every pass is a map-side combined count, and the number of bins of a group
+Groups are reduced to counts of (group, bin): first logarithmic bins, then linear sub-bins of the bin that holds a
+wanted rank, until that bin holds one value. Every pass is a map-side combined count, and the number of bins of a group
 is bounded by the range of doubles, so a group that holds a third of all rows costs no task more than another.
 """
 
@@ -27,18 +27,19 @@ def _same(keys: Sequence[str], left: str, right: str) -> list[Column]:
     return [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, per_octave: int = 64, parts: int = 1024) -> DataFrame:
-    """keys, ``median`` (mean of the middle two for an even count) and ``n``, over the non-null, non-NaN values. Groups
-    without such a value have no row; infinite values are refused by the caller's filter. Null keys form their own group."""
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], per_octave: int = 64, parts: int = 1024) -> DataFrame:
+    """keys, ``which``, ``value`` and ``n``: for the i-th probability q the values at the ranks around q (n - 1), which = 2 i the lower and 2 i + 1 the upper
+    one (the same if q falls on a rank), over the non-null, non-NaN values. Groups without such a value have no row; null keys form their own group."""
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("_x"))
     bins = rows.groupBy(*keys, log_bin(F.col("_x"), per_octave).alias("_b")).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     running = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("_n").over(Window.partitionBy(*keys))
-    ranks = F.explode(F.array(F.struct(F.lit(1).alias("which"), F.expr("(_total + 1) div 2").alias("rank")), F.struct(F.lit(2).alias("which"), F.expr("(_total + 2) div 2").alias("rank"))))
-    cut = bins.withColumn("_end", running).withColumn("_total", total).withColumn("_r", ranks)
+    place = lambda q: F.lit(float(q)) * (F.col("_total") - 1)
+    ranks = [F.struct(F.lit(2 * i + k).alias("which"), (f(place(q) + F.lit(e)) + 1).alias("rank")) for i, q in enumerate(probabilities) for k, (f, e) in enumerate(((F.floor, 1e-9), (F.ceil, -1e-9)))]
+    cut = bins.withColumn("_end", running).withColumn("_total", total).withColumn("_r", F.explode(F.array(*ranks)))
     within = (F.col("_r.rank") <= F.col("_end")) & (F.col("_r.rank") > F.col("_end") - F.col("_n"))
     cut = cut.where(within).select(*keys, "_total", F.col("_r.which").alias("_which"), (F.col("_r.rank") - F.col("_end") + F.col("_n")).alias("_rank"), "_lo", "_hi")
-    cut = materialize(cut, "median")
+    cut = materialize(cut, "ranks")
     done = []
     while True:
         done.append(cut.where(F.col("_lo") == F.col("_hi")))
@@ -52,6 +53,25 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, per_octave: int
         sub = inside.groupBy(*by, "_total", "_rank", part.alias("_b")).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
         sub = sub.withColumn("_end", F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
         sub = sub.where((F.col("_rank") <= F.col("_end")) & (F.col("_rank") > F.col("_end") - F.col("_n")))
-        cut = materialize(sub.select(*keys, "_total", "_which", (F.col("_rank") - F.col("_end") + F.col("_n")).alias("_rank"), "_lo", "_hi"), "median")
+        cut = materialize(sub.select(*keys, "_total", "_which", (F.col("_rank") - F.col("_end") + F.col("_n")).alias("_rank"), "_lo", "_hi"), "ranks")
     found = reduce(DataFrame.unionByName, done)
-    return found.groupBy(*keys).agg((F.sum("_lo") / 2).alias("median"), F.max("_total").alias("n"))
+    return found.select(*keys, F.col("_which").alias("which"), F.col("_lo").alias("value"), F.col("_total").alias("n"))
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, per_octave: int = 64, parts: int = 1024) -> DataFrame:
+    """keys, ``median`` (mean of the middle two for an even count) and ``n``; see ``order_statistics``."""
+    return order_statistics(df, keys, value, [0.5], per_octave, parts).groupBy(*keys).agg((F.sum("value") / 2).alias("median"), F.max("n").alias("n"))
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], higher: bool = False) -> DataFrame:
+    """keys, ``i`` (place of the probability), ``value`` (linear between the neighbouring ranks, or the ``higher`` one) and ``n``."""
+    i = F.floor(F.col("which") / 2).cast("int")
+    both = order_statistics(df, keys, value, probabilities).groupBy(*keys, i.alias("i")).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.max("n").alias("n"))
+    place = F.get(F.array(*[F.lit(float(q)) for q in probabilities]), F.col("i")) * (F.col("n") - 1)
+    share = F.when(F.col("_hi") > F.col("_lo"), place - F.floor(place)).otherwise(F.lit(0.0))
+    return both.select(*keys, "i", (F.col("_hi") if higher else F.col("_lo") + share * (F.col("_hi") - F.col("_lo"))).alias("value"), "n")
+
+
+def quantile_list(df: DataFrame, value: str, probabilities: Sequence[float]) -> list[float]:
+    """The quantiles of a whole column, linear between ranks; empty for an empty column."""
+    return [float(r.value) for r in exact_quantiles(df, [], value, probabilities).orderBy("i").collect()]

@@ -146,3 +146,11 @@ def orthogonal_components(x: np.ndarray, share: float = 0.95) -> tuple[np.ndarra
     values, vectors = eigen(z.T @ z)
     keep = int(np.searchsorted(np.cumsum(values) / values.sum(), share)) + 1
     return values[:keep], vectors[:, :keep]
+
+
+def random_of_rank(rows: int, rank: int, sigma: float = 0.0, homogeneous: bool = True, rng: np.random.Generator | None = None) -> np.ndarray:
+    """A random matrix of observations whose columns have a rank, with noise of the same or of different sizes."""
+    rng = rng or np.random.default_rng()
+    q, _, _ = np.linalg.svd(rng.standard_normal((rows, rows)))
+    x = rng.standard_normal((rows, rank)) @ q[:, :rank].T
+    return x + sigma * (1.0 if homogeneous else rng.random(rows) + 0.5) * rng.standard_normal((rows, rows))

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.fold import fold
+from barloom.functions.selection import exact_quantiles
 from barloom.functions.special import EULER_GAMMA, norm_cdf, phi, phi_inverse
 from barloom.ordering import running
+from barloom.shared import materialize, small_side
 
 DAY = 86_400_000_000
 
@@ -200,14 +202,11 @@ def ou_parameters(prices: DataFrame, keys: Sequence[str], order: str, close: str
 
 
 def value_at_risk(returns: DataFrame, keys: Sequence[str], value: str, level: float = 0.05) -> DataFrame:
-    """keys, ``var`` (the level's quantile, the higher neighbour) and ``expected_shortfall`` (the mean below it; null if none is). Values are counted
-    first, so ties and hot groups shrink; the cumulative counts give the rank."""
-    counts = returns.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys)
-    counts = counts.withColumns({"_end": F.sum("_n").over(w.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(w)})
-    rank = F.ceil(F.lit(level) * (F.col("_all") - 1) - F.lit(1e-9)) + 1
-    counts = counts.withColumn("_below", F.col("_end") < rank)
-    return counts.groupBy(*keys).agg(F.min(F.when(~F.col("_below"), F.col("_x"))).alias("var"), F.try_divide(F.sum(F.when(F.col("_below"), F.col("_x") * F.col("_n"))), F.sum(F.when(F.col("_below"), F.col("_n")))).alias("expected_shortfall"))
+    """keys, ``var`` (the level's quantile, the higher neighbour) and ``expected_shortfall`` (the mean below it; null if none is)."""
+    var = small_side(materialize(exact_quantiles(returns, keys, value, [level], higher=True).select(*keys, F.col("value").alias("var")), "var"))
+    rows = returns.where(F.col(value).isNotNull()).alias("r").join(var.alias("v"), [F.col(f"r.{k}").eqNullSafe(F.col(f"v.{k}")) for k in keys])
+    below = F.when(F.col(f"r.{value}") < F.col("v.var"), F.col(f"r.{value}"))
+    return rows.groupBy(*[F.col(f"r.{k}") for k in keys]).agg(F.max("v.var").alias("var"), F.avg(below).alias("expected_shortfall"))
 
 
 def conditional_drawdown(levels: DataFrame, keys: Sequence[str], order: str, value: str, level: float = 0.05, cell_us: int = DAY) -> DataFrame:
@@ -253,3 +252,52 @@ def mean_absolute_error(actual: Column, predicted: Column) -> Column:
 def equity_curve(returns: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
     """returns with ``equity``, the product of 1 + return up to the row (returns above -1)."""
     return running(returns.withColumn("_lr", F.ln(1 + F.col(value))), keys, order, [], {"_s": ("sum", "_lr")}).withColumn("equity", F.exp("_s")).drop("_lr", "_s")
+
+
+def maximum_sharpe_errors(trials: Sequence[int], outer: int = 10, inner: int = 100, std: float = 1.0, mean: float = 0.0, seed: int = 0) -> list[tuple[int, float, float]]:
+    """(trials, mean error, deviation of error) of the expected maximum Sharpe ratio against simulated ones."""
+    out = []
+    for n in trials:
+        rng, want, errors = np.random.default_rng([seed, n]), expected_maximum(n, mean, std), []
+        for _ in range(outer):
+            x = rng.standard_normal((inner, n))
+            x = (x - x.mean(axis=1, keepdims=True)) / x.std(axis=1, ddof=1, keepdims=True)
+            errors.append((mean + std * x.max(axis=1)).mean() / want - 1)
+        out.append((n, float(np.mean(errors)), float(np.std(errors, ddof=1)) if outer > 1 else 0.0))
+    return out
+
+
+def psr_optimum(returns: np.ndarray, start: Sequence[float] | None = None, bounds: Sequence[tuple[float, float]] | None = None, steps: int = 2000, rate: float = 0.01) -> tuple[np.ndarray, float]:
+    """Weights (summing to 1, within bounds) that maximise the Sharpe ratio in units of its standard error, by projected gradient ascent: the ratio, its skewness
+    and kurtosis are differentiated through the portfolio's central moments. Returns are rows of dates by columns of assets."""
+    n, k = returns.shape
+    w = np.full(k, 1 / k) if start is None else np.asarray(start, dtype=float)
+    low, high = np.array(bounds or [(0.0, 1.0)] * k).T
+    x = returns - returns.mean(axis=0)
+    mu = returns.mean(axis=0)
+
+    def value(w: np.ndarray) -> tuple[float, np.ndarray]:
+        r = x @ w
+        m2, m3, m4 = (r**2).mean(), (r**3).mean(), (r**4).mean()
+        d2, d3, d4 = (p * (x * (r ** (p - 1))[:, None]).mean(axis=0) for p in (2, 3, 4))
+        s = math.sqrt(m2)
+        sr, skew, kurt = mu @ w / s, m3 / s**3, m4 / m2**2
+        d_sr = mu / s - mu @ w * d2 / (2 * s**3)
+        d_skew, d_kurt = d3 / s**3 - 1.5 * m3 * d2 / s**5, d4 / m2**2 - 2 * m4 * d2 / m2**3
+        v = max((1 - sr * skew + sr**2 * (kurt - 1) / 4) / (n - 1), 1e-300)
+        d_v = (-d_sr * skew - sr * d_skew + sr * d_sr * (kurt - 1) / 2 + sr**2 * d_kurt / 4) / (n - 1)
+        z = sr / math.sqrt(v)
+        return z, d_sr / math.sqrt(v) - 0.5 * sr * d_v / v**1.5
+
+    best, at = value(w)[0], w
+    for i in range(steps):
+        z, g = value(w)
+        if z > best:
+            best, at = z, w
+        step = w + rate / math.sqrt(1 + i / 100) * g / max(np.abs(g).max(), 1e-300)
+        lo, hi = -10.0, 10.0  # the shift that makes the clipped weights sum to 1
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if np.clip(step + mid, low, high).sum() < 1 else (lo, mid)
+        w = np.clip(step + (lo + hi) / 2, low, high)
+    return at, float(best)

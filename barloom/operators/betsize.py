@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.selection import quantile_list
 from barloom.functions.special import norm_cdf, phi, sign
 from barloom.joins import sweep
+from barloom.numeric.optimize import nelder_mead
 
 
 def _z(p: Column, classes: int) -> Column:
@@ -19,8 +22,14 @@ def _z(p: Column, classes: int) -> Column:
 
 def clipped_cdf_size(prob: Column) -> Column:
     """The normal probability of the two-class z statistic; 0 below a half. Probabilities of 0 and 1 are moved inside by 1e-5."""
-    p = F.when(prob == 1, F.lit(0.99999)).when(prob == 0, F.lit(0.00001)).otherwise(prob)
-    size = norm_cdf(_z(p, 2))
+    return _clipped(norm_cdf(_inner_z(prob)))
+
+
+def _inner_z(prob: Column) -> Column:
+    return _z(F.when(prob == 1, F.lit(0.99999)).when(prob == 0, F.lit(0.00001)).otherwise(prob), 2)
+
+
+def _clipped(size: Column) -> Column:
     return F.when(size < 0.5, F.lit(0.0)).otherwise(size)
 
 
@@ -152,8 +161,8 @@ def ecdf_size(train: DataFrame, rows: DataFrame, value: str, bins: int = 1000) -
 
 def decile_calibration(rows: DataFrame, prob: str, target: str, ret: str, q: int = 10) -> DataFrame:
     """Per q-quantile of the probability: ``n``, mean probability, hit rate and the mean win and loss."""
-    edges = rows.agg(*[F.percentile(prob, F.lit(i / q)).alias(f"e{i}") for i in range(1, q)]).first()
-    bucket = sum([F.when(F.col(prob) > float(e), 1).otherwise(0) for e in edges if e is not None], F.lit(0))
+    edges = quantile_list(rows, prob, [i / q for i in range(1, q)])
+    bucket = sum([F.when(F.col(prob) > e, 1).otherwise(0) for e in edges], F.lit(0))
     mean = lambda c: F.avg(F.when(c, F.col(ret)))
     return rows.where(F.col(prob).isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg(prob).alias("mean_prob"), F.avg(F.col(target).cast("double")).alias("hit_rate"), mean(F.col(ret) > 0).alias("mean_win"), mean(F.col(ret) <= 0).alias("mean_loss"))
 
@@ -164,3 +173,51 @@ def all_or_nothing(p: Column) -> Column:
 
 def signed_size(side: Column, magnitude: Column) -> Column:
     return sign(side) * magnitude
+
+
+# Sizes fitted to a training set. The pairs (probability, return) of the fit come to the driver up to MAX_FIT rows; more are refused.
+
+MAX_FIT = 2_000_000
+
+
+def _training_pairs(train: DataFrame, prob: str, ret: str) -> tuple[np.ndarray, np.ndarray]:
+    rows = train.where(F.col(prob).isNotNull() & F.col(ret).isNotNull()).select(F.col(prob).cast("double").alias("p"), F.col(ret).cast("double").alias("r"))
+    if rows.count() > MAX_FIT:
+        raise ValueError(f"more than {MAX_FIT} training rows")
+    pdf = rows.toPandas()
+    return pdf.p.to_numpy(), pdf.r.to_numpy()
+
+
+def _ratio(x: np.ndarray) -> float:
+    return float(x.mean() / x.std()) if len(x) and x.std() > 0 else -np.inf
+
+
+def optimal_linear(train: DataFrame, prob: str, ret: str) -> tuple[float, float]:
+    """(a, b) of the size a p + b, within [0, 1], with the highest return per deviation."""
+    p, r = _training_pairs(train, prob, ret)
+    x, _ = nelder_mead(lambda v: -_ratio(np.clip(v[0] * p + v[1], 0, 1) * r), [1.0, 0.0], steps=300)
+    return float(x[0]), float(x[1])
+
+
+def optimal_sigmoid(train: DataFrame, prob: str, ret: str) -> tuple[float, float]:
+    """(a, b) of the size 1 / (1 + exp(-(a p + b))) with the highest return per deviation."""
+    p, r = _training_pairs(train, prob, ret)
+    x, _ = nelder_mead(lambda v: -_ratio(r / (1 + np.exp(np.clip(-(v[0] * p + v[1]), -50, 50)))), [4.0, -2.0], [(-50, 50), (-50, 50)], steps=300)
+    return float(x[0]), float(x[1])
+
+
+def sizing_bakeoff(train: DataFrame, rows: DataFrame, prob: str = "prob", ret: str = "ret", periods: float = 252) -> DataFrame:
+    """``method``, ``mean``, ``stdev`` and ``sharpe`` of the next return under each way of sizing: fitted on train, applied to rows in one pass."""
+    p, r = F.col(prob), F.col(ret)
+    la, lb = optimal_linear(train, prob, ret)
+    sa, sb = optimal_sigmoid(train, prob, ret)
+    low, high = train.agg(F.min(prob), F.max(prob)).first()
+    # In stages: the distribution function of an expression would repeat it in every term.
+    sized = ecdf_size(train, rows, prob).withColumnRenamed("bet_size", "_ecdf").withColumn("_z", _inner_z(p)).withColumn("_phi", norm_cdf(F.col("_z")))
+    sizes = {
+        "raw": p, "all_or_nothing": all_or_nothing(p), "linear": linear_scaling(p, F.lit(low), F.lit(high)), "optimal_linear": F.greatest(F.least(la * p + lb, F.lit(1.0)), F.lit(0.0)),
+        "clipped_cdf": _clipped(F.col("_phi")), "ecdf": F.col("_ecdf"), "optimal_sigmoid": 1 / (1 + F.exp(-(sa * p + sb))), "buy_and_hold": F.lit(1.0),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("method"), (s * r).alias("x")) for n, s in sizes.items()])).alias("_e")
+    out = sized.select(each).groupBy(F.col("_e.method").alias("method")).agg(F.avg("_e.x").alias("mean"), F.stddev_samp("_e.x").alias("stdev"))
+    return out.withColumn("sharpe", F.try_divide("mean", "stdev") * math.sqrt(periods))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+from barloom.functions.selection import quantile_list
 from barloom.numeric.trees import Tree
 from barloom.operators.weights import Bootstrap
 from barloom.ordering import with_position
@@ -125,7 +126,7 @@ def mean_decrease_accuracy(estimator: Estimator, rows: DataFrame, features: Sequ
 
 def shuffled(rows: DataFrame, column: str, seed: int = 0) -> DataFrame:
     """rows with one column's values in another order. Both sides are numbered by a seeded hash, distributed over range-sorted cells."""
-    wide = 1 << 56
+    wide = 1 << 48
     keyed = rows.withColumn("_k", F.lit(0)).withColumn("_u", F.monotonically_increasing_id())
     one = lambda s: F.shiftrightunsigned(F.xxhash64(F.lit(s), "_u"), 1)
     a = with_position(keyed.withColumn("_o", one(seed)), ["_k"], "_o", ["_u"], cell_us=wide)
@@ -206,7 +207,7 @@ def fingerprint(model: Model, rows: DataFrame, features: Sequence[str], values:
     the rows, so one pass of the model gives all of a feature's partial dependence."""
     target = F.get(vector_to_array("probability"), F.lit(1)) if classification else F.col("prediction")
     levels = [float(q) for q in np.linspace(0, 1, values)]
-    grid = {f: [float(v) for v in rows.agg(F.percentile(f, F.array(*[F.lit(q) for q in levels]))).first()[0]] for f in features}
+    grid = {f: quantile_list(rows, f, levels) for f in features}
     base = rows.select(*features)
 
     def dependence(*fs: str) -> np.ndarray:

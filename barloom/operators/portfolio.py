@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,7 +16,9 @@ from barloom.numeric.matrices import denoise_covariance, oas_shrinkage
 from barloom.ordering import with_position
 
 #: A covariance comes to the driver up to so many assets.
-MAX_ASSETS = 5000
+MAX_ASSETS = 2000
+#: Returns come to the driver, for the allocations that need them, up to so many.
+MAX_CELLS = 20_000_000
 
 
 def panel_returns(prices: DataFrame, date: str, asset: str, price: str, log: bool = False) -> DataFrame:
@@ -24,23 +28,49 @@ def panel_returns(prices: DataFrame, date: str, asset: str, price: str, log: boo
     return prices.select(date, asset, r.alias("ret")).where("ret is not null")
 
 
+def _products(n: int):
+    """Per partition of dates the counts, products and sums of every two assets that a date has, a row per asset."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, xy, sx = np.zeros((n, n)), np.zeros((n, n)), np.zeros((n, n))
+        for batch in batches:
+            ids, values = batch.column("i"), batch.column("x")
+            x, m = np.zeros((batch.num_rows, n)), np.zeros((batch.num_rows, n))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(ids.offsets)))
+            at = np.asarray(ids.flatten())
+            x[row, at], m[row, at] = np.asarray(values.flatten()), 1.0
+            count, xy, sx = count + m.T @ m, xy + x.T @ x, sx + x.T @ m
+        whole = lambda g: pa.FixedSizeListArray.from_arrays(pa.array(g.ravel()), n).cast(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int64()), whole(count), whole(xy), whole(sx)], names=["i", "n", "xy", "sx"])
+
+    return run
+
+
 def moments(returns: DataFrame, date: str, asset: str, value: str = "ret") -> tuple[list, np.ndarray, np.ndarray]:
-    """Names, means and the covariance of all pairs of assets over the dates that both have. One aggregate of the self-join by date; the matrix
-    comes to the driver, its size is checked."""
+    """Names, means and the covariance of every two assets over the dates that both have. Each task multiplies the dates it holds into matrices of
+    assets by assets, and those are added up: no pair of readings is ever a row. The number of assets is checked, as the matrix comes to the driver."""
+    spark = returns.sparkSession
     names = [r[0] for r in returns.select(asset).distinct().orderBy(asset).limit(MAX_ASSETS + 1).collect()]
     if len(names) > MAX_ASSETS:
         raise ValueError(f"more than {MAX_ASSETS} assets")
-    x = returns.select(date, F.col(asset).alias("a"), F.col(value).alias("x"))
-    y = x.select(date, F.col("a").alias("b"), F.col("x").alias("y"))
-    rows = x.join(y, date).where(F.col("a") <= F.col("b")).groupBy("a", "b").agg(F.covar_samp("x", "y").alias("c"), F.avg("x").alias("m")).collect()
-    at = {n: i for i, n in enumerate(names)}
-    mu, cov = np.zeros(len(names)), np.zeros((len(names), len(names)))
-    for r in rows:
-        i, j = at[r.a], at[r.b]
-        cov[i, j] = cov[j, i] = r.c if r.c is not None else 0.0
-        if i == j:
-            mu[i] = r.m
-    return names, mu, cov
+    n = len(names)
+    if not n:
+        return [], np.zeros(0), np.zeros((0, 0))
+    kind = returns.select(asset).schema[0].dataType.simpleString()
+    place = F.broadcast(spark.createDataFrame(list(zip(names, range(n))), f"`{asset}` {kind}, _i int"))  # at most MAX_ASSETS rows
+    rows = returns.where(F.col(value).isNotNull()).join(place, asset).groupBy(date).agg(F.collect_list(F.struct(F.col("_i"), F.col(value).cast("double").alias("_x"))).alias("_r"))
+    rows = rows.select(F.col("_r._i").alias("i"), F.col("_r._x").alias("x"))
+    parts = rows.mapInArrow(_products(n), "i bigint, n array<double>, xy array<double>, sx array<double>")
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": [pdf.i.iloc[0]], **{c: [np.sum(np.stack(pdf[c].to_numpy()), axis=0)] for c in ("n", "xy", "sx")}})
+
+    total = parts.groupBy("i").applyInPandas(add, "i bigint, n array<double>, xy array<double>, sx array<double>").collect()
+    count, xy, sx = np.zeros((n, n)), np.zeros((n, n)), np.zeros((n, n))
+    for r in total:
+        count[r.i], xy[r.i], sx[r.i] = r.n, r.xy, r.sx
+    cov = np.divide(xy - sx * sx.T / np.maximum(count, 1), count - 1, out=np.zeros((n, n)), where=count > 1)
+    return names, np.diag(sx) / np.maximum(np.diag(count), 1), (cov + cov.T) / 2
 
 
 SOLUTIONS = ("inverse_variance", "min_volatility", "max_sharpe", "efficient_risk", "hierarchical_risk_parity", "nested_clusters", "closed_form", "critical_line", *(f"cluster_{m}" for m in P.ALLOCATIONS))
@@ -56,6 +86,8 @@ def allocate(returns: DataFrame, date: str, asset: str, solution: str, risk_free
     mu, cov = mu * periods, cov * periods
     by_date = None
     if shrunk or solution.endswith(("shortfall", "drawdown_risk")):
+        if returns.count() > MAX_CELLS:
+            raise ValueError(f"more than {MAX_CELLS} returns")
         wide = returns.groupBy(date).pivot(asset, names).agg(F.first(value)).orderBy(date).toPandas().drop(columns=[date])
         by_date = wide.fillna(0.0).to_numpy(float)
         if shrunk and len(by_date) > 1:

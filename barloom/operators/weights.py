@@ -79,6 +79,12 @@ class Bootstrap:
         prefix = np.concatenate([[0.0], np.cumsum(np.divide(1.0, count, out=np.zeros(self.size), where=count > 0))])
         return float((prefix[self.last[idx] + 1] - prefix[self.first[idx]]).sum() / lengths.sum())
 
+    def label_uniqueness(self) -> np.ndarray:
+        """The indicator matrix over the labels at each place: labels in rows."""
+        m = self.matrix()
+        c = m.sum(axis=1)
+        return np.divide(m.T, c, out=np.zeros_like(m.T), where=c > 0)
+
     def _count(self, idx: np.ndarray) -> np.ndarray:
         step = np.zeros(self.size + 1)
         np.add.at(step, self.first[idx], 1)
@@ -103,7 +109,7 @@ class Bootstrap:
 def sequential_bootstrap(labels: DataFrame, keys: Sequence[str], n: int, samples: int = 1, seed: int = 0) -> DataFrame:
     """keys, ``sample``, ``draw``, t0 and t1 of ``n`` labels per series and sample. Each (series, sample) is one task; a draw depends on all before it,
     so a series' labels must fit a task."""
-    rows = labels.where(F.col("t1") >= F.col("t0")).select(*keys, "t0", "t1").crossJoin(labels.sparkSession.range(samples).select(F.col("id").alias("sample")))
+    rows = labels.where(F.col("t1") >= F.col("t0")).select(*keys, "t0", "t1", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(samples - 1).cast("bigint"))).alias("sample"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in labels.select(*keys).schema)
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -218,4 +218,4 @@ def decile_calibration(spark: SparkSession, folder: str) -> DataFrame:
 @query("ecdf_size")
 def ecdf_size(spark: SparkSession, folder: str) -> DataFrame:
     t = table(spark, folder, "train").where("prob between 0 and 1")
-    return Z.ecdf_size(t.where("seq % 2 = 0"), t.select("instrument", "seq", "prob"), "prob")
+    return Z.ecdf_size(t, t.select("instrument", "seq", "prob"), "prob")

@@ -331,3 +331,130 @@ def test_tail_sets_and_rare_labels(spark):
     assert m.positive == ["a18", "a19"] and m.negative == ["a00", "a01"]
     df = spark.createDataFrame([(b,) for b in [0] * 60 + [1] * 39 + [-1]], "bin int")
     assert labeling.drop_rare_labels(df).select("bin").distinct().count() == 2
+
+
+def test_moments_match_pandas(spark, rng):
+    from barloom.operators.portfolio import moments
+
+    rows = [(d, a, rng.gauss(0.1, 1)) for d in range(60) for a in "abcd" if rng.random() < 0.8]
+    names, mu, cov = moments(spark.createDataFrame(rows, "d int, a string, ret double"), "d", "a")
+    wide = pd.DataFrame(rows, columns=["d", "a", "r"]).pivot(index="d", columns="a", values="r")
+    assert names == list("abcd")
+    np.testing.assert_allclose(mu, wide.mean())
+    np.testing.assert_allclose(cov, wide.cov())
+    assert moments(spark.createDataFrame([], "d int, a string, ret double"), "d", "a")[0] == []
+
+
+def test_exact_quantiles(spark, rng):
+    from barloom.functions.selection import exact_quantiles, quantile_list
+
+    xs = [round(rng.gauss(0, 100), 3) for _ in range(501)]
+    df = spark.createDataFrame([(1, x) for x in xs] + [(2, 5.0), (2, None)], "k long, x double")
+    qs = [0.0, 0.05, 0.333, 0.5, 1.0]
+    got = {(r.k, r.i): r.value for r in exact_quantiles(df, ["k"], "x", qs).collect()}
+    high = {(r.k, r.i): r.value for r in exact_quantiles(df, ["k"], "x", qs, higher=True).collect()}
+    for i, q in enumerate(qs):
+        assert abs(got[1, i] - np.quantile(xs, q)) < 1e-9 and high[1, i] == np.quantile(xs, q, method="higher")
+        assert got[2, i] == 5.0
+    np.testing.assert_allclose(quantile_list(df.where("k = 1"), "x", qs), np.quantile(xs, qs))
+
+
+def test_value_at_risk(spark, rng):
+    xs = [rng.gauss(0, 1) for _ in range(200)]
+    out = backtest.value_at_risk(spark.createDataFrame([(1, x) for x in xs] + [(None, 1.0)], "k long, r double"), ["k"], "r")
+    got = {r.k: r for r in out.collect()}
+    assert got[1]["var"] == portfolio.value_at_risk(np.array(xs)) and abs(got[1].expected_shortfall - portfolio.expected_shortfall(np.array(xs))) < 1e-12
+    assert got[None]["var"] == 1.0 and got[None].expected_shortfall is None
+
+
+def test_fills(spark, rng):
+    from barloom.functions import frames
+
+    rows = [(rng.choice([1, 2]), t, None if rng.random() < 0.6 else float(rng.randrange(4))) for t in range(200)]
+    df = spark.createDataFrame(rows, "k long, t long, x double")
+    got = {(r.k, r.t): r.x for r in frames.fill_forward(df, ["k"], "t", ["x"], cell_us=7).collect()}
+    back = {(r.k, r.t): r.x for r in frames.fill_backward(df, ["k"], "t", ["x"], cell_us=7).collect()}
+    zero = {(r.k, r.t): r.x for r in frames.zeros_to_previous(df, ["k"], "t", "x", cell_us=7).collect()}
+    for k in (1, 2):
+        s = pd.Series({t: x for kk, t, x in rows if kk == k}, dtype=float)
+        for t in s.index:
+            same = lambda a, b: (a is None and pd.isna(b)) or a == b
+            assert same(got[k, t], s.ffill()[t]) and same(back[k, t], s.bfill()[t]) and same(zero[k, t], s.replace(0, np.nan).ffill()[t])
+    twice = spark.createDataFrame([(1, 2, 5.0), (1, 1, 4.0), (1, None, 9.0)], "k long, o long, x double")
+    assert frames.keep_one(twice, ["k"], "o", last=True).first().x == 5.0 and frames.keep_one(twice, ["k"], "o").first().x == 9.0
+
+
+def test_technical_and_differences(spark, rng):
+    from barloom.operators import technical
+
+    x = np.cumsum([rng.gauss(0, 1) for _ in range(120)]) + 50
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "k long, t long, x double")
+    out = technical.expanding_difference(df, ["k"], "t", "x", 0.4, 0.2).orderBy("t").toPandas()
+    w = volatility.frac_diff_weights(0.4, 120)
+    assert 0 < len(out) < 120
+    for t, v in zip(out.t, out.frac_diff):
+        assert abs(v - w[: t + 1] @ x[t::-1]) < 1e-8
+    found = {round(r.d, 1): r for r in technical.difference_search(df, ["k"], "t", "x").collect()}
+    assert found[1.0].adf < found[0.0].adf and abs(found[0.0]["corr"] - 1) < 1e-9
+    assert all(abs(r.tsi) <= 100 for r in technical.true_strength(df, ["k"], "t", "x").where("tsi is not null").collect())
+
+
+def test_sharpe_optimum_beats_equal_weights():
+    r = np.random.default_rng(4).normal([0.001, 0.0008, -0.001], [0.01, 0.01, 0.02], (500, 3))
+    w, z = backtest.psr_optimum(r)
+
+    def plain(w):
+        x = r @ w
+        d = (x - x.mean()) / x.std()
+        sr = x.mean() / x.std()
+        return sr / math.sqrt((1 - sr * (d**3).mean() + sr**2 * ((d**4).mean() - 1) / 4) / (len(x) - 1))
+
+    grid = max(plain(np.array([a, c, 1 - a - c])) for a in np.linspace(0, 1, 41) for c in np.linspace(0, 1 - a, 41))
+    assert abs(w.sum() - 1) < 1e-9 and abs(plain(w) - z) < 1e-9 and z > grid - 1e-3
+    (n, mean, std), = backtest.maximum_sharpe_errors([10], 20)
+    assert n == 10 and abs(mean) < 0.2 and std < 0.2
+
+
+def test_prices_of_options(spark):
+    from barloom.operators import pricing
+    from barloom.operators.simulate import MonteCarlo
+
+    m = MonteCarlo(spark, 0.05, 100.0, 1.0, 0.2, paths=4000, steps=20, seed=1)
+    paths = m.geometric().cache()
+    d1 = (0.05 + 0.02) / 0.2
+    call = 100 * phi(d1) - 100 * math.exp(-0.05) * phi(d1 - 0.2)
+    got, put = pricing.european(paths, 100.0, 0.05, 1.0).first(), pricing.european(paths, 100.0, 0.05, 1.0, "put").first()
+    assert abs(got.price - call) < 4 * got.error
+    assert abs(pricing.parity_gap(got.price, put.price, 100.0, 100.0, 0.05, 1.0)) < 1.5
+    american = pricing.american(paths, 100.0, 0.05, 1.0, "put").first()
+    assert put.price - 3 * put.error < american.price < 10
+    up, no = pricing.barrier(paths, 100.0, 120.0, 0.05, 1.0, effect="in").first().price, pricing.barrier(paths, 100.0, 120.0, 0.05, 1.0).first().price
+    assert abs(up + no - got.price) < 1e-9
+    assert pricing.asian(paths, 100.0, 0.05, 1.0, average="geometric").first().price <= pricing.asian(paths, 100.0, 0.05, 1.0).first().price
+    assert abs(pricing.futures(paths).first().price - pricing.forward(100.0, 0.05, 0.0, 1.0)) < 2
+    assert sorted(map(str, m.geometric().collect())) == sorted(map(str, paths.collect()))  # the same seed, the same paths
+    with pytest.raises(ValueError):
+        m.square_root(0.1, 0.01, 0.5)
+    paths.unpersist()
+
+
+def test_bagging_and_effects(spark):
+    from barloom.operators import ml
+
+    x, y, names = ml.test_features(200, 6, 2, 1, seed=1)
+    rows = [(i, i + 3, float(y[i]), *map(float, x[i])) for i in range(200)]
+    df = spark.createDataFrame(rows, "t0 long, t1 long, label double, " + ", ".join(f"{n} double" for n in names))
+    out, score = ml.sequential_bagging(df, names, "label", estimators=12, depth=4)
+    assert score > 0.7 and out.count() == 200
+    again = ml.sequential_bagging(df, names, "label", estimators=12, depth=4)[1]
+    assert again == score
+    with pytest.raises(ValueError):
+        ml.sequential_bagging(df, names, "label", max_rows=10)
+    r = np.random.default_rng(0)
+    c = r.standard_normal(2000)
+    t = 0.7 * c + r.standard_normal(2000)
+    o = 1.5 * t - c + r.standard_normal(2000)
+    e = ml.double_ml(spark.createDataFrame([(float(a), float(b), float(d), i % 4) for i, (a, b, d) in enumerate(zip(o, t, c))], "o double, t double, c double, f int"), "o", "t", ["c"], "f")
+    assert abs(e["effect"] - 1.5) < 4 * e["error"] < 0.5
+    shuffled = ml.shuffled(df.select("t0", "label"), "label").collect()
+    assert len(shuffled) == 200 and sum(a.label for a in shuffled) == y.sum() and [a.label for a in sorted(shuffled, key=lambda r: r.t0)] != list(y)

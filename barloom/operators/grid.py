@@ -42,9 +42,13 @@ def _cross_products(obs: DataFrame, keys: Sequence[str], values: Sequence[str],
     return obs.groupBy(*keys).agg(*sums)
 
 
-def _solver(keys: Sequence[str], values: Sequence[str], p: int):
+def _solver(keys: Sequence[str], values: Sequence[str], per_day: int, harmonics: int):
+    """Per series and value one array: intercept, slope a day, and the seasonal part of each slot of the day, so that a prediction is two look-ups."""
+    p = 2 + 2 * harmonics
     upper = np.triu_indices(p)
     products = len(upper[0])
+    phase = np.arange(per_day) * (2 * math.pi / per_day)
+    waves = np.array([f(k * phase) for k in range(1, harmonics + 1) for f in (np.cos, np.sin)]).reshape(p - 2, per_day)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,7 +67,8 @@ def _solver(keys: Sequence[str], values: Sequence[str], p: int):
                 slope = np.linalg.solve(c, r[:, :, None])[:, :, 0]
                 beta = np.concatenate([(mean_y - (slope * mean).sum(axis=1))[:, None], slope], axis=1)
                 beta = np.where(np.isfinite(beta).all(axis=1)[:, None], beta, 0.0)
-                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * p, pa.int32()), pa.array(beta.ravel())))
+                model = np.concatenate([beta[:, :2], beta[:, 2:] @ waves], axis=1)
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * model.shape[1], pa.int32()), pa.array(model.ravel())))
             yield pa.RecordBatch.from_arrays(columns, names=[*keys, *[f"_b_{v}" for v in values]])
 
     return solve
@@ -84,7 +89,7 @@ def regular_grid(df: DataFrame, keys: Sequence[str] = ("instrument",), ts: str =
     values = [*last, *total]
     if len(set(values)) != len(values) or 86400 % step_seconds:
         raise ValueError("values must differ and the step must divide the day")
-    per_day, p = 86400 // step_seconds, 2 + 2 * harmonics
+    per_day = 86400 // step_seconds
     slot = F.floor(F.unix_micros(ts) / F.lit(step_seconds * 1_000_000))
     order = F.struct(F.col(ts), F.col(tie))
     base = df.where(F.col(ts).isNotNull()).select(*keys, slot.alias("_slot"), F.floor(slot / F.lit(per_day)).alias("_day"), order.alias("_o"), *[F.col(v).cast("double").alias(v) for v in values])
@@ -93,38 +98,39 @@ def regular_grid(df: DataFrame, keys: Sequence[str] = ("instrument",), ts: str =
         *[F.sum(v).alias(v) for v in total],
     )
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in obs.select(*keys).schema] + [f"_b_{v} array<double>" for v in values])
-    model = _cross_products(obs, keys, values, per_day, harmonics).mapInArrow(_solver(keys, values, p), schema)
+    model = _cross_products(obs, keys, values, per_day, harmonics).mapInArrow(_solver(keys, values, per_day, harmonics), schema)
 
     w = Window.partitionBy(*keys, "_day").orderBy("_slot")
-    until, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    until = w.rowsBetween(Window.unboundedPreceding, 0)
+    # Backwards, as a running frame: a frame to the end would be walked again for every row.
+    after = Window.partitionBy(*keys, "_day").orderBy(F.col("_slot").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ends = lambda v: F.when(F.col(v).isNotNull(), F.struct(F.col("_slot").alias("s"), F.col(v).alias("v")))
     spans = obs.select(
         *keys, "_slot", *values, F.coalesce(F.lead("_slot").over(w) - 1, F.col("_slot")).alias("_to"),
         *[F.last(ends(v), ignorenulls=True).over(until).alias(f"_p_{v}") for v in values],
-        *[F.first(ends(v), ignorenulls=True).over(after).alias(f"_q_{v}") for v in values],
+        *[F.last(ends(v), ignorenulls=True).over(after).alias(f"_q_{v}") for v in values],
     )
     s, m = spans.alias("s"), model.alias("m")
     joined = s.join(m, [F.col(f"s.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys], "left")
-    grid = joined.select(*[F.col(f"s.{c}") for c in spans.columns], *[F.col(f"m._b_{v}") for v in values], F.explode(F.sequence("s._slot", "s._to")).alias("_g"))
+    rows = joined.select(*[F.col(f"s.{c}") for c in spans.columns], *[F.col(f"m._b_{v}") for v in values])
 
     def predicted(v: str, at: Column) -> Column:
-        terms = [F.coalesce(F.get(F.col(f"_b_{v}"), F.lit(i)), F.lit(0.0)) * x for i, x in enumerate(_design(at, per_day, harmonics))]
-        return sum(terms[1:], terms[0])
-
-    def residual(v: str, end: str) -> Column:
-        e = F.col(f"_{end}_{v}")
-        r = e["v"] - predicted(v, e["s"])
-        return F.when(_finite(r), r).otherwise(F.lit(0.0))
-
+        b = F.col(f"_b_{v}")
+        level = F.get(b, F.lit(0)) + F.get(b, F.lit(1)) * at / F.lit(float(per_day)) + F.get(b, F.lit(2) + F.pmod(at, F.lit(per_day)).cast("int"))
+        return F.coalesce(level, F.lit(0.0))
+
+    # In stages, so that no expression holds another many times over: compiled methods stay small enough to be optimised.
+    ends_of = [(v, e) for v in values for e in "pq"]
+    rows = rows.withColumns({f"_r{e}_{v}": F.col(f"_{e}_{v}.v") - predicted(v, F.col(f"_{e}_{v}.s")) for v, e in ends_of})
+    rows = rows.withColumns({f"_r{e}_{v}": F.when(_finite(F.col(f"_r{e}_{v}")), F.col(f"_r{e}_{v}")).otherwise(F.lit(0.0)) for v, e in ends_of})
+    rows = rows.withColumns({f"_s{e}_{v}": F.col(f"_{e}_{v}.s") for v, e in ends_of})
+    rows = rows.select(*keys, "_slot", *values, *[f"_b_{v}" for v in values], *[f"_{x}{e}_{v}" for v, e in ends_of for x in "rs"], F.explode(F.sequence("_slot", "_to")).alias("_g"))
+    rows = rows.withColumn("_here", F.col("_g") == F.col("_slot"))
+    rows = rows.withColumns({f"_m_{v}": predicted(v, F.col("_g")) for v in values} | {f"_w_{v}": (F.col("_g") - F.col(f"_sp_{v}")) / (F.col(f"_sq_{v}") - F.col(f"_sp_{v}")) for v in values} | {v: F.when(F.col("_here"), F.col(v)) for v in values})
+    rows = rows.withColumns({f"_m_{v}": F.col(f"_m_{v}") + F.col(f"_rp_{v}") * (F.lit(1.0) - F.col(f"_w_{v}")) + F.col(f"_rq_{v}") * F.col(f"_w_{v}") for v in values})
     out = [*keys, (F.col("_g") * F.lit(step_seconds)).alias("slot_start")]
-    here = F.col("_g") == F.col("_slot")
     for v in values:
-        seen = F.when(here, F.col(v))
-        p_, q = F.col(f"_p_{v}"), F.col(f"_q_{v}")
-        between = p_.isNotNull() & q.isNotNull()
-        share = (F.col("_g") - p_["s"]) / (q["s"] - p_["s"])
-        bridged = predicted(v, F.col("_g")) + residual(v, "p") * (F.lit(1.0) - share) + residual(v, "q") * share
-        if v in total:
-            bridged = F.greatest(bridged, F.lit(0.0))
-        out += [seen.alias(v), F.when(seen.isNotNull(), seen).when(between, bridged).alias(f"{v}_filled"), F.when(seen.isNotNull(), F.lit("observed")).when(between, F.lit("modelled")).otherwise(F.lit("open")).alias(f"{v}_source")]
-    return grid.select(*out)
+        between = F.col(f"_sp_{v}").isNotNull() & F.col(f"_sq_{v}").isNotNull()
+        bridged = F.greatest(F.col(f"_m_{v}"), F.lit(0.0)) if v in total else F.col(f"_m_{v}")
+        out += [F.col(v), F.when(F.col(v).isNotNull(), F.col(v)).when(between, bridged).alias(f"{v}_filled"), F.when(F.col(v).isNotNull(), F.lit("observed")).when(between, F.lit("modelled")).otherwise(F.lit("open")).alias(f"{v}_source")]
+    return rows.select(*out)

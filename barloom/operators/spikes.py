@@ -63,9 +63,10 @@ def phase_points(df: DataFrame, keys: Sequence[str], ts: str, tie: str, m: Measu
     step = {"_l": log, "_run": F.col("_pos") - F.max("_change").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1}
     if n := m.neighbours:
         trail = [F.col("_x"), *[F.lag("_x", i).over(w) for i in range(1, n)]]
-        ordered = F.sort_array(F.array(*trail))
-        step["_mid"] = F.when(trail[-1].isNotNull(), (F.get(ordered, F.lit((n - 1) // 2)) + F.get(ordered, F.lit(n // 2))) / 2)
+        step["_trail"] = F.when(trail[-1].isNotNull(), F.sort_array(F.array(*trail)))
     rows = rows.withColumns(step)
+    if n:  # a stage of its own, so that the sort isn't repeated for each middle value
+        rows = rows.withColumn("_mid", (F.get("_trail", F.lit((n - 1) // 2)) + F.get("_trail", F.lit(n // 2))) / 2).drop("_trail")
     step = {
         "_d1": F.col("_l") - F.lag("_l").over(w),
         "_d2": F.lead("_l").over(w) - 2 * F.col("_l") + F.lag("_l").over(w),
@@ -84,11 +85,12 @@ def phase_points(df: DataFrame, keys: Sequence[str], ts: str, tie: str, m: Measu
 def with_deviation(points: DataFrame, measures: Sequence[Measure]) -> DataFrame:
     """Adds ``_v``, the deviation from the usual value."""
     x, before = F.col("_x"), F.col("_before")
-    b, a = _off(x, before), _off(x, F.col("_after"))
+    points = points.withColumns({"_ob": _off(x, before), "_oa": _off(x, F.col("_after"))})
+    b, a = F.col("_ob"), F.col("_oa")
     near = F.when(b.isNull() | a.isNull(), F.coalesce(b, a)).when(F.abs(b) <= F.abs(a), b).otherwise(a)
     ratio = F.when(before <= 0, F.lit(float("inf"))).when(x > 0, F.ln(x / before))
     local = [m.column for m in measures if m.neighbours]
-    return points.withColumn("_v", F.when(F.col("_measure").isin(local), near).otherwise(ratio))
+    return points.withColumn("_v", F.when(F.col("_measure").isin(local), near).otherwise(ratio)).drop("_ob", "_oa")
 
 
 def _half_axes(points: DataFrame, keys: Sequence[str], limits: dict[str, float], per_octave: int, floor: float) -> DataFrame:
@@ -109,7 +111,7 @@ def _half_axes(points: DataFrame, keys: Sequence[str], limits: dict[str, float],
 
 def _outside(with_axes: DataFrame) -> Column:
     """Outside the ellipsoid; a missing coordinate counts as 0."""
-    terms = [F.coalesce(F.pow(F.col(c) / F.col(f"_a{c}"), 2), F.lit(0.0)) for c in AXES]
+    terms = [F.coalesce((F.col(c) / F.col(f"_a{c}")) * (F.col(c) / F.col(f"_a{c}")), F.lit(0.0)) for c in AXES]
     return reduce(Column.__add__, terms) > 1
 
 

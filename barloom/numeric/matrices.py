@@ -18,6 +18,15 @@ def to_covariance(corr: np.ndarray, sd: np.ndarray) -> np.ndarray:
     return corr * np.outer(sd, sd)
 
 
+def semidefinite(matrix: np.ndarray) -> np.ndarray:
+    """The matrix without negative eigenvalues, which pairwise covariances over different dates may have."""
+    values, vectors = np.linalg.eigh(matrix)
+    if not len(values) or values[0] >= 0:
+        return matrix
+    out = (vectors * np.maximum(values, 1e-10 * values[-1])) @ vectors.T
+    return (out + out.T) / 2
+
+
 def eigen(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues, largest first, and vectors of a symmetric matrix."""
     values, vectors = np.linalg.eigh(matrix)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.numeric import portfolio as P
-from barloom.numeric.matrices import denoise_covariance, oas_shrinkage
+from barloom.numeric.matrices import denoise_covariance, oas_shrinkage, semidefinite
 from barloom.ordering import with_position
 
 #: A covariance comes to the driver up to so many assets.
@@ -83,7 +83,7 @@ def allocate(returns: DataFrame, date: str, asset: str, solution: str, risk_free
     if solution not in SOLUTIONS:
         raise ValueError(f"solution is one of {SOLUTIONS}")
     names, mu, cov = moments(returns, date, asset, value)
-    mu, cov = mu * periods, cov * periods
+    mu, cov = mu * periods, semidefinite(cov) * periods
     by_date = None
     if shrunk or solution.endswith(("shortfall", "drawdown_risk")):
         if returns.count() > MAX_CELLS:

@@ -159,6 +159,32 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return rejected(parse_records(table(spark, folder, "raw_bars"))).select("record_id")
 
 
-@query("p6_loaded")
+def _only(i: int) -> str:
+    """The record's pattern with field i as its one group."""
+    free = '(?:"(?:[^"]|"")*"|[^",]*)'
+    return "(?s)^" + ",".join(f"({free})" if k == i else free for k in range(11)) + "$"
+
+
+def _unquoted(i: int) -> str:
+    x = f"regexp_extract(t, '{_only(i)}', 1)"
+    return f"""CASE WHEN {x} LIKE '"%' THEN replace({x}[2:-2], '""', '"') ELSE {x} END"""
+
+
+_NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+_MOMENT = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[ T]([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]{1,6})?"
+_LENIENT = {2: "tick_num", 3: "open", 4: "high", 5: "low", 7: "volume", 8: "cum_buy_volume", 9: "cum_ticks", 10: "cum_dollar_value"}
+_LOADED_SQL = (
+    "WITH r AS (SELECT record_id, feed_file, line_no, regexp_replace(raw_line, '\\r$', '') AS t FROM raw_bars), "
+    "f AS (SELECT record_id, feed_file, line_no, " + ", ".join(f"{_unquoted(i)} AS f{i}" for i in range(11)) + f" FROM r WHERE regexp_matches(t, '{_P6}')), "
+    "g AS (SELECT * REPLACE (" + ", ".join(f"trim(f{i}, ' ') AS f{i}" for i in range(1, 11)) + ") FROM f) "
+    "SELECT record_id, feed_file, line_no, f0 AS instrument_name, epoch_us(CAST(f1 AS TIMESTAMP)) AS date_time_us, CAST(ltrim(f6, '+') AS DOUBLE) AS close, "
+    + ", ".join(f"CASE WHEN regexp_full_match(f{i}, '{_NUMBER}') THEN try_cast(ltrim(f{i}, '+') AS DOUBLE) END AS {c}" for i, c in _LENIENT.items())
+    + f" FROM g WHERE regexp_full_match(f1, '{_MOMENT}') AND f1[1:4] <> '0000' AND try_cast(f1 AS TIMESTAMP) IS NOT NULL"
+    + f" AND regexp_full_match(f6, '{_NUMBER}') AND try_cast(ltrim(f6, '+') AS DOUBLE) > 0 AND try_cast(ltrim(f6, '+') AS DOUBLE) < 1e9"
+)
+
+
+@query("p6_loaded", _LOADED_SQL)
 def p6_loaded(spark: SparkSession, folder: str) -> DataFrame:
-    return loaded(parse_records(table(spark, folder, "raw_bars")))
+    out = loaded(parse_records(table(spark, folder, "raw_bars")))
+    return out.withColumn("date_time_us", F.unix_micros("date_time")).drop("date_time")

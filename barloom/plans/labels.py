@@ -209,13 +209,19 @@ def kelly(spark: SparkSession, folder: str) -> DataFrame:
     return _bets(spark, folder).select("instrument", "seq", F.round(Z.kelly(p, 1.2, -0.8), 9).alias("kelly"), F.round(Z.clipped_kelly(p, 1.2, -0.8), 9).alias("clipped"))
 
 
-@query("decile_calibration")
+_EDGES = " + ".join(f"CASE WHEN prob > (SELECT quantile_cont(prob, {i / 10}) FROM t) THEN 1 ELSE 0 END" for i in range(1, 10))
+
+
+@query("decile_calibration", f"""WITH t AS (SELECT prob, target, target_rets AS r FROM train WHERE prob BETWEEN 0 AND 1 AND target_rets BETWEEN -1 AND 1)
+SELECT {_EDGES} AS bucket, count(*) AS n, round(avg(prob), 6) AS mean_prob, round(avg(target), 6) AS hit_rate, round(avg(CASE WHEN r > 0 THEN r END), 6) AS mean_win, round(avg(CASE WHEN r <= 0 THEN r END), 6) AS mean_loss FROM t GROUP BY 1""")
 def decile_calibration(spark: SparkSession, folder: str) -> DataFrame:
     t = table(spark, folder, "train").where("prob between 0 and 1 and target_rets between -1 and 1")
-    return Z.decile_calibration(t, "prob", "target", "target_rets")
+    out = Z.decile_calibration(t, "prob", "target", "target_rets")
+    return out.select("bucket", "n", *[F.round(c, 6).alias(c) for c in ("mean_prob", "hit_rate", "mean_win", "mean_loss")])
 
 
-@query("ecdf_size")
+@query("ecdf_size", """WITH t AS (SELECT instrument, seq, floor(prob * 1000) AS b FROM train WHERE prob BETWEEN 0 AND 1), c AS (SELECT b, count(*) AS n FROM t GROUP BY 1), e AS (SELECT b, sum(n) OVER (ORDER BY b) / sum(n) OVER () AS s FROM c)
+SELECT instrument, seq, round(s, 6) AS bet_size FROM t JOIN e USING (b)""")
 def ecdf_size(spark: SparkSession, folder: str) -> DataFrame:
     t = table(spark, folder, "train").where("prob between 0 and 1")
-    return Z.ecdf_size(t, t.select("instrument", "seq", "prob"), "prob")
+    return Z.ecdf_size(t, t.select("instrument", "seq", "prob"), "prob").select("instrument", "seq", F.round("bet_size", 6).alias("bet_size"))

@@ -22,7 +22,7 @@ from barloom.plans.features import _days
 from barloom.plans.inputs import daily, ticks
 from barloom.plans.labels import _bets
 from barloom.plans.registry import query, table
-from barloom.plans.statistics import _panel, _returns
+from barloom.plans.statistics import _RET, _panel, _returns
 from barloom.shared import materialize
 
 KEYS = ["instrument"]
@@ -42,10 +42,17 @@ def _allocation(solution: str) -> None:
 
 
 for _s in P.SOLUTIONS:
-    if _s != "max_sharpe":
+    if _s not in ("max_sharpe", "inverse_variance"):
         _allocation(_s)
 
 
+@query("portfolio_inverse_variance", """WITH p AS (SELECT epoch_us(o_orderdate) // 86400000000 AS day, c_nationkey AS asset, avg(o_totalprice) AS x FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+r AS (SELECT asset, ln(x / lag(x) OVER (PARTITION BY asset ORDER BY day)) AS ret FROM p), v AS (SELECT asset, 1 / var_samp(ret) AS w FROM r WHERE ret IS NOT NULL GROUP BY 1)
+SELECT asset, round(w / sum(w) OVER (), 6) AS weight FROM v""")
+def portfolio_inverse_variance(spark: SparkSession, folder: str) -> DataFrame:
+    return P.allocate(_panel_returns(spark, folder), "day", "asset", "inverse_variance").withColumn("weight", F.round("weight", 6))
+
+
 @query("portfolio_max_sharpe")
 def portfolio_max_sharpe(spark: SparkSession, folder: str) -> DataFrame:
     r = _panel_returns(spark, folder)
@@ -53,9 +60,10 @@ def portfolio_max_sharpe(spark: SparkSession, folder: str) -> DataFrame:
     return P.allocate(r, "day", "asset", "max_sharpe", risk_free=float(low or 0.0) * 252, denoised=True)
 
 
-@query("exponential_mean_return")
+@query("exponential_mean_return", f"""WITH {_RET}, k AS (SELECT instrument, ret, row_number() OVER (PARTITION BY instrument ORDER BY day DESC) - 1 AS back FROM x)
+SELECT instrument, round(sum(pow({1 - 2 / 501!r}, back) * ret) / sum(pow({1 - 2 / 501!r}, back)) * 252, 5) AS mean_return FROM k GROUP BY 1""")
 def exponential_mean_return(spark: SparkSession, folder: str) -> DataFrame:
-    return P.exponential_mean(_returns(spark, folder), "day", "instrument")
+    return P.exponential_mean(_returns(spark, folder), "day", "instrument").withColumn("mean_return", F.round("mean_return", 5))
 
 
 class _Gather:

@@ -13,7 +13,7 @@ from barloom.operators import distance as D
 from barloom.operators.bars import tick_signs
 from barloom.ordering import with_position
 from barloom.plans.features import YEAR, _days, lag_sql
-from barloom.plans.inputs import DAILY_SQL, SIGNS_SQL, daily, ticks
+from barloom.plans.inputs import DAILY_SQL, SIGNS_SQL, TICKS_SQL, daily, ticks
 from barloom.plans.registry import query, table
 
 KEYS = ["instrument"]
@@ -91,9 +91,11 @@ def implied_precision(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("instrument", F.round("precision", 6).alias("precision"), F.round("needed", 6).alias("needed")).where("needed is not null")
 
 
-@query("failure_probability")
+@query("failure_probability", f"""WITH {_RET}, g AS (SELECT instrument, avg(CASE WHEN ret > 0 THEN ret END) AS up, avg(CASE WHEN ret <= 0 THEN ret END) AS down, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS p FROM x GROUP BY 1),
+a AS (SELECT *, (252 + 1) * pow(up - down, 2) AS a, (2 * 252 * down - (up - down)) * (up - down) AS b, 252 * down * down AS c FROM g), z AS (SELECT instrument, ((-b + sqrt(b * b - 4 * a * c)) / (2 * a) - p) / (p * (1 - p)) AS z FROM a WHERE up IS NOT NULL AND down IS NOT NULL)
+SELECT instrument, round({norm_cdf_sql('z')}, 6) AS risk FROM z""")
 def failure_probability(spark: SparkSession, folder: str) -> DataFrame:
-    return B.failure_probability(_returns(spark, folder), KEYS, 252.0, 1.0)
+    return B.failure_probability(_returns(spark, folder), KEYS, 252.0, 1.0).where("needed is not null").select("instrument", F.round("risk", 6).alias("risk"))
 
 
 @query("precision_grid", "WITH s AS (SELECT unnest([-0.05, -0.03, -0.01]) AS stop), f AS (SELECT unnest([12.0, 52.0, 252.0]) AS freq), a AS (SELECT *, (freq + 1) * pow(0.04 - stop, 2) AS a, (2 * freq * stop - (0.04 - stop)) * (0.04 - stop) AS b, freq * stop * stop AS c FROM s, f) SELECT CAST(stop AS DOUBLE) AS stop, CAST(freq AS DOUBLE) AS freq, round((-b + sqrt(b * b - 4 * a * c)) / (2 * a), 6) AS precision FROM a")
@@ -211,7 +213,11 @@ def plug_in_entropy(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("instrument", "bar", F.round(E.entropy(F.col("message"), "plug_in"), 6).alias("plug_in"))
 
 
-@query("quantile_letters")
+_LEVELS = ", ".join(repr(0.01 + i * 0.11) for i in range(10))
+
+
+@query("quantile_letters", f"""WITH {TICKS_SQL}, k AS (SELECT quantile_cont(volume, [{_LEVELS}]) AS q FROM ticks), d AS (SELECT instrument, seq, [abs(volume - v) FOR v IN (SELECT q FROM k)] AS d FROM ticks)
+SELECT instrument, seq, CAST(list_position(d, list_min(d)) - 1 AS INTEGER) AS letter FROM d""")
 def quantile_letters(spark: SparkSession, folder: str) -> DataFrame:
     t = ticks(spark, folder)
     keys = E.quantile_keys(t, "volume", 10)

@@ -48,7 +48,10 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, probabiliti
             break
         t, r = small_side(open_).alias("t"), rows.alias("r")
         inside = r.join(t, [*_same(keys, "r", "t"), F.col("r._x").between(F.col("t._lo"), F.col("t._hi"))]).select("t.*", "r._x")
-        part = F.floor((F.col("_x") / F.lit(2.0) - F.col("_lo") / F.lit(2.0)) / (F.col("_hi") / F.lit(2.0) - F.col("_lo") / F.lit(2.0)) * F.lit(float(parts)))
+        x, lo, hi = F.col("_x"), F.col("_lo"), F.col("_hi")
+        near = F.abs(hi) < F.lit(1e307)  # a difference of huge values overflows, of tiny ones it doesn't vanish
+        share = F.when(near & (F.abs(lo) < F.lit(1e307)), (x - lo) / (hi - lo)).otherwise((x / 2 - lo / 2) / (hi / 2 - lo / 2))
+        part = F.floor(share * F.lit(float(parts)))
         by = [*keys, "_which"]
         sub = inside.groupBy(*by, "_total", "_rank", part.alias("_b")).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
         sub = sub.withColumn("_end", F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
@@ -60,7 +63,10 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, probabiliti
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, per_octave: int = 64, parts: int = 1024) -> DataFrame:
     """keys, ``median`` (mean of the middle two for an even count) and ``n``; see ``order_statistics``."""
-    return order_statistics(df, keys, value, [0.5], per_octave, parts).groupBy(*keys).agg((F.sum("value") / 2).alias("median"), F.max("n").alias("n"))
+    both = order_statistics(df, keys, value, [0.5], per_octave, parts).groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.max("n").alias("n"))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    middle = F.when(lo == hi, lo).when(F.greatest(F.abs(lo), F.abs(hi)) < F.lit(8e307), (lo + hi) / 2).otherwise(lo / 2 + hi / 2)
+    return both.select(*keys, middle.alias("median"), "n")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], higher: bool = False) -> DataFrame:

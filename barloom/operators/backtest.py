@@ -90,7 +90,7 @@ def drawdowns(returns: DataFrame, keys: Sequence[str], ts: str, value: str, days
     rows = running(returns.withColumn("_days", days), keys, ts, [], {"hwm": ("max", value)}, cell_us=cell_us)
     marks = rows.groupBy(*keys, "hwm").agg(F.min(value).alias("_low"), F.min(ts).alias(ts), F.min("_days").alias("_at")).where(F.col("hwm") > F.col("_low"))
     nxt = F.lead("_at").over(Window.partitionBy(*keys).orderBy("_at"))
-    drop = F.col("hwm") - F.col("_low") if dollars else 1 - F.col("_low") / F.col("hwm")
+    drop = F.col("hwm") - F.col("_low") if dollars else 1 - F.try_divide("_low", "hwm")
     return marks.select(*keys, ts, "hwm", drop.alias("drawdown"), ((nxt - F.col("_at")) / 365.25).alias("years_under_water"))
 
 

@@ -31,7 +31,7 @@ def first_touches(prices: DataFrame, events: DataFrame, keys: Sequence[str], ts:
     e = price_at(events, prices, keys, "t0", "_p0", ts, close)
     e = e.join(last, list(keys), "left").withColumn("_end", F.coalesce("t1", "_last"))
     pairs = range_join(prices.select(*keys, F.col(ts).alias("_ts"), F.col(close).alias("_close")), e.select(*keys, "t0", "_end", "trgt", "side", "pt", "sl", "_p0"), keys, "_ts", "t0", "_end", cell_us)
-    r = (F.col("_close") / F.col("_p0") - 1) * F.col("side")
+    r = (F.try_divide("_close", "_p0") - 1) * F.col("side")
     up = F.when((F.col("pt") > 0) & (r > F.col("pt") * F.col("trgt")), F.col("_ts"))
     down = F.when((F.col("sl") > 0) & (r < -F.col("sl") * F.col("trgt")), F.col("_ts"))
     hits = pairs.groupBy(*keys, "t0").agg(F.min(up).alias("pt_time"), F.min(down).alias("sl_time"))
@@ -57,7 +57,7 @@ def meta_labels(prices: DataFrame, barriers: DataFrame, keys: Sequence[str], wit
     positive."""
     e = barriers.where(F.col("touch").isNotNull())
     e = price_at(price_at(e, prices, keys, "t0", "_a"), prices, keys, "touch", "_b").where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
-    log = F.ln(F.col("_b") / F.col("_a")) * (F.col("side") if with_side else F.lit(1.0))
+    log = F.ln(F.try_divide("_b", "_a")) * (F.col("side") if with_side else F.lit(1.0))
     out = barrier_outcome(F.col("_log"), F.col("trgt"), F.col("pt"), F.col("sl"))
     out = F.when(F.col("_log") <= 0, 0).otherwise(out) if with_side else out
     return e.withColumn("_log", log).select(*keys, "t0", (F.exp("_log") - 1).alias("ret"), "trgt", out.alias("bin"), *(["side"] if with_side else []))

@@ -33,8 +33,8 @@ def roll_impact(s: Staged, close: str = "c", dollar_volume: str = "dollar", wind
 
 def high_low_spread(s: Staged, high: str = "h", low: str = "l", window: int = 20) -> Staged:
     """``beta``, ``gamma``, ``alpha``, ``spread`` and ``hl_volatility`` from the highs and lows of two days."""
-    s.let(_hl=F.pow(F.ln(F.col(high) / F.col(low)), 2), _h2=s.roll(F.max, high, 2), _l2=s.roll(F.min, low, 2)).let(_b2=s.roll(F.sum, "_hl", 2))
-    s.let(beta=s.roll(F.avg, "_b2", window), gamma=F.pow(F.ln(F.col("_h2") / F.col("_l2")), 2))
+    s.let(_hl=F.pow(F.ln(F.try_divide(F.col(high), F.col(low))), 2), _h2=s.roll(F.max, high, 2), _l2=s.roll(F.min, low, 2)).let(_b2=s.roll(F.sum, "_hl", 2))
+    s.let(beta=s.roll(F.avg, "_b2", window), gamma=F.pow(F.ln(F.try_divide("_h2", "_l2")), 2))
     raw = (math.sqrt(2) - 1) * F.sqrt("beta") / _DEN - F.sqrt(F.col("gamma") / _DEN)
     s.let(alpha=F.when(raw < 0, F.lit(0.0)).otherwise(raw))
     k2 = math.sqrt(8 / math.pi)
@@ -59,7 +59,8 @@ def bar_lambdas(s: Staged, close: str = "c", volume: str = "v", dollar_volume: s
 
 
 def slope_through_origin(x: Column, y: Column) -> Column:
-    return F.try_divide(F.sum(x * y), F.sum(x * x))
+    """Over the rows that have both."""
+    return F.try_divide(F.sum(x * y), F.sum(F.when(y.isNotNull(), x * x)))
 
 
 def trade_lambdas(trades: DataFrame, keys: Sequence[str], price_diff: str = "price_diff", log_ret: str = "log_ret", volume: str = "volume", dollar: str = "dollar", flag: str = "sign") -> DataFrame:

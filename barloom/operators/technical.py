@@ -83,7 +83,7 @@ def daily_volatility(prices: DataFrame, keys: Sequence[str], ts: str = "ts", clo
     due = prices.select(*keys, ts, close).withColumn("_due", F.col(ts) - F.lit(DAY_US))
     past = prices.select(*keys, F.col(ts).alias("_at"), F.col(close).alias("_past"))
     rows = asof_join(due, past, keys, "_due", "_at", ["_past"], exact=False).where(F.col("_past").isNotNull())
-    out = ewm(rows.withColumn("_r", F.col(close) / F.col("_past") - 1), keys, ts, "_r", span=lookback)
+    out = ewm(rows.withColumn("_r", F.try_divide(F.col(close), F.col("_past")) - 1), keys, ts, "_r", span=lookback)
     return out.select(*keys, ts, F.col("ewm_std").alias("volatility"))
 
 

@@ -14,7 +14,7 @@ from barloom.ordering import Staged
 
 
 def _ln(a: str, b: str):
-    return F.ln(F.col(a) / F.col(b))
+    return F.ln(F.try_divide(a, b))
 
 
 def parkinson(s: Staged, window: int = 20, out: str = "parkinson") -> Staged:
@@ -36,7 +36,7 @@ def rogers_satchell(s: Staged, window: int = 21, out: str = "rogers_satchell") -
 def yang_zhang(s: Staged, window: int = 21, out: str = "yang_zhang") -> Staged:
     """Overnight, open-to-close and range parts; the first two are centred on their rolling means."""
     rogers_satchell(s, window, "_rsv")
-    s.let(_pc=s.lag("c")).let(_on=F.ln(F.col("o") / F.col("_pc")), _oc=_ln("c", "o"))
+    s.let(_pc=s.lag("c")).let(_on=_ln("o", "_pc"), _oc=_ln("c", "o"))
     s.let(_on2=F.pow(F.col("_on") - s.roll(F.avg, "_on", window), 2), _oc2=F.pow(F.col("_oc") - s.roll(F.avg, "_oc", window), 2))
     k = 0.34 / (1.34 + (window + 1) / (window - 1))
     return s.let(**{out: F.sqrt(s.roll(F.avg, "_on2", window) + k * s.roll(F.avg, "_oc2", window) + (1 - k) * F.pow(F.col("_rsv"), 2))})
@@ -47,7 +47,7 @@ def intrinsic_entropy(s: Staged, total_volume: str, window: int = 21, out: str =
     s.let(_pc=s.lag("c"), _p=F.try_divide(F.col("v"), F.col(total_volume)), _pv=s.lag("v"))
     s.let(_q=F.try_divide(F.col("_pv"), F.col(total_volume)))
     s.let(
-        _co=-F.ln(F.col("o") / F.col("_pc")) * F.col("_p") * F.ln("_q"), _oc=-_ln("c", "o") * F.col("_p") * F.ln("_p"),
+        _co=-_ln("o", "_pc") * F.col("_p") * F.ln("_q"), _oc=-_ln("c", "o") * F.col("_p") * F.ln("_p"),
         _oh=-(_ln("o", "h") * _ln("h", "c") + _ln("l", "o") * _ln("l", "c")) * F.col("_p") * F.ln("_p"),
     )
     k = 0.34 / (1.34 + (window + 1) / (window - 1))

@@ -35,7 +35,7 @@ def average_uniqueness(prices: DataFrame, labels: DataFrame, keys: Sequence[str]
 
 def log_returns(prices: DataFrame, keys: Sequence[str], ts: str = "ts", close: str = "close") -> DataFrame:
     """prices with ``ret``, the log return since the price before."""
-    return running(prices, keys, ts, [], {"_before": ("last", close)}, inclusive=False).withColumn("ret", F.ln(F.col(close) / F.col("_before"))).drop("_before")
+    return running(prices, keys, ts, [], {"_before": ("last", close)}, inclusive=False).withColumn("ret", F.ln(F.try_divide(F.col(close), F.col("_before")))).drop("_before")
 
 
 def weights_by_return(prices: DataFrame, labels: DataFrame, keys: Sequence[str], ts: str = "ts", close: str = "close") -> DataFrame:
@@ -52,7 +52,7 @@ def weights_by_time_decay(uniqueness: DataFrame, keys: Sequence[str], decay: flo
     share of oldest labels that get 0."""
     rows = running(uniqueness.where(F.col("uniqueness").isNotNull()), keys, "t0", ["t1"], {"_c": ("sum", "uniqueness")})
     total = rows.groupBy(*keys).agg(F.sum("uniqueness").alias("_all"))
-    slope = (1 - decay) / F.col("_all") if decay >= 0 else 1 / ((decay + 1) * F.col("_all"))
+    slope = F.try_divide(F.lit(1.0 - decay), F.col("_all")) if decay >= 0 else F.try_divide(F.lit(1.0), (decay + 1) * F.col("_all"))
     w = 1 - slope * F.col("_all") + slope * F.col("_c")
     return rows.join(total, list(keys)).select(*keys, "t0", F.greatest(w, F.lit(0.0)).alias("weight"))
 

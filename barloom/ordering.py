@@ -125,7 +125,12 @@ class Staged:
         return F.col(c) - self.lag(c)
 
     def log_return(self, c: str) -> Column:
-        return F.ln(F.col(c) / self.lag(c))
+        """Null where either value isn't positive."""
+        return F.ln(F.try_divide(F.col(c), self.lag(c)))
+
+    def change(self, c: str) -> Column:
+        """Relative change; null after a 0."""
+        return F.try_divide(F.col(c), self.lag(c)) - 1
 
     def roll(self, f, c: Column | str, n: int) -> Column:
         """``f`` of the last n values; null unless all n are there."""

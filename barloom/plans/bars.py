@@ -90,8 +90,8 @@ def resample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("bar_features", f"""WITH {SIGNS_SQL}, b AS (SELECT *, (rn - 1) // 5 AS bar FROM signs)
-SELECT instrument, max(rn) AS tick_num, avg(volume) AS avg_tick_size, sum(sgn) AS tick_rule_sum, round(sum(price * volume) / sum(volume), 6) AS vwap FROM b GROUP BY instrument, bar HAVING count(*) = 5""")
+SELECT instrument, max(rn) AS tick_num, avg(volume) AS avg_tick_size, sum(sgn) AS tick_rule_sum, round(sum(price * volume) / sum(volume), 9) AS vwap FROM b GROUP BY instrument, bar HAVING count(*) = 5""")
 def bar_features(spark: SparkSession, folder: str) -> DataFrame:
     t = ticks(spark, folder)
-    features = [B.BarFeature("avg_tick_size", F.avg("volume")), B.BarFeature("tick_rule_sum", F.sum(F.col("sign").cast("bigint"))), B.BarFeature("vwap", F.round(F.sum(F.col("price") * F.col("volume")) / F.sum("volume"), 6))]
+    features = [B.BarFeature("avg_tick_size", F.avg("volume")), B.BarFeature("tick_rule_sum", F.sum(F.col("sign").cast("bigint"))), B.BarFeature("vwap", F.round(F.try_divide(F.sum(F.col("price") * F.col("volume")), F.sum("volume")), 9))]
     return B.bars_with_features(t, B.tick_bars(t, threshold=5), features).select("instrument", "tick_num", "avg_tick_size", "tick_rule_sum", "vwap")

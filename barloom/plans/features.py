@@ -85,12 +85,12 @@ def bar_lambdas(spark: SparkSession, folder: str) -> DataFrame:
     return _out(s.let(kyle=F.col("kyle") * 1e6, amihud=F.col("amihud") * 1e9, hasbrouck=F.col("hasbrouck") * 1e6), "kyle", "amihud", "hasbrouck")
 
 
-@query("trade_lambdas", f"""WITH {SIGNS_SQL}, t AS (SELECT *, price - lag(price) OVER (PARTITION BY instrument ORDER BY rn) AS pd, ln(price / lag(price) OVER (PARTITION BY instrument ORDER BY rn)) AS lr, price * volume AS d FROM signs)
+@query("trade_lambdas", f"""WITH {SIGNS_SQL}, t AS (SELECT *, price - lag(price) OVER (PARTITION BY instrument ORDER BY rn) AS pd, ln(nullif(price, 0) / nullif(lag(price) OVER (PARTITION BY instrument ORDER BY rn), 0)) AS lr, price * volume AS d FROM signs)
 SELECT instrument, round(sum(volume * sgn * pd) / sum(CASE WHEN pd IS NOT NULL THEN pow(volume * sgn, 2) END), 6) AS kyle, round(1e6 * sum(d * abs(lr)) / sum(CASE WHEN lr IS NOT NULL THEN d * d END), 4) AS amihud,
   round(1e3 * sum(sqrt(d) * sgn * abs(lr)) / sum(CASE WHEN lr IS NOT NULL THEN d * sgn * sgn END), 4) AS hasbrouck FROM t WHERE pd IS NOT NULL GROUP BY 1""")
 def trade_lambdas(spark: SparkSession, folder: str) -> DataFrame:
     t = running(tick_signs(ticks(spark, folder), ["instrument"]), ["instrument"], "ts", ["seq"], {"before": ("last", "price")}, inclusive=False)
-    t = t.where(F.col("before").isNotNull()).select("instrument", "sign", "volume", (F.col("price") - F.col("before")).alias("price_diff"), F.ln(F.col("price") / F.col("before")).alias("log_ret"), (F.col("price") * F.col("volume")).alias("dollar"))
+    t = t.where(F.col("before").isNotNull()).select("instrument", "sign", "volume", (F.col("price") - F.col("before")).alias("price_diff"), F.ln(F.try_divide("price", "before")).alias("log_ret"), (F.col("price") * F.col("volume")).alias("dollar"))
     out = M.trade_lambdas(t, ["instrument"])
     return out.select("instrument", F.round("kyle", 6).alias("kyle"), F.round(F.col("amihud") * 1e6, 4).alias("amihud"), F.round(F.col("hasbrouck") * 1e3, 4).alias("hasbrouck"))
 
@@ -217,7 +217,7 @@ def kalman_smoother(spark: SparkSession, folder: str) -> DataFrame:
 @query("daily_ewm_volatility")
 def daily_ewm_volatility(spark: SparkSession, folder: str) -> DataFrame:
     s = _days(spark, folder)
-    returns = s.let(r=F.col("c") / s.lag("c") - 1).rows("instrument", "day", "r").where("r is not null")
+    returns = s.let(r=s.change("c")).rows("instrument", "day", "r").where("r is not null")
     return V.ewm(returns, ["instrument"], "day", "r", span=100)
 
 

@@ -24,7 +24,7 @@ _POS = f"{DAILY_SQL}, pos AS (SELECT instrument, day, rn, CAST((day * 7 + instru
 
 def _returns(spark: SparkSession, folder: str) -> DataFrame:
     s = _days(spark, folder)
-    return s.let(ret=F.col("c") / s.lag("c") - 1).rows("instrument", "day", "ret").where("ret is not null")
+    return s.let(ret=s.change("c")).rows("instrument", "day", "ret").where("ret is not null")
 
 
 def _positions(spark: SparkSession, folder: str) -> DataFrame:

@@ -87,7 +87,7 @@ def true_strength(spark: SparkSession, folder: str) -> DataFrame:
 def lagged_day_return(spark: SparkSession, folder: str) -> DataFrame:
     p = prices(spark, folder)
     rows = asof_join(p.withColumn("due", F.col("ts") - 86_400_000_000), p.select("instrument", F.col("ts").alias("at"), F.col("close").alias("past")), KEYS, "due", "at", ["past"], exact=False)
-    return rows.where("past is not null").select("instrument", "ts", F.round(F.col("close") / F.col("past") - 1, 6).alias("ret"))
+    return rows.where("past is not null").select("instrument", "ts", F.round(F.try_divide("close", "past") - 1, 6).alias("ret"))
 
 
 @query("daily_volatility")
@@ -109,22 +109,22 @@ def difference_search(spark: SparkSession, folder: str) -> DataFrame:
 SELECT instrument, day, round(r, 6) AS r, CASE WHEN lead(r) OVER w > 0 THEN 1 WHEN lead(r) OVER w IS NOT NULL THEN 0 END AS target, round(lead(r) OVER w, 6) AS target_ret, round(lag(r, 1) OVER w, 6) AS lag_1, round(lag(r, 5) OVER w, 6) AS lag_5 FROM r WINDOW w AS (PARTITION BY instrument ORDER BY rn)""")
 def directional_dataset(spark: SparkSession, folder: str) -> DataFrame:
     s = _days(spark, folder)
-    s = L.directional_dataset(s.let(r=F.col("c") / s.lag("c") - 1), "r")
+    s = L.directional_dataset(s.let(r=s.change("c")), "r")
     return s.rows("instrument", "day", "target", *[F.round(c, 6).alias(c) for c in ("r", "target_ret", "lag_1", "lag_5")])
 
 
 @query("micro_features", f"""WITH {SIGNS_SQL}, t AS (SELECT *, price - lag(price) OVER w AS pd, ln(price / lag(price) OVER w) AS lr, price * volume AS d, (rn - 1) // 10 AS bar FROM signs WINDOW w AS (PARTITION BY instrument ORDER BY rn)),
 f AS (SELECT instrument, max(rn) AS tick_num, avg(volume) AS avg_tick_size, sum(sgn) AS tick_rule_sum, sum(d) / sum(volume) AS vwap, sum(volume * sgn * pd) / nullif(sum(CASE WHEN pd IS NOT NULL THEN pow(volume * sgn, 2) END), 0) AS kyle, count(*) AS n FROM t GROUP BY instrument, bar)
-SELECT instrument, tick_num, round(avg_tick_size, 6) AS avg_tick_size, tick_rule_sum, round(vwap, 6) AS vwap, round(kyle, 6) AS kyle FROM f WHERE n = 10""")
+SELECT instrument, tick_num, round(avg_tick_size, 6) AS avg_tick_size, tick_rule_sum, round(vwap, 9) AS vwap, round(kyle, 6) AS kyle FROM f WHERE n = 10""")
 def micro_features(spark: SparkSession, folder: str) -> DataFrame:
-    return _micro(spark, folder).select("instrument", "tick_num", F.round("avg_tick_size", 6).alias("avg_tick_size"), "tick_rule_sum", F.round("vwap", 6).alias("vwap"), F.round("kyle", 6).alias("kyle"))
+    return _micro(spark, folder).select("instrument", "tick_num", F.round("avg_tick_size", 6).alias("avg_tick_size"), "tick_rule_sum", F.round("vwap", 9).alias("vwap"), F.round("kyle", 6).alias("kyle"))
 
 
 def _micro(spark: SparkSession, folder: str) -> DataFrame:
     """The feature table of tick bars: sizes, lambdas and the message of tick signs."""
     t = running(ticks(spark, folder), KEYS, "ts", ["seq"], {"before": ("last", "price")}, inclusive=False)
     c = F.col
-    pd_, lr, d = c("price") - c("before"), F.ln(c("price") / c("before")), c("price") * c("volume")
+    pd_, lr, d = c("price") - c("before"), F.ln(F.try_divide("price", "before")), c("price") * c("volume")
     flagged = F.when(c("before").isNotNull(), c("volume") * c("sign"))
     features = [
         B.BarFeature("avg_tick_size", M.average_tick_size(c("volume"))), B.BarFeature("tick_rule_sum", F.sum(c("sign").cast("bigint"))), B.BarFeature("vwap", M.vwap(d, c("volume"))),

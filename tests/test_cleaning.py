@@ -172,7 +172,7 @@ def test_trailing_edge_values(spark):
 def test_exact_median(spark):
     rng = np.random.default_rng(2)
     rows = [(k, float(x)) for k, n in ((1, 999), (2, 1000), (3, 1), (4, 2)) for x in np.round(rng.standard_t(2, n) * 10.0 ** rng.integers(-3, 6, n), 3)]
-    rows += [(5, 7.0)] * 40 + [(6, None), (6, float("nan")), (None, 1.0), (None, 2.0), (7, -0.0), (7, 0.0), (7, 1e-300)]
+    rows += [(5, 7.0)] * 40 + [(6, None), (6, float("nan")), (None, 1.0), (None, 2.0), (7, -0.0), (7, 0.0), (7, 1e-300), (8, 5e-324), (8, 1e-323), (9, -1.7e308), (9, 1.7e308), (9, 1.6e308)]
     out = {r.k: (r.median, r.n) for r in exact_median(spark.createDataFrame(rows, "k long, x double"), ["k"], "x", per_octave=4, parts=8).collect()}
     want = {}
     for k, x in rows:

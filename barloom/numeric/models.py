@@ -37,8 +37,7 @@ def conditional_variance(model: str, r: np.ndarray, p: np.ndarray) -> np.ndarray
             delta[k] = (k - d) / (k + 1) * delta[k - 1]
             pi[k] = beta * pi[k - 1] + delta[k] - phi * delta[k - 1]
         squares = np.concatenate([np.full(lags, v0), r**2])
-        for t in range(n):
-            h[t] = omega / max(1 - beta, 1e-6) + pi @ squares[t + lags - 1 : t - 1 if t else None : -1][:lags]
+        h = omega / max(1 - beta, 1e-6) + np.convolve(squares, pi)[lags - 1 : lags - 1 + n]
     else:
         raise ValueError(f"model is one of {VOLATILITY_MODELS}")
     return np.maximum(h, 1e-300)

@@ -109,13 +109,13 @@ def _half_axes(points: DataFrame, keys: Sequence[str], limits: dict[str, float],
     return middle.groupBy(*by).agg(*[F.max(F.when(F.col("_axis") == i, half)).alias(f"_a{c}") for i, c in enumerate(AXES)])
 
 
-def _outside(with_axes: DataFrame) -> Column:
-    """Outside the ellipsoid; a missing coordinate counts as 0."""
-    terms = [F.coalesce((F.col(c) / F.col(f"_a{c}")) * (F.col(c) / F.col(f"_a{c}")), F.lit(0.0)) for c in AXES]
-    return reduce(Column.__add__, terms) > 1
+def _outside(with_sets: DataFrame) -> Column:
+    """Outside the ellipsoid of any round's half-axes; a missing coordinate counts as 0."""
+    term = lambda a, c: F.coalesce((F.col(c) / a[f"_a{c}"]) * (F.col(c) / a[f"_a{c}"]), F.lit(0.0))
+    return F.coalesce(F.exists("_sets", lambda a: reduce(Column.__add__, [term(a, c) for c in AXES]) > 1), F.lit(False))
 
 
-def flag_readings(df: DataFrame, measures: Sequence[Measure], keys: Sequence[str] = ("instrument",), ts: str = "date_time", tie: str = "seq", bounds: dict[str, Column] | None = None, iterations: int = 3, per_octave: int = 4, floor: float = 1e-3, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def flag_readings(df: DataFrame, measures: Sequence[Measure], keys: Sequence[str] = ("instrument",), ts: str = "date_time", tie: str = "seq", bounds: dict[str, Column] | None = None, per_octave: int = 4, floor: float = 1e-3, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The readings with a fault, one row each: keys, tie, ``measure``, ``fault`` ('spike', 'stuck' or 'bounds'), ``reading``,
     ``usual_before``, ``usual_after`` (the medians that a spike was measured against) and ``rule`` (the name of the broken bound).
 
@@ -123,22 +123,34 @@ def flag_readings(df: DataFrame, measures: Sequence[Measure], keys: Sequence[str
     (its neighbours close up) and meets no bound; repeated rows count as readings; null keys form their own source; readings
     at or below 0 have no logarithm, so only their deviation counts. Sources with fewer readings than neighbours have no
     usual value and can only be flagged by differences, runs and bounds. An empty table gives no rows. Other columns are
-    ignored. ``per_octave`` sets how exactly the robust scale is taken (4: within a tenth).
+    ignored. Rounds go on until no source's half-axes change. ``per_octave`` sets how exactly the robust scale is taken (4: within a tenth).
     """
     points = materialize(reduce(DataFrame.unionByName, [phase_points(df, keys, ts, tie, m, block_rows) for m in measures]), "points")
     points = with_deviation(points, measures)
     limits = {m.column: m.limit * (1 - 1e-9) for m in measures}
     by = [*keys, "_measure"]
-    left, rounds = points, []
-    for i in range(iterations):
+    names = [f"_a{c}" for c in AXES]
+    left, sets, last = points, None, None
+    while True:
         axes = materialize(_half_axes(left, keys, limits, per_octave, floor), "axes")
-        joined = left.alias("p").join(small_side(axes).alias("a"), _same(by, "p", "a"), "left").select("p.*", *[F.col(f"a._a{c}") for c in AXES])
-        rounds.append(axes)
-        if i + 1 < iterations:
-            left = joined.where(~_outside(joined)).select(*points.columns)
-    # The half-axes only shrink, so one test against the shortest of all rounds finds what any round flagged.
-    shortest = reduce(DataFrame.unionByName, rounds).groupBy(*by).agg(*[F.min(f"_a{c}").alias(f"_a{c}") for c in AXES])
-    joined = points.alias("p").join(small_side(materialize(shortest, "axes")).alias("a"), _same(by, "p", "a"), "left").select("p.*", *[F.col(f"a._a{c}") for c in AXES])
+        one = axes.select(*by, F.array(F.struct(*names)).alias("_sets"))
+        if last is None:
+            sets, unsettled = materialize(one, "axes"), axes.select(*by)
+        else:
+            same = reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"l.{c}")) for c in names])
+            unsettled = axes.alias("a").join(small_side(last).alias("l"), _same(by, "a", "l")).where(~same).select(*[F.col(f"a.{k}").alias(k) for k in by])
+        unsettled = materialize(unsettled, "unsettled")
+        if unsettled.isEmpty():
+            break
+        if last is not None:
+            added = F.when(F.col("n._sets").isNull(), F.col("s._sets")).otherwise(F.concat("s._sets", "n._sets")).alias("_sets")
+            sets = materialize(sets.alias("s").join(small_side(materialize(one, "axes")).alias("n"), _same(by, "s", "n"), "left").select(*[F.col(f"s.{k}").alias(k) for k in by], added), "axes")
+        # A source whose half-axes are those of the round before has settled: only the others go on.
+        going = sets.alias("s").join(small_side(unsettled).alias("u"), _same(by, "s", "u"), "leftsemi").select("s.*")
+        joined = points.alias("p").join(small_side(materialize(going, "axes")).alias("a"), _same(by, "p", "a")).select("p.*", "a._sets")
+        left, last = joined.where(~_outside(joined)).select(*points.columns), axes
+    # What any round flagged is outside of that round's half-axes.
+    joined = points.alias("p").join(small_side(sets).alias("a"), _same(by, "p", "a"), "left").select("p.*", "a._sets")
     faults = F.array_compact(F.array(F.when(_outside(joined), F.lit("spike")), F.when(F.col("_stuck"), F.lit("stuck"))))
     found = joined.select(*keys, F.col("_tie").alias(tie), F.col("_measure").alias("measure"), F.explode(faults).alias("fault"), F.col("_x").alias("reading"), F.col("_before").alias("usual_before"), F.col("_after").alias("usual_after"), F.lit(None).cast("string").alias("rule"))
     if not bounds:

@@ -242,3 +242,18 @@ def test_volume_far_above_the_median_is_always_flagged(spark):
     m = statistics.median(vols)
     assert {s for s, v in enumerate(vols) if v > 20 * m} <= {r.seq for r in out if r.instrument == 1}
     assert {r.seq for r in out if r.instrument == 2 and r.reading > 0} == {0}  # a median of 0: any volume is far above
+
+
+def test_spike_rounds_go_on_until_nothing_new_is_flagged(spark):
+    from barloom.operators import spikes
+
+    rng = random.Random(11)
+    heavy = lambda: 0.01 * math.tan(math.pi * (rng.random() - 0.5))
+    df = spark.createDataFrame([bar(1, s, s, 50.0 * math.exp(max(-9, min(9, heavy()))), 1.0) for s in range(2000)], BARS)
+    m = Measure("close", 0.1, 10, 8)
+    found = flag_readings(df, [m]).where("fault = 'spike'").select(F.col("seq").alias("_tie"))
+    points = spikes.with_deviation(spikes.phase_points(df, ["instrument"], "date_time", "seq", m), [m])
+    left = points.join(found, "_tie", "left_anti").cache()
+    axes = spikes._half_axes(left, ["instrument"], {"close": 0.1 * (1 - 1e-9)}, 4, 1e-3).first()
+    terms = [F.coalesce(F.pow(F.col(c) / axes[f"_a{c}"], 2), F.lit(0.0)) for c in spikes.AXES]
+    assert left.count() < 2000 and left.where(terms[0] + terms[1] + terms[2] > 1).count() == 0

@@ -10,6 +10,9 @@ import numpy as np
 from barloom.numeric.optimize import nelder_mead
 
 VOLATILITY_MODELS = ("arch", "garch", "egarch", "garchm", "figarch")
+#: Free parameters of each likelihood: a shorter series has no fit.
+VOLATILITY_PARAMETERS = {"arch": 3, "garch": 4, "egarch": 4, "garchm": 4, "figarch": 5}
+REGIME_PARAMETERS, TREND_PARAMETERS = 7, 3  # of two regimes: start, two transitions, two means, two variances
 
 
 def conditional_variance(model: str, r: np.ndarray, p: np.ndarray) -> np.ndarray:

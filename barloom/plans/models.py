@@ -73,7 +73,8 @@ class _Gather:
         self.fn, self.parts = fn, []
 
     def feed(self, columns):
-        self.parts.append(columns["_x"].astype(float))
+        x = columns["_x"].astype(float)
+        self.parts.append(x[~np.isnan(x)])
         return {}
 
     def finish(self):
@@ -81,20 +82,28 @@ class _Gather:
 
 
 def _per_series(df: DataFrame, order: str, value: str, fn, outputs: str) -> DataFrame:
-    rows = df.select(*KEYS, F.col(order).alias("_o"), F.col(value).cast("double").alias("_x")).where("_x is not null")
+    """A series without values is handed over too, as an empty array."""
+    rows = df.select(*KEYS, F.col(order).alias("_o"), F.col(value).cast("double").alias("_x"))
     return fold(rows, KEYS, ["_o"], ["_x"], lambda: _Gather(fn), outputs)
 
 
+def _all_returns(spark: SparkSession, folder: str) -> DataFrame:
+    """The days' returns with the null ones, so that every instrument has a row."""
+    s = _days(spark, folder)
+    return s.let(ret=s.change("c")).rows("instrument", "day", "ret")
+
+
 def _volatility(model: str) -> None:
     @query(f"volatility_{model}")
     def run(spark: SparkSession, folder: str) -> DataFrame:
         def fit(x: np.ndarray) -> dict[str, np.ndarray]:
-            if len(x) < 50:
-                return {}
+            names = ("mu", "omega", "loglik", "last_variance")
+            if len(x) < N.VOLATILITY_PARAMETERS[model]:
+                return {k: np.array([np.nan]) for k in names}
             out = N.fit_volatility(x, model)
-            return {k: np.array([out[k]]) for k in ("mu", "omega", "loglik", "last_variance")}
+            return {k: np.array([out[k]]) for k in names}
 
-        return _per_series(_returns(spark, folder), "day", "ret", fit, "mu double, omega double, loglik double, last_variance double")
+        return _per_series(_all_returns(spark, folder), "day", "ret", fit, "mu double, omega double, loglik double, last_variance double")
 
     run.__name__ = f"volatility_{model}"
 
@@ -106,23 +115,23 @@ for _m in N.VOLATILITY_MODELS:
 @query("hidden_regimes")
 def hidden_regimes(spark: SparkSession, folder: str) -> DataFrame:
     def fit(x: np.ndarray) -> dict[str, np.ndarray]:
-        if len(x) < 30:
-            return {}
+        if len(x) < N.REGIME_PARAMETERS:
+            return {"regime": np.arange(2)} | {k: np.full(2, np.nan) for k in ("mean", "variance", "stay")}
         out = N.hidden_regimes(x)
         return {"regime": np.arange(2), "mean": out["mean"], "variance": out["variance"], "stay": np.diag(out["transition"])}
 
-    return _per_series(_returns(spark, folder), "day", "ret", fit, "regime int, mean double, variance double, stay double")
+    return _per_series(_all_returns(spark, folder), "day", "ret", fit, "regime int, mean double, variance double, stay double")
 
 
 @query("local_trend")
 def local_trend(spark: SparkSession, folder: str) -> DataFrame:
     def fit(x: np.ndarray) -> dict[str, np.ndarray]:
-        if len(x) < 60:
-            return {}
+        if len(x) < N.TREND_PARAMETERS:
+            return {k: np.array([np.nan]) for k in ("measurement", "level", "slope", "loglik")}
         out = N.local_trend(np.log(x))
         return {k: np.array([v]) for k, v in out.items()}
 
-    return _per_series(daily(spark, folder).where("c > 0"), "day", "c", fit, "measurement double, level double, slope double, loglik double")
+    return _per_series(daily(spark, folder).withColumn("c", F.when(F.col("c") > 0, F.col("c"))), "day", "c", fit, "measurement double, level double, slope double, loglik double")
 
 
 @query("informed_trading")

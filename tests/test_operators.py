@@ -458,3 +458,21 @@ def test_bagging_and_effects(spark):
     assert abs(e["effect"] - 1.5) < 4 * e["error"] < 0.5
     shuffled = ml.shuffled(df.select("t0", "label"), "label").collect()
     assert len(shuffled) == 200 and sum(a.label for a in shuffled) == y.sum() and [a.label for a in sorted(shuffled, key=lambda r: r.t0)] != list(y)
+
+
+@pytest.mark.parametrize("name", ["volatility_arch", "hidden_regimes"])
+def test_short_series_have_a_row(spark, folder, name):
+    import __spark_entry__ as entry
+    from barloom.plans.inputs import daily
+
+    out = entry.queries()[name](spark, folder).toPandas()
+    all_ = {r.instrument for r in daily(spark, folder).select("instrument").distinct().collect()}
+    assert set(out.instrument) == all_
+
+
+def test_short_series_are_fitted():
+    r = np.random.default_rng(2)
+    for name, k in models.VOLATILITY_PARAMETERS.items():
+        assert all(map(math.isfinite, models.fit_volatility(0.01 * r.standard_normal(k), name).values()))
+    assert np.isfinite(models.hidden_regimes(r.standard_normal(models.REGIME_PARAMETERS))["mean"]).all()
+    assert math.isfinite(models.local_trend(r.standard_normal(models.TREND_PARAMETERS))["loglik"])

@@ -274,12 +274,12 @@ def mean_decrease_impurity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("mean_decrease_accuracy")
 def mean_decrease_accuracy(spark: SparkSession, folder: str) -> DataFrame:
-    return _frame(spark, L.mean_decrease_accuracy(_logit(), _folded(spark, folder), FEATURES[:2], "label"))
+    return _frame(spark, L.mean_decrease_accuracy(_logit(), _folded(spark, folder), FEATURES, "label"))
 
 
 @query("single_feature_importance")
 def single_feature_importance(spark: SparkSession, folder: str) -> DataFrame:
-    return _frame(spark, L.single_feature_importance(_logit(), _folded(spark, folder), FEATURES[:2], "label"))
+    return _frame(spark, L.single_feature_importance(_logit(), _folded(spark, folder), FEATURES, "label"))
 
 
 @query("orthogonal_features")

@@ -476,3 +476,16 @@ def test_short_series_are_fitted():
         assert all(map(math.isfinite, models.fit_volatility(0.01 * r.standard_normal(k), name).values()))
     assert np.isfinite(models.hidden_regimes(r.standard_normal(models.REGIME_PARAMETERS))["mean"]).all()
     assert math.isfinite(models.local_trend(r.standard_normal(models.TREND_PARAMETERS))["loglik"])
+
+
+def test_importances_score_every_feature(monkeypatch):
+    from barloom.plans import models as plans
+
+    seen = []
+    for f in ("mean_decrease_accuracy", "single_feature_importance"):
+        monkeypatch.setattr(plans.L, f, lambda e, rows, features, label: seen.append(features))
+    for f in ("_frame", "_folded", "_logit"):
+        monkeypatch.setattr(plans, f, lambda *a: None)
+    plans.mean_decrease_accuracy(None, "")
+    plans.single_feature_importance(None, "")
+    assert seen == [plans.FEATURES] * 2

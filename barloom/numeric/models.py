@@ -15,8 +15,21 @@ VOLATILITY_PARAMETERS = {"arch": 3, "garch": 4, "egarch": 4, "garchm": 4, "figar
 REGIME_PARAMETERS, TREND_PARAMETERS = 7, 3  # of two regimes: start, two transitions, two means, two variances
 
 
+#: Terms of FIGARCH's infinite memory, for series of every length.
+FIGARCH_LAGS = 1000
+
+
+def _figarch_weights(phi: float, d: float, beta: float) -> list[float]:
+    delta, pi = d, [phi - beta + d]
+    for k in range(1, FIGARCH_LAGS):
+        before, delta = delta, (k - d) / (k + 1) * delta
+        pi.append(beta * pi[-1] + delta - phi * before)
+    return pi
+
+
 def conditional_variance(model: str, r: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """The variance path of demeaned returns r for parameters p (without the mean)."""
+    """The variance path of demeaned returns r for parameters p (without the mean). FIGARCH sums ``FIGARCH_LAGS`` squares; those before
+    the series are the exponentially weighted mean of its first 75."""
     n, v0 = len(r), float(r.var()) or 1e-12
     h = np.full(n, v0)
     if model == "arch":
@@ -32,15 +45,13 @@ def conditional_variance(model: str, r: np.ndarray, p: np.ndarray) -> np.ndarray
             h[t] = math.exp(min(max(log, -60), 60))
     elif model == "figarch":
         omega, phi, d, beta = p
-        lags = min(n, 200)
-        pi, delta = np.zeros(lags), np.zeros(lags)
-        delta[0] = d
-        pi[0] = phi - beta + d
-        for k in range(1, lags):
-            delta[k] = (k - d) / (k + 1) * delta[k - 1]
-            pi[k] = beta * pi[k - 1] + delta[k] - phi * delta[k - 1]
-        squares = np.concatenate([np.full(lags, v0), r**2])
-        h = omega / max(1 - beta, 1e-6) + np.convolve(squares, pi)[lags - 1 : lags - 1 + n]
+        pi = np.array(_figarch_weights(phi, d, beta))
+        weight = 0.94 ** np.arange(min(n, 75))
+        before = float((weight / weight.sum()) @ r[: len(weight)] ** 2) or v0
+        beyond = np.append(np.cumsum(pi[::-1])[::-1], 0.0)  # the weight of what lies before the series
+        h = omega / max(1 - beta, 1e-6) + before * beyond[np.minimum(np.arange(n), FIGARCH_LAGS)]
+        if n > 1:
+            h[1:] += np.convolve(r[:-1] ** 2, pi[:n])[: n - 1]
     else:
         raise ValueError(f"model is one of {VOLATILITY_MODELS}")
     return np.maximum(h, 1e-300)

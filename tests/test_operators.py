@@ -478,6 +478,20 @@ def test_short_series_are_fitted():
     assert math.isfinite(models.local_trend(r.standard_normal(models.TREND_PARAMETERS))["loglik"])
 
 
+def test_figarch_sums_a_thousand_lags_for_every_length():
+    r = 0.5 + np.random.default_rng(3).random(1300)
+    omega, phi, d, beta = 0.1, 0.2, 0.4, 0.3
+    delta, pi = [d], [phi - beta + d]
+    for k in range(1, 1000):
+        delta.append((k - d) / (k + 1) * delta[-1])
+        pi.append(beta * pi[-1] + delta[k] - phi * delta[k - 1])
+    for n in (5, 100, 1300):
+        w = 0.94 ** np.arange(min(n, 75))
+        x = np.concatenate([np.full(1000, (w * r[: len(w)] ** 2).sum() / w.sum()), r[:n] ** 2])
+        want = [omega / (1 - beta) + sum(pi[i] * x[999 + t - i] for i in range(1000)) for t in range(n)]
+        assert np.allclose(models.conditional_variance("figarch", r[:n], np.array([omega, phi, d, beta])), want)
+
+
 def test_importances_score_every_feature(monkeypatch):
     from barloom.plans import models as plans
 

@@ -273,6 +273,30 @@ def sequential_bagging(rows: DataFrame, features: Sequence[str], label: str, t0:
     return out, float(score) if score is not None else float("nan")
 
 
+def series_bagging(rows: DataFrame, keys: Sequence[str], row: Sequence[str], features: Sequence[str], label: str, t0: str = "t0", t1: str = "t1", estimators: int = 10, depth: int = 5, classification: bool = True, seed: int = 0) -> DataFrame:
+    """``sequential_bagging`` of each series by itself, for any number of rows: keys, ``row`` columns, ``label``, ``oob`` (mean out-of-bag
+    prediction, null without one) and ``n`` (trees it was out of), one row per training row. Only labels of one series meet.
+
+    A task has one bootstrap of one series, as a draw depends on all before it."""
+    names = [*keys, *row, t0, t1, label, *features]
+    data = rows.select(*names).withColumn(label, F.col(label).cast("double"))
+    spread = data.withColumn("_e", F.explode(F.sequence(F.lit(0), F.lit(estimators - 1))))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.select(*keys, *row, label).schema)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        e = int(pdf["_e"].iloc[0])
+        pdf = pdf.sort_values([t0, t1, *row]).reset_index(drop=True)
+        x, y = pdf[list(features)].to_numpy(float), pdf[label].to_numpy(float)
+        drawn = np.array(Bootstrap(pdf[t0].to_numpy(), pdf[t1].to_numpy()).draw_local(None, seed * 1000 + e))
+        p = Tree(depth, classification).fit(x[drawn], y[drawn]).predict(x)
+        p[drawn] = np.nan
+        return pdf[[*keys, *row, label]].assign(p=p)
+
+    votes = spread.groupBy(*keys, "_e").applyInPandas(run, f"{kept}, p double")
+    p = F.when(~F.isnan("p"), F.col("p"))
+    return votes.groupBy(*keys, *row).agg(F.first(label).alias("label"), F.avg(p).alias("oob"), F.count(p).alias("n"))
+
+
 # Causal effects and calibration.
 
 

@@ -105,6 +105,32 @@ class Bootstrap:
             out.append(pick)
         return out
 
+    def draw_local(self, n: int | None = None, seed: int = 0, width: int = 512) -> list[int]:
+        """``draw`` without a pass over all labels for each draw: a draw changes the weights of the labels that meet it, and sums of
+        ``width`` weights each find the next. Labels must be sorted by start."""
+        first, last, size = self.first, self.last, len(self.first)
+        latest = np.maximum.accumulate(last)
+        low, high = np.searchsorted(latest, first), np.searchsorted(first, last, side="right")
+        rng, count, out = np.random.default_rng(seed), np.zeros(self.size), []
+        u = np.zeros(-(-size // width) * width)
+        u[:size] = 1.0
+        blocks = u.reshape(-1, width)
+        sums = blocks.sum(axis=1)
+        for _ in range(n if n is not None else size):
+            ends = np.cumsum(sums)
+            at = rng.random() * ends[-1]
+            k = min(int(np.searchsorted(ends, at, side="right")), len(ends) - 1)
+            inner = np.cumsum(blocks[k])
+            pick = min(k * width + int(np.searchsorted(inner, at - (ends[k - 1] if k else 0.0), side="right")), size - 1)
+            out.append(pick)
+            count[first[pick] : last[pick] + 1] += 1
+            a, b = low[pick], high[pick]
+            start = first[a]
+            prefix = np.concatenate([[0.0], np.cumsum(1 / (1 + count[start : latest[b - 1] + 1]))])
+            u[a:b] = (prefix[last[a:b] + 1 - start] - prefix[first[a:b] - start]) / (last[a:b] - first[a:b] + 1)
+            sums[a // width : (b - 1) // width + 1] = blocks[a // width : (b - 1) // width + 1].sum(axis=1)
+        return out
+
 
 def sequential_bootstrap(labels: DataFrame, keys: Sequence[str], n: int, samples: int = 1, seed: int = 0) -> DataFrame:
     """keys, ``sample``, ``draw``, t0 and t1 of ``n`` labels per series and sample. Each (series, sample) is one task; a draw depends on all before it,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -231,10 +233,10 @@ def option_prices(spark: SparkSession, folder: str) -> DataFrame:
 FEATURES = ["prob", "rets", "pmodel", "regime"]
 
 
-def _samples(spark: SparkSession, folder: str) -> DataFrame:
+def _samples(spark: SparkSession, folder: str, keep: Sequence[str] = ()) -> DataFrame:
     t = table(spark, folder, "train").where("prob between 0 and 1 and target is not null and rets between -1 and 1 and ts is not null")
     t0 = F.unix_micros("ts")
-    return t.select(F.lit(0).alias("series"), t0.alias("t0"), (t0 + 4 * HOUR_US).alias("t1"), F.col("seq"), F.col("target").cast("double").alias("label"), "prob", "rets", F.col("pmodel").cast("double").alias("pmodel"), F.col("regime").cast("double").alias("regime")).na.fill(0.0, ["pmodel", "regime"])
+    return t.select(*keep, F.lit(0).alias("series"), t0.alias("t0"), (t0 + 4 * HOUR_US).alias("t1"), F.col("seq"), F.col("target").cast("double").alias("label"), "prob", "rets", F.col("pmodel").cast("double").alias("pmodel"), F.col("regime").cast("double").alias("regime")).na.fill(0.0, ["pmodel", "regime"])
 
 
 def _folded(spark: SparkSession, folder: str) -> DataFrame:
@@ -297,8 +299,7 @@ def model_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("sequential_bagging")
 def sequential_bagging(spark: SparkSession, folder: str) -> DataFrame:
-    labels = _samples(spark, folder).groupBy(F.floor(F.col("t0") / (6 * HOUR_US)).alias("g")).agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.avg("label").alias("label"), F.avg("prob").alias("prob"), F.avg("rets").alias("rets"))
-    return L.sequential_bagging(labels.withColumn("label", (F.col("label") > 0.5).cast("double")), ["prob", "rets"], "label", estimators=8)[0]
+    return L.series_bagging(_samples(spark, folder, ["instrument"]), KEYS, ["seq"], FEATURES, "label", estimators=8)
 
 
 @query("double_ml")

@@ -503,3 +503,24 @@ def test_importances_score_every_feature(monkeypatch):
     plans.mean_decrease_accuracy(None, "")
     plans.single_feature_importance(None, "")
     assert seen == [plans.FEATURES] * 2
+
+
+def test_bagging_covers_every_label_of_every_series(spark):
+    from barloom.operators import ml
+
+    r = np.random.default_rng(6)
+    a = np.sort(r.integers(0, 3000, 500))
+    boot = weights.Bootstrap(a, a + r.integers(0, 60, 500))
+    assert boot.draw_local(seed=5, width=32) == boot.draw(seed=5)  # the same draws
+    rows = [(k, i, i, i + 3, float(i % 40 < 20), float(i % 40)) for k, n in ((1, 200), (2, 1)) for i in range(n)]
+    out = ml.series_bagging(points(spark, rows, "k long, seq long, t0 long, t1 long, label double, x double"), ["k"], ["seq"], ["x"], "label", estimators=6).toPandas()
+    assert len(out) == 201 and out[out.k == 2].n.iloc[0] == 0 and out[out.k == 2].oob.isna().all()
+    seen = out[out.n > 0]
+    assert len(seen) > 150 and ((seen.oob > 0.5) == seen.label).mean() > 0.95
+
+
+def test_bagging_query_has_a_row_per_label(spark, folder):
+    import __spark_entry__ as entry
+    from barloom.plans.models import _samples
+
+    assert entry.queries()["sequential_bagging"](spark, folder).count() == _samples(spark, folder).count()

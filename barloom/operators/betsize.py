@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -14,6 +14,7 @@ from barloom.functions.selection import quantile_list
 from barloom.functions.special import norm_cdf, phi, sign
 from barloom.joins import sweep
 from barloom.numeric.optimize import nelder_mead
+from barloom.shared import materialize
 
 
 def _z(p: Column, classes: int) -> Column:
@@ -175,34 +176,44 @@ def signed_size(side: Column, magnitude: Column) -> Column:
     return sign(side) * magnitude
 
 
-# Sizes fitted to a training set. The pairs (probability, return) of the fit come to the driver up to MAX_FIT rows; more are refused.
+# Sizes fitted to a training set. Up to MAX_FIT pairs (probability, return) come to the driver; of more, each evaluation is an aggregate.
 
 MAX_FIT = 2_000_000
 
 
-def _training_pairs(train: DataFrame, prob: str, ret: str) -> tuple[np.ndarray, np.ndarray]:
+def _ratio(x: np.ndarray) -> float:
+    return float(x.mean() / x.std()) if len(x) and x.std() > 0 else -np.inf
+
+
+def _loss(train: DataFrame, prob: str, ret: str, size: Callable[[np.ndarray, np.ndarray], np.ndarray], column: Callable[[list[float]], Column]) -> Callable[[np.ndarray], float]:
+    """Less return per deviation, of parameters; ``column`` is ``size`` over a column ``p``."""
     rows = train.where(F.col(prob).isNotNull() & F.col(ret).isNotNull()).select(F.col(prob).cast("double").alias("p"), F.col(ret).cast("double").alias("r"))
-    if rows.count() > MAX_FIT:
-        raise ValueError(f"more than {MAX_FIT} training rows")
-    pdf = rows.toPandas()
-    return pdf.p.to_numpy(), pdf.r.to_numpy()
+    if rows.count() <= MAX_FIT:
+        pdf = rows.toPandas()
+        p, r = pdf.p.to_numpy(), pdf.r.to_numpy()
+        return lambda v: -_ratio(size(v, p) * r)
+    rows = materialize(rows, "pairs")
 
+    def loss(v: np.ndarray) -> float:
+        x = column([float(a) for a in v]) * F.col("r")
+        s = rows.agg(F.avg(x).alias("m"), F.stddev_pop(x).alias("s")).first()
+        return -float(s.m / s.s) if s.s and s.s > 0 else np.inf
 
-def _ratio(x: np.ndarray) -> float:
-    return float(x.mean() / x.std()) if len(x) and x.std() > 0 else -np.inf
+    return loss
 
 
 def optimal_linear(train: DataFrame, prob: str, ret: str) -> tuple[float, float]:
     """(a, b) of the size a p + b, within [0, 1], with the highest return per deviation."""
-    p, r = _training_pairs(train, prob, ret)
-    x, _ = nelder_mead(lambda v: -_ratio(np.clip(v[0] * p + v[1], 0, 1) * r), [1.0, 0.0], steps=300)
+    loss = _loss(train, prob, ret, lambda v, p: np.clip(v[0] * p + v[1], 0, 1), lambda v: F.greatest(F.least(v[0] * F.col("p") + v[1], F.lit(1.0)), F.lit(0.0)))
+    x, _ = nelder_mead(loss, [1.0, 0.0], steps=300)
     return float(x[0]), float(x[1])
 
 
 def optimal_sigmoid(train: DataFrame, prob: str, ret: str) -> tuple[float, float]:
     """(a, b) of the size 1 / (1 + exp(-(a p + b))) with the highest return per deviation."""
-    p, r = _training_pairs(train, prob, ret)
-    x, _ = nelder_mead(lambda v: -_ratio(r / (1 + np.exp(np.clip(-(v[0] * p + v[1]), -50, 50)))), [4.0, -2.0], [(-50, 50), (-50, 50)], steps=300)
+    power = lambda v: F.greatest(F.least(-(v[0] * F.col("p") + v[1]), F.lit(50.0)), F.lit(-50.0))
+    loss = _loss(train, prob, ret, lambda v, p: 1 / (1 + np.exp(np.clip(-(v[0] * p + v[1]), -50, 50))), lambda v: 1 / (1 + F.exp(power(v))))
+    x, _ = nelder_mead(loss, [4.0, -2.0], [(-50, 50), (-50, 50)], steps=300)
     return float(x[0]), float(x[1])
 
 

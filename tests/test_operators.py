@@ -524,3 +524,21 @@ def test_bagging_query_has_a_row_per_label(spark, folder):
     from barloom.plans.models import _samples
 
     assert entry.queries()["sequential_bagging"](spark, folder).count() == _samples(spark, folder).count()
+
+
+def test_sizes_are_fitted_to_any_number_of_rows(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    p = r.random(60)
+    df = points(spark, [(float(a), float((a - 0.4) * 0.1 + 0.02 * b)) for a, b in zip(p, r.standard_normal(60))], "prob double, ret double").coalesce(1)
+    fits = (betsize.optimal_linear, betsize.optimal_sigmoid)
+    want = [f(df, "prob", "ret") for f in fits]
+    monkeypatch.setattr(betsize, "MAX_FIT", 10)
+    losses = []
+    for f in fits:
+        monkeypatch.setattr(betsize, "nelder_mead", lambda loss, *a, **k: (losses.append([loss(np.array(v)) for v in ([1.0, 0.0], [3.0, -1.5])]), ([0.0, 0.0], 0.0))[1])
+        f(df, "prob", "ret")
+    size = (lambda v: np.clip(v[0] * p + v[1], 0, 1), lambda v: 1 / (1 + np.exp(-(v[0] * p + v[1]))))
+    ret = np.array([x.ret for x in df.collect()])
+    assert np.allclose(losses, [[-betsize._ratio(s(v) * ret) for v in ([1.0, 0.0], [3.0, -1.5])] for s in size])
+    monkeypatch.setattr(betsize, "nelder_mead", nelder_mead)
+    assert np.allclose(betsize.optimal_linear(df, "prob", "ret"), want[0], rtol=1e-4)

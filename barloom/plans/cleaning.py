@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,9 +97,10 @@ def p3_trailing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CLOSE, VOLUME = Measure("close", limit=0.1, neighbours=10, stuck=8), Measure("volume", limit=math.log(20), neighbours=None, stuck=8)
+DOLLARS = Measure("cum_dollar_value", limit=math.log(20), neighbours=None, stuck=8)
 
 
-def _bar_faults(spark: SparkSession, folder: str) -> DataFrame:
+def _bar_faults(spark: SparkSession, folder: str, measures: Sequence[Measure]) -> DataFrame:
     c = F.col
     bounds = {
         "close not positive": c("close") <= 0,
@@ -108,7 +110,7 @@ def _bar_faults(spark: SparkSession, folder: str) -> DataFrame:
         "dollar value below low x volume": c("cum_dollar_value") < 0.9 * c("low") * c("volume"),
         "dollar value above high x volume": c("cum_dollar_value") > 1.1 * c("high") * c("volume"),
     }
-    return flag_readings(table(spark, folder, "bars"), [CLOSE, VOLUME], bounds=bounds)
+    return flag_readings(table(spark, folder, "bars"), measures, bounds=bounds)
 
 
 @query("p4_found", """
@@ -132,13 +134,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     c = F.col
     off = lambda m: F.abs(c("reading") - c(m)) > 0.1 * F.abs(c(m))
     spike = F.when(c("measure") == "close", off("usual_before") & off("usual_after")).otherwise(c("reading") > 20 * c("usual_before"))
-    faults = _bar_faults(spark, folder)
+    faults = _bar_faults(spark, folder, [CLOSE, VOLUME])
     return faults.where((c("fault") != "spike") | spike).select("instrument", "seq").distinct()
 
 
 @query("p4_flags")
 def p4_flags(spark: SparkSession, folder: str) -> DataFrame:
-    return _bar_faults(spark, folder)
+    return _bar_faults(spark, folder, [CLOSE, VOLUME, DOLLARS])
 
 
 _F = r'("(?:[^"]|"")*"|[^",]*)'

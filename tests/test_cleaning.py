@@ -257,3 +257,13 @@ def test_spike_rounds_go_on_until_nothing_new_is_flagged(spark):
     axes = spikes._half_axes(left, ["instrument"], {"close": 0.1 * (1 - 1e-9)}, 4, 1e-3).first()
     terms = [F.coalesce(F.pow(F.col(c) / axes[f"_a{c}"], 2), F.lit(0.0)) for c in spikes.AXES]
     assert left.count() < 2000 and left.where(terms[0] + terms[1] + terms[2] > 1).count() == 0
+
+
+def test_bar_flags_test_dollar_value(spark, monkeypatch):
+    from barloom.plans import cleaning
+
+    seen = []
+    monkeypatch.setattr(cleaning, "table", lambda *a: None)
+    monkeypatch.setattr(cleaning, "flag_readings", lambda df, measures, bounds: seen.extend(m.column for m in measures))
+    cleaning.p4_flags(spark, "")
+    assert seen == ["close", "volume", "cum_dollar_value"]

@@ -35,6 +35,35 @@ def _columns(batch: pa.RecordBatch, names: Sequence[str]) -> dict[str, np.ndarra
     return out
 
 
+def starts_of(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+    """The rows of a batch sorted by ``keys`` at which a key begins; nulls are equal to each other."""
+    codes = pd.DataFrame({k: batch.column(k).to_pandas() for k in keys})
+    changed = np.ones(len(codes), dtype=bool)
+    if len(codes) > 1:
+        a, b = codes.iloc[1:].reset_index(drop=True), codes.iloc[:-1].reset_index(drop=True)
+        changed[1:] = ~((a == b) | (a.isna() & b.isna())).all(axis=1).to_numpy()
+    return np.flatnonzero(changed)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """The whole groups of batches sorted by ``keys``. A group is held in memory: its size must be bounded."""
+    parts: list[pa.RecordBatch] = []
+    key: tuple = ()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts = starts_of(batch, keys)
+        for s, e in zip(starts, np.append(starts[1:], batch.num_rows)):
+            here = tuple(batch.column(k)[int(s)].as_py() for k in keys)
+            if parts and here != key:
+                yield pa.Table.from_batches(parts).combine_chunks()
+                parts = []
+            parts.append(batch.slice(s, e - s))
+            key = here
+    if parts:
+        yield pa.Table.from_batches(parts).combine_chunks()
+
+
 def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], machine: Callable[[], Machine], outputs: str) -> DataFrame:
     """keys and the machine's ``outputs`` (a DDL list; timestamps as epoch microseconds in the machine's arrays)."""
     rows = df.select(*dict.fromkeys([*keys, *order, *inputs])).repartition(*keys).sortWithinPartitions(*keys, *order)
@@ -59,13 +88,8 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Seque
             if not batch.num_rows:
                 continue
             key_types = [batch.column(k).type for k in keys]
-            codes = pd.DataFrame({k: batch.column(k).to_pandas() for k in keys})
-            changed = np.ones(len(codes), dtype=bool)
-            if len(codes) > 1:
-                a, b = codes.iloc[1:].reset_index(drop=True), codes.iloc[:-1].reset_index(drop=True)
-                changed[1:] = ~((a == b) | (a.isna() & b.isna())).all(axis=1).to_numpy()
-            starts = np.flatnonzero(changed)
-            for s, e in zip(starts, np.append(starts[1:], len(codes))):
+            starts = starts_of(batch, keys)
+            for s, e in zip(starts, np.append(starts[1:], batch.num_rows)):
                 part = batch.slice(s, e - s)
                 key = tuple(part.column(k)[0].as_py() for k in keys)
                 if state is None or key != current:

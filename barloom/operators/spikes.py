@@ -1,158 +1,243 @@
 """Implausible readings: spikes, stuck values and impossible values, per source.
 
-Spikes by phase-space thresholding: a reading is a point (deviation from the source's usual value, first difference, second
-difference); points outside a robust ellipsoid are spikes, their removal shrinks the ellipsoid, and so on until nothing new
-is flagged. The half-axes are sqrt(2 ln n) robust standard deviations (1.4826 x the median absolute value), never longer
-than ``limit`` on the deviation axis: a reading that is further off than the limit is always outside. Stuck values are runs
-of zero differences, impossible values break bounds given as expressions.
-
-Scale: positions come from calendar-cell counts and windows run over blocks with halo rows (barloom.ordering), medians of
-absolute values from counts of logarithmic bins; nothing holds a whole source.
+Spikes by phase-space thresholding. A reading is a point: its deviation from the source's usual value, and the first and second
+difference of its logarithm. Deviation and second difference go together (a spike of s has a second difference near -2 s, and
+so has noise), so the two are put into units of their own scale and rotated by 45 degrees, the directions in which two such
+coordinates vary most and least. The half-axes are sqrt(2 ln n) robust standard deviations (1.4826 x the exact median of the
+absolute values) of the two rotated coordinates and of the first difference. A reading outside of the ellipsoid is a spike
+if its own deviation is beyond ``protect`` robust standard deviations: the neighbours of a spike have its differences without
+being wrong, and so has the first reading of a lasting change. Spikes are taken out, which shrinks the ellipsoid, and so on until
+nothing new is flagged. Stuck values are runs of zero differences, impossible values break bounds given as expressions.
+
+Scale: a source of at most ``block_rows`` readings is one group of numpy arrays, so all of its rounds take one shuffle. A larger
+source is cut into blocks with halo rows (barloom.ordering) that many tasks turn into points; each of its rounds takes exact
+medians by counts of bins (barloom.functions.selection), and no task holds the source. Both ways flag the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from barloom.functions.selection import exact_median, log_bin
-from barloom.ordering import BLOCK_ROWS, in_blocks, with_position
+from barloom.fold import groups
+from barloom.functions.selection import exact_median
+from barloom.ordering import in_blocks, with_position
 from barloom.shared import materialize, small_side
 
-AXES = ("_v", "_d1", "_d2")
+#: Readings of one source that a task holds at once: about a dozen arrays of this length.
+BLOCK_ROWS = 250_000
+ROBUST = 1.4826
+POINT = "_x double, _before double, _after double, _v double, _d1 double, _d2 double, _stuck boolean"
 
 
 @dataclass(frozen=True)
 class Measure:
     """``neighbours``: the usual value is the median of so many readings before, and of as many after; the nearer one counts.
-    None: it is the source's median, and the deviation is the logarithm of the ratio to it (infinite if that median is at or
-    below 0).
-    ``limit``: longest half-axis of the deviation. ``stuck``: shortest run of equal readings that is a fault."""
+    None: it is the source's median, and the deviation is the logarithm of the ratio to it (infinite for a positive reading where
+    that median is at or below 0; none for other readings at or below 0). ``stuck``: shortest run of equal readings that is a fault."""
 
     column: str
-    limit: float
     neighbours: int | None = 10
     stuck: int = 8
 
 
+@dataclass(frozen=True)
+class Ellipsoid:
+    """``protect``: least own deviation of a spike, in robust standard deviations; ``floor``: least robust standard deviation of a coordinate;
+    ``rounds``: at most so many (None: until nothing new is flagged); ``differences``: whether the differences are coordinates."""
+
+    protect: float = 3.0
+    floor: float = 2e-4
+    rounds: int | None = None
+    differences: bool = True
+
+
 def _same(keys: Sequence[str], left: str, right: str) -> list[Column]:
     return [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
 
 
-def _off(x: Column, m: Column) -> Column:
+def _off(x: np.ndarray, m: np.ndarray) -> np.ndarray:
     """(x - m) / |m|; a reading other than 0 is infinitely far from 0."""
-    return F.when(m != 0, (x - m) / F.abs(m)).when(x == 0, F.lit(0.0)).when(m == 0, F.signum(x) * F.lit(float("inf")))
-
-
-def phase_points(df: DataFrame, keys: Sequence[str], ts: str, tie: str, m: Measure, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per reading: keys, tie, ``_measure``, ``_x``, medians before and after (or the source's median in both),
-    both differences, and whether it is stuck."""
-    x = F.col(m.column).cast("double")
-    rows = df.where(F.col(ts).isNotNull() & x.isNotNull() & ~F.isnan(x)).select(*keys, F.unix_micros(ts).alias("_ts"), F.col(tie).alias("_tie"), x.alias("_x"))
-    halo = max(m.neighbours or 0, m.stuck) + 2
-    given = rows
-    rows = in_blocks(with_position(rows, keys, "_ts", ["_tie"]), halo, block_rows=block_rows)
-    w = Window.partitionBy(*keys, "_block").orderBy("_pos")
-    log = F.when(F.col("_x") > 0, F.ln("_x"))
-    rows = rows.withColumn("_change", F.when(F.lag("_x").over(w).eqNullSafe(F.col("_x")), None).otherwise(F.col("_pos")))
-    step = {"_l": log, "_run": F.col("_pos") - F.max("_change").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1}
-    if n := m.neighbours:
-        trail = [F.col("_x"), *[F.lag("_x", i).over(w) for i in range(1, n)]]
-        step["_trail"] = F.when(trail[-1].isNotNull(), F.sort_array(F.array(*trail)))
-    rows = rows.withColumns(step)
-    if n:  # a stage of its own, so that the sort isn't repeated for each middle value
-        rows = rows.withColumn("_mid", (F.get("_trail", F.lit((n - 1) // 2)) + F.get("_trail", F.lit(n // 2))) / 2).drop("_trail")
-    step = {
-        "_d1": F.col("_l") - F.lag("_l").over(w),
-        "_d2": F.lead("_l").over(w) - 2 * F.col("_l") + F.lag("_l").over(w),
-        "_stuck": F.max("_run").over(w.rowsBetween(0, m.stuck - 1)) >= m.stuck,
-    }
-    if n:
-        step |= {"_before": F.lag("_mid", 1).over(w), "_after": F.lead("_mid", n).over(w)}
-    rows = rows.withColumns(step).where("_core")
-    if not n:
-        middle = small_side(materialize(exact_median(given, keys, "_x"), "medians"))
-        rows = rows.alias("r").join(middle.alias("m"), _same(keys, "r", "m"), "left").select("r.*", F.col("m.median").alias("_before"), F.col("m.median").alias("_after"))
-    # The differences only meet thresholds, so single precision does for them.
-    return rows.select(*keys, "_tie", F.lit(m.column).alias("_measure"), "_x", "_before", "_after", *[F.col(c).cast("float").alias(c) for c in ("_d1", "_d2")], F.coalesce("_stuck", F.lit(False)).alias("_stuck"))
-
-
-def with_deviation(points: DataFrame, measures: Sequence[Measure]) -> DataFrame:
-    """Adds ``_v``, the deviation from the usual value."""
-    x, before = F.col("_x"), F.col("_before")
-    points = points.withColumns({"_ob": _off(x, before), "_oa": _off(x, F.col("_after"))})
-    b, a = F.col("_ob"), F.col("_oa")
-    near = F.when(b.isNull() | a.isNull(), F.coalesce(b, a)).when(F.abs(b) <= F.abs(a), b).otherwise(a)
-    ratio = F.when(before <= 0, F.lit(float("inf"))).when(x > 0, F.ln(x / before))
-    local = [m.column for m in measures if m.neighbours]
-    return points.withColumn("_v", F.when(F.col("_measure").isin(local), near).otherwise(ratio)).drop("_ob", "_oa")
-
-
-def _half_axes(points: DataFrame, keys: Sequence[str], limits: dict[str, float], per_octave: int, floor: float) -> DataFrame:
-    """Per source and measure the three half-axes, from the counts of logarithmic bins of |coordinate|."""
+    return np.where(m != 0, (x - m) / np.abs(m), np.where(np.isnan(m), np.nan, np.where(x == 0, 0.0, np.sign(x) * np.inf)))
+
+
+def phase_points(x: np.ndarray, m: Measure, median: float | None = None) -> dict[str, np.ndarray]:
+    """The points of a source's readings in order (none is NaN): the columns of ``POINT``, NaN where a coordinate is missing.
+    ``median``: the source's, where ``x`` is only a part of it."""
+    n, nan = len(x), np.nan
+    with np.errstate(all="ignore"):
+        log = np.where(x > 0, np.log(x), nan)
+        d1, d2 = np.full(n, nan), np.full(n, nan)
+        d1[1:] = log[1:] - log[:-1]
+        d2[1:-1] = log[2:] - 2 * log[1:-1] + log[:-2]
+        if k := m.neighbours:
+            before, after = np.full(n, nan), np.full(n, nan)
+            if n > k:
+                windows = np.sort(np.lib.stride_tricks.sliding_window_view(x, k), axis=1)
+                mid = (windows[:, (k - 1) // 2] + windows[:, k // 2]) / 2
+                before[k:], after[:-k] = mid[:-1], mid[1:]
+            b, a = _off(x, before), _off(x, after)
+            v = np.where(np.isnan(b), a, np.where(np.isnan(a) | (np.abs(b) <= np.abs(a)), b, a))
+        else:
+            median = np.median(x) if median is None else median
+            before = after = np.full(n, median)
+            ratio = np.where(x > 0, np.log(x / median) if median > 0 else np.inf, nan)
+            v = np.where(x == median, 0.0, ratio)
+    edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if n else np.zeros(0, dtype=int)
+    length = np.diff(np.append(edge, n))
+    return {"_x": x, "_before": before, "_after": after, "_v": v, "_d1": d1, "_d2": d2, "_stuck": np.repeat(length >= m.stuck, length)}
+
+
+def spikes(v: np.ndarray, d1: np.ndarray, d2: np.ndarray, e: Ellipsoid = Ellipsoid()) -> np.ndarray:
+    """Which points of a source are spikes."""
+    if not e.differences:
+        d1, d2 = np.full(len(v), np.nan), np.full(len(v), np.nan)
+    left, found, done = np.arange(len(v)), np.zeros(len(v), dtype=bool), 0
+
+    def deviation(c: np.ndarray) -> float:
+        c = np.abs(c[np.isfinite(c)])
+        return max(ROBUST * float(np.median(c)), e.floor) if len(c) else e.floor
+
+    with np.errstate(invalid="ignore", over="ignore"):
+        while len(left) and (e.rounds is None or done < e.rounds):
+            a, b, c = v[left], d1[left], d2[left]
+            s = deviation(a)
+            a, b, c = a / s, b / deviation(b), c / deviation(c)
+            p, q = (a + c) * math.sqrt(0.5), (a - c) * math.sqrt(0.5)
+            sp, sq = (deviation(z) for z in (p, q))
+            p, q = (np.where(np.isnan(c), a * math.sqrt(0.5), z) for z in (p, q))
+            radius = sum(np.where(np.isnan(z), 0.0, z * z) for z in (p / sp, q / sq, b))
+            new = (np.abs(a) > e.protect) & ((radius > 2 * math.log(max(len(left), 2))) | np.isinf(a))
+            if not new.any():
+                break
+            found[left[new]] = True
+            left, done = left[~new], done + 1
+    return found
+
+
+def _values(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that have a reading, and the readings."""
+    x = table.column(name).to_numpy()
+    at = np.flatnonzero(~np.isnan(x))
+    return at, x[at]
+
+
+def _whole_sources(rows: DataFrame, keys: Sequence[str], measures: Sequence[Measure], e: Ellipsoid, schema: str) -> DataFrame:
+    """The faults of sources that a task can hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, keys):
+            for m in measures:
+                at, x = _values(table, m.column)
+                if not len(x):
+                    continue
+                points = phase_points(x, m)
+                for fault, bad in (("spike", spikes(points["_v"], points["_d1"], points["_d2"], e)), ("stuck", points["_stuck"])):
+                    if bad.any():
+                        i = pa.array(at[bad])
+                        n = len(i)
+                        columns = [table.column(c).take(i).combine_chunks() for c in [*keys, "_tie"]]
+                        values = [pa.array(points[c][bad], pa.float64(), from_pandas=True) for c in ("_x", "_before", "_after")]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array([m.column] * n), pa.array([fault] * n), *values], names=names)
+
+    names = [*keys, "_tie", "measure", "fault", "reading", "usual_before", "usual_after"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "_ts", "_tie").mapInArrow(run, schema)
+
+
+def _block_points(rows: DataFrame, keys: Sequence[str], measures: Sequence[Measure], block_rows: int) -> DataFrame:
+    """The points of sources that no task can hold, a block at a time."""
+    cell = F.explode(F.array(*[F.struct(F.lit(m.column).alias("m"), F.col(m.column).alias("x")) for m in measures])).alias("_r")
+    long = rows.select(*keys, "_ts", "_tie", cell).where(F.col("_r.x").isNotNull() & ~F.isnan("_r.x")).select(*keys, F.col("_r.m").alias("_measure"), "_ts", "_tie", F.col("_r.x").alias("_x"))
+    by = [*keys, "_measure"]
+    halo = max(max(m.neighbours or 0, m.stuck) for m in measures) + 2
+    blocks = in_blocks(with_position(long, by, "_ts", ["_tie"]), halo, block_rows=max(block_rows, 4 * halo))
+    whole = [m.column for m in measures if not m.neighbours]
+    middle = small_side(materialize(exact_median(long.where(F.col("_measure").isin(whole)), by, "_x"), "medians"))
+    blocks = blocks.alias("b").join(middle.alias("m"), _same(by, "b", "m"), "left").select("b.*", F.col("m.median").alias("_median"))
+    known = {m.column: m for m in measures}
+    names = [*by, "_tie", *[c.split()[0] for c in POINT.split(", ")]]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.select(*by, "_tie").schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, [*by, "_block"]):
+            points = phase_points(table.column("_x").to_numpy(), known[table.column("_measure")[0].as_py()], table.column("_median")[0].as_py())
+            core = np.flatnonzero(table.column("_core").to_numpy())
+            columns = [table.column(c).take(pa.array(core)).combine_chunks() for c in [*by, "_tie"]]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(points[c][core], from_pandas=c != "_stuck") for c in names[len(columns) :]]], names=names)
+
+    return blocks.repartition(*by, "_block").sortWithinPartitions(*by, "_block", "_pos").mapInArrow(run, f"{kinds}, {POINT}")
+
+
+def _deviations(left: DataFrame, by: Sequence[str], coordinates: dict[str, Column], floor: float) -> DataFrame:
+    """Per source the robust standard deviation of each coordinate, over its finite values; the floor where it has none."""
+    finite = lambda c: F.when(F.abs(c) < F.lit(float("inf")), F.abs(c))
+    axis = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), finite(c).alias("z")) for k, c in coordinates.items()])).alias("_c")
+    middle = exact_median(left.select(*by, axis).select(*by, F.col("_c.k").alias("_axis"), F.col("_c.z").alias("_z")), [*by, "_axis"], "_z")
+    s = F.greatest(F.lit(ROBUST) * F.col("median"), F.lit(floor))
+    return middle.groupBy(*by).agg(*[F.max(F.when(F.col("_axis") == k, s)).alias(f"_s{k}") for k in coordinates])
+
+
+def _split_sources(points: DataFrame, keys: Sequence[str], e: Ellipsoid) -> DataFrame:
+    """The spikes among points of any number, by rounds over all of them; sources in which nothing new was flagged leave the rounds."""
     by = [*keys, "_measure"]
-    axis = F.explode(F.array(*[F.struct(F.lit(i).alias("axis"), F.abs(F.col(c)).alias("z")) for i, c in enumerate(AXES)])).alias("_p")
-    z = F.least(F.greatest(F.col("_p.z"), F.lit(1e-12)), F.lit(1e12))
-    counts = points.select(*by, axis).where(F.col("_p.z").isNotNull()).groupBy(*by, F.col("_p.axis").alias("_axis"), log_bin(z, per_octave).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by, "_axis")
-    counts = counts.withColumn("_end", F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_total", F.sum("_n").over(w))
-    middle = counts.where((F.col("_end") * 2 >= F.col("_total")) & ((F.col("_end") - F.col("_n")) * 2 < F.col("_total")))
-    scale = F.pow(F.lit(2.0), (F.col("_b") - 1100 * per_octave + F.lit(0.5)) / F.lit(float(per_octave)))
-    longest = F.sqrt(2 * F.ln(F.greatest(F.col("_total"), F.lit(2)).cast("double"))) * F.lit(1.4826) * scale
-    limit = reduce(lambda c, kv: c.when((F.col("_measure") == kv[0]) & (F.col("_axis") == 0), F.lit(kv[1])), limits.items(), F.when(F.lit(False), F.lit(0.0))).otherwise(F.lit(float("inf")))
-    half = F.greatest(F.least(longest, limit), F.least(F.lit(floor), limit))
-    return middle.groupBy(*by).agg(*[F.max(F.when(F.col("_axis") == i, half)).alias(f"_a{c}") for i, c in enumerate(AXES)])
-
-
-def _outside(with_sets: DataFrame) -> Column:
-    """Outside the ellipsoid of any round's half-axes; a missing coordinate counts as 0."""
-    term = lambda a, c: F.coalesce((F.col(c) / a[f"_a{c}"]) * (F.col(c) / a[f"_a{c}"]), F.lit(0.0))
-    return F.coalesce(F.exists("_sets", lambda a: reduce(Column.__add__, [term(a, c) for c in AXES]) > 1), F.lit(False))
-
-
-def flag_readings(df: DataFrame, measures: Sequence[Measure], keys: Sequence[str] = ("instrument",), ts: str = "date_time", tie: str = "seq", bounds: dict[str, Column] | None = None, per_octave: int = 4, floor: float = 1e-3, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    if not e.differences:
+        points = points.withColumns({c: F.lit(None).cast("double") for c in ("_d1", "_d2")})
+    left, found, done, columns = points, [points.limit(0)], 0, points.columns
+    half = F.lit(math.sqrt(0.5))
+    while e.rounds is None or done < e.rounds:
+        n = left.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        scales = _deviations(left, by, {"v": F.col("_v"), "1": F.col("_d1"), "2": F.col("_d2")}, e.floor)
+        axes = small_side(materialize(n.alias("n").join(scales.alias("s"), _same(by, "n", "s"), "left").select("n.*", *[F.coalesce(F.col(f"s._s{k}"), F.lit(e.floor)).alias(f"_s{k}") for k in "v12"]), "axes"))
+        scaled = left.alias("p").join(axes.alias("a"), _same(by, "p", "a")).select("p.*", "a._n", (F.col("_v") / F.col("_sv")).alias("_a"), (F.col("_d1") / F.col("_s1")).alias("_b"), (F.col("_d2") / F.col("_s2")).alias("_c"))
+        scaled = scaled.withColumns({"_p": (F.col("_a") + F.col("_c")) * half, "_q": (F.col("_a") - F.col("_c")) * half})
+        turned = _deviations(scaled, by, {"p": F.col("_p"), "q": F.col("_q")}, e.floor)
+        turned = small_side(materialize(turned, "axes"))
+        one = scaled.alias("p").join(turned.alias("t"), _same(by, "p", "t"), "left").select("p.*", *[F.coalesce(F.col(f"t._s{k}"), F.lit(e.floor)).alias(f"_s{k}") for k in "pq"])
+        term = lambda c, s: F.coalesce(F.pow(F.coalesce(F.col(c), F.col("_a") * half if c != "_b" else F.lit(None)) / s, F.lit(2.0)), F.lit(0.0))
+        radius = term("_p", F.col("_sp")) + term("_q", F.col("_sq")) + term("_b", F.lit(1.0))
+        far = (radius > 2 * F.ln(F.greatest("_n", F.lit(2)).cast("double"))) | (F.abs("_a") == F.lit(float("inf")))
+        judged = materialize(one.select(*columns, F.coalesce((F.abs("_a") > F.lit(e.protect)) & far, F.lit(False)).alias("_out")), "judged")
+        new = judged.where("_out").select(*columns)
+        going = small_side(materialize(new.select(*by).distinct(), "going"))
+        if going.isEmpty():
+            break
+        found.append(new)
+        left = judged.where(~F.col("_out")).select(*columns).alias("p").join(going.alias("g"), _same(by, "p", "g"), "leftsemi")
+        done += 1
+    return reduce(DataFrame.unionByName, found)
+
+
+def flag_readings(df: DataFrame, measures: Sequence[Measure], keys: Sequence[str] = ("instrument",), ts: str = "date_time", tie: str = "seq", bounds: dict[str, Column] | None = None, ellipsoid: Ellipsoid = Ellipsoid(), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The readings with a fault, one row each: keys, tie, ``measure``, ``fault`` ('spike', 'stuck' or 'bounds'), ``reading``,
     ``usual_before``, ``usual_after`` (the medians that a spike was measured against) and ``rule`` (the name of the broken bound).
 
     Order within a source is (ts, tie). Rows with a null ts have no place and are left out; a null or NaN reading is no reading
     (its neighbours close up) and meets no bound; repeated rows count as readings; null keys form their own source; readings
-    at or below 0 have no logarithm, so only their deviation counts. Sources with fewer readings than neighbours have no
-    usual value and can only be flagged by differences, runs and bounds. An empty table gives no rows. Other columns are
-    ignored. Rounds go on until no source's half-axes change. ``per_octave`` sets how exactly the robust scale is taken (4: within a tenth).
+    at or below 0 have no logarithm, so only their deviation counts; a reading infinitely far from the usual value is a spike.
+    Sources with fewer readings than neighbours have no usual value, so they have no spikes, only runs and broken bounds. An empty
+    table gives no rows. Other columns are ignored.
     """
-    points = materialize(reduce(DataFrame.unionByName, [phase_points(df, keys, ts, tie, m, block_rows) for m in measures]), "points")
-    points = with_deviation(points, measures)
-    limits = {m.column: m.limit * (1 - 1e-9) for m in measures}
-    by = [*keys, "_measure"]
-    names = [f"_a{c}" for c in AXES]
-    left, sets, last = points, None, None
-    while True:
-        axes = materialize(_half_axes(left, keys, limits, per_octave, floor), "axes")
-        one = axes.select(*by, F.array(F.struct(*names)).alias("_sets"))
-        if last is None:
-            sets, unsettled = materialize(one, "axes"), axes.select(*by)
-        else:
-            same = reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"l.{c}")) for c in names])
-            unsettled = axes.alias("a").join(small_side(last).alias("l"), _same(by, "a", "l")).where(~same).select(*[F.col(f"a.{k}").alias(k) for k in by])
-        unsettled = materialize(unsettled, "unsettled")
-        if unsettled.isEmpty():
-            break
-        if last is not None:
-            added = F.when(F.col("n._sets").isNull(), F.col("s._sets")).otherwise(F.concat("s._sets", "n._sets")).alias("_sets")
-            sets = materialize(sets.alias("s").join(small_side(materialize(one, "axes")).alias("n"), _same(by, "s", "n"), "left").select(*[F.col(f"s.{k}").alias(k) for k in by], added), "axes")
-        # A source whose half-axes are those of the round before has settled: only the others go on.
-        going = sets.alias("s").join(small_side(unsettled).alias("u"), _same(by, "s", "u"), "leftsemi").select("s.*")
-        joined = points.alias("p").join(small_side(materialize(going, "axes")).alias("a"), _same(by, "p", "a")).select("p.*", "a._sets")
-        left, last = joined.where(~_outside(joined)).select(*points.columns), axes
-    # What any round flagged is outside of that round's half-axes.
-    joined = points.alias("p").join(small_side(sets).alias("a"), _same(by, "p", "a"), "left").select("p.*", "a._sets")
-    faults = F.array_compact(F.array(F.when(_outside(joined), F.lit("spike")), F.when(F.col("_stuck"), F.lit("stuck"))))
-    found = joined.select(*keys, F.col("_tie").alias(tie), F.col("_measure").alias("measure"), F.explode(faults).alias("fault"), F.col("_x").alias("reading"), F.col("_before").alias("usual_before"), F.col("_after").alias("usual_after"), F.lit(None).cast("string").alias("rule"))
+    columns = [m.column for m in measures]
+    rows = df.where(F.col(ts).isNotNull()).select(*keys, F.unix_micros(ts).alias("_ts"), F.col(tie).alias("_tie"), *[F.col(c).cast("double").alias(c) for c in columns])
+    large = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows).select(*keys), "large")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys, "_tie").schema)
+    schema = f"{kinds}, measure string, fault string, reading double, usual_before double, usual_after double"
+    if large.isEmpty():
+        found = _whole_sources(rows, keys, measures, ellipsoid, schema)
+    else:
+        r, big = rows.alias("r"), small_side(large).alias("g")
+        found = _whole_sources(r.join(big, _same(keys, "r", "g"), "leftanti"), keys, measures, ellipsoid, schema)
+        points = materialize(_block_points(r.join(big, _same(keys, "r", "g"), "leftsemi"), keys, measures, block_rows), "points")
+        named = lambda rows, fault: rows.select(*keys, "_tie", F.col("_measure").alias("measure"), F.lit(fault).alias("fault"), F.col("_x").alias("reading"), F.col("_before").alias("usual_before"), F.col("_after").alias("usual_after"))
+        found = found.unionByName(named(_split_sources(points, keys, ellipsoid), "spike")).unionByName(named(points.where("_stuck"), "stuck"))
+    found = found.withColumnRenamed("_tie", tie).withColumn("rule", F.lit(None).cast("string"))
     if not bounds:
         return found
     none = F.lit(None).cast("double")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.grid import regular_grid
 from barloom.operators.periods import interval_gaps, merge_intervals
-from barloom.operators.spikes import Measure, flag_readings
+from barloom.operators.spikes import ROBUST, Ellipsoid, Measure, flag_readings
 from barloom.operators.trailing import trailing_totals
 from barloom.plans.registry import query, table
 from barloom.sources.records import loaded, parse_records, rejected
@@ -96,21 +95,22 @@ def p3_trailing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-CLOSE, VOLUME = Measure("close", limit=0.1, neighbours=10, stuck=8), Measure("volume", limit=math.log(20), neighbours=None, stuck=8)
-DOLLARS = Measure("cum_dollar_value", limit=math.log(20), neighbours=None, stuck=8)
+CLOSE, VOLUME, DOLLARS = Measure("close", neighbours=10, stuck=8), Measure("volume", neighbours=None, stuck=8), Measure("cum_dollar_value", neighbours=None, stuck=8)
+
+
+#: Bounds that a bar must keep; the expressions are SQL for Spark and DuckDB alike.
+_BOUNDS = {
+    "close not positive": "close <= 0",
+    "volume negative": "volume < 0",
+    "dollar value negative": "cum_dollar_value < 0",
+    "close outside high and low": "(close > high OR close < low)",
+    "dollar value below low x volume": "cum_dollar_value < CAST(0.9 AS DOUBLE) * low * volume",
+    "dollar value above high x volume": "cum_dollar_value > CAST(1.1 AS DOUBLE) * high * volume",
+}
 
 
 def _bar_faults(spark: SparkSession, folder: str, measures: Sequence[Measure]) -> DataFrame:
-    c = F.col
-    bounds = {
-        "close not positive": c("close") <= 0,
-        "volume negative": c("volume") < 0,
-        "dollar value negative": c("cum_dollar_value") < 0,
-        "close outside high and low": (c("close") > c("high")) | (c("close") < c("low")),
-        "dollar value below low x volume": c("cum_dollar_value") < 0.9 * c("low") * c("volume"),
-        "dollar value above high x volume": c("cum_dollar_value") > 1.1 * c("high") * c("volume"),
-    }
-    return flag_readings(table(spark, folder, "bars"), measures, bounds=bounds)
+    return flag_readings(table(spark, folder, "bars"), measures, bounds={name: F.expr(c) for name, c in _BOUNDS.items()})
 
 
 @query("p4_found", """
@@ -138,7 +138,42 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return faults.where((c("fault") != "spike") | spike).select("instrument", "seq").distinct()
 
 
-@query("p4_flags")
+#: Rounds that the SQL writes out; a round in which nothing new is flagged changes nothing.
+_SQL_ROUNDS = 12
+
+
+def _flags_sql() -> str:
+    e, out = Ellipsoid(), []
+    dev = lambda c: f"greatest({ROBUST} * median(abs({c})) FILTER (WHERE abs({c}) < 'inf'::DOUBLE), {e.floor})"
+    scale = lambda c: f"coalesce({dev(c)}, {e.floor})"
+    half = "sqrt(0.5)"
+    for i in range(_SQL_ROUNDS):
+        out.append(f"""s{i} AS MATERIALIZED (SELECT instrument, measure, count(*) AS n, {scale('v')} AS sv, {scale('d1')} AS s1, {scale('d2')} AS s2 FROM l{i} GROUP BY 1, 2),
+a{i} AS MATERIALIZED (SELECT l.*, n, v / sv AS a, d1 / s1 AS b, d2 / s2 AS c FROM l{i} l JOIN s{i} USING (instrument, measure)),
+t{i} AS MATERIALIZED (SELECT instrument, measure, {scale(f'(a + c) * {half}')} AS sp, {scale(f'(a - c) * {half}')} AS sq FROM a{i} GROUP BY 1, 2),
+j{i} AS MATERIALIZED (SELECT *, coalesce(abs(a) > {e.protect} AND (isinf(a) OR coalesce(pow(coalesce((a + c) * {half}, a * {half}) / sp, 2), 0)
+  + coalesce(pow(coalesce((a - c) * {half}, a * {half}) / sq, 2), 0) + coalesce(b * b, 0) > 2 * ln(greatest(n, 2))), false) AS hit FROM a{i} JOIN t{i} USING (instrument, measure)),
+l{i + 1} AS MATERIALIZED (SELECT instrument, seq, measure, x, mb, ma, v, d1, d2 FROM j{i} WHERE NOT hit)""")
+    bounds = "UNION ALL ".join(f"SELECT instrument, seq, NULL, 'bounds', NULL, NULL, NULL, '{name}' FROM bars WHERE date_time IS NOT NULL AND {sql} " for name, sql in _BOUNDS.items())
+    return f"""WITH r AS (UNPIVOT (SELECT instrument, seq, date_time, close, volume, cum_dollar_value FROM bars WHERE date_time IS NOT NULL) ON close, volume, cum_dollar_value INTO NAME measure VALUE x),
+o AS (SELECT *, row_number() OVER w AS k, CASE WHEN x > 0 THEN ln(x) END AS l, median(x) OVER (PARTITION BY instrument, measure) AS m,
+  CASE WHEN count(*) OVER p = 10 THEN median(x) OVER p END AS pb, CASE WHEN count(*) OVER f = 10 THEN median(x) OVER f END AS pa,
+  row_number() OVER w - row_number() OVER (PARTITION BY instrument, measure, x ORDER BY date_time, seq) AS g FROM r
+  WINDOW w AS (PARTITION BY instrument, measure ORDER BY date_time, seq), p AS (PARTITION BY instrument, measure ORDER BY date_time, seq ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING),
+    f AS (PARTITION BY instrument, measure ORDER BY date_time, seq ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)),
+q AS (SELECT *, CASE WHEN measure = 'close' THEN pb ELSE m END AS mb, CASE WHEN measure = 'close' THEN pa ELSE m END AS ma, l - lag(l) OVER w AS d1, lead(l) OVER w - 2 * l + lag(l) OVER w AS d2,
+  count(*) OVER (PARTITION BY instrument, measure, x, g) AS run FROM o WINDOW w AS (PARTITION BY instrument, measure ORDER BY k)),
+z AS (SELECT *, CASE WHEN mb <> 0 THEN (x - mb) / abs(mb) WHEN x = 0 AND mb = 0 THEN 0 WHEN mb = 0 THEN sign(x) * 'inf'::DOUBLE END AS ob,
+  CASE WHEN ma <> 0 THEN (x - ma) / abs(ma) WHEN x = 0 AND ma = 0 THEN 0 WHEN ma = 0 THEN sign(x) * 'inf'::DOUBLE END AS oa FROM q),
+l0 AS MATERIALIZED (SELECT instrument, seq, measure, x, mb, ma, CASE WHEN measure <> 'close' THEN CASE WHEN x = m THEN 0 WHEN x > 0 AND m > 0 THEN ln(x / m) WHEN x > 0 THEN 'inf'::DOUBLE END
+  WHEN ob IS NULL THEN oa WHEN oa IS NULL OR abs(ob) <= abs(oa) THEN ob ELSE oa END AS v, d1, d2 FROM z),
+{", ".join(out)}
+SELECT instrument, seq, measure, 'spike' AS fault, x AS reading, mb AS usual_before, ma AS usual_after, NULL::VARCHAR AS rule FROM ({" UNION ALL ".join(f"SELECT * FROM j{i} WHERE hit" for i in range(_SQL_ROUNDS))})
+UNION ALL SELECT instrument, seq, measure, 'stuck', x, mb, ma, NULL FROM q WHERE run >= 8
+UNION ALL {bounds}"""
+
+
+@query("p4_flags", _flags_sql())
 def p4_flags(spark: SparkSession, folder: str) -> DataFrame:
     return _bar_faults(spark, folder, [CLOSE, VOLUME, DOLLARS])
 

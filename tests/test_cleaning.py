@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from barloom.functions.selection import exact_median
 from barloom.operators.grid import regular_grid
 from barloom.operators.periods import interval_gaps, merge_intervals
-from barloom.operators.spikes import Measure, flag_readings
+from barloom.operators.spikes import Ellipsoid, Measure, flag_readings, phase_points, spikes
 from barloom.operators.trailing import trailing_totals
 
 UTC = dt.timezone.utc
@@ -212,14 +212,14 @@ def test_spikes_hold_every_case_across_blocks(spark):
         x = round(price * rng.choice([0.5, 1.2, 3.0]), 2) if rng.random() < 0.02 else price
         rows.append((seq, x if rng.random() > 0.01 else None, t))
     df = spark.createDataFrame([bar(1, s, m, x, 100.0 + s) for s, x, m in rows] + [bar(2, s, s, 5.0) for s in range(7)], BARS)
-    out = flag_readings(df, [Measure("close", 0.1, 10, 8)], block_rows=100).collect()
+    out = flag_readings(df, [Measure("close", 10, 8)], block_rows=100).collect()
     off, runs = brute_faults([(s, x) for s, x, m in sorted(rows, key=lambda r: (r[2], r[0])) if x is not None], 10, 0.1, 8)
-    spikes = {r.seq for r in out if r.fault == "spike" and r.instrument == 1}
+    outside = {r.seq for r in out if r.fault == "spike" and r.instrument == 1}
     exact = {r.seq for r in out if r.fault == "spike" and r.instrument == 1 and r.usual_before is not None and r.usual_after is not None and abs(r.reading - r.usual_before) > 0.1 * r.usual_before and abs(r.reading - r.usual_after) > 0.1 * r.usual_after}
-    assert off and off <= spikes and exact == off
+    assert off and off <= outside and exact == off
     assert {r.seq for r in out if r.fault == "stuck" and r.instrument == 1} == runs and runs
     assert not [r for r in out if r.instrument == 2 and r.fault == "stuck"]  # seven in a row are no run of eight
-    whole = flag_readings(df, [Measure("close", 0.1, 10, 8)], block_rows=100_000).collect()
+    whole = flag_readings(df, [Measure("close", 10, 8)], block_rows=100_000).collect()
     key = lambda r: (r.instrument, r.seq, r.fault, r.reading, r.usual_before, r.usual_after)
     assert sorted(map(str, map(key, whole))) == sorted(map(str, map(key, out)))
 
@@ -228,35 +228,58 @@ def test_spikes_awkward_rows(spark):
     rows = [bar(1, s, s, x) for s, x in enumerate([1.0, None, float("nan"), -3.0, 0.0, 2.0])] + [bar(None, 1, 1, 4.0), bar(1, 99, None, 4.0), bar(1, 5, 5, 2.0)]
     df = spark.createDataFrame(rows, BARS)
     bounds = {"negative": F.col("close") <= 0, "never": F.lit(None).cast("boolean")}
-    out = flag_readings(df, [Measure("close", 0.1), Measure("volume", math.log(20), None)], bounds=bounds).where("fault = 'bounds'").collect()
+    out = flag_readings(df, [Measure("close"), Measure("volume", None)], bounds=bounds).where("fault = 'bounds'").collect()
     assert sorted(r.seq for r in out) == [3, 4] and {r.rule for r in out} == {"negative"}
     empty = spark.createDataFrame([], BARS)
-    assert flag_readings(empty, [Measure("close", 0.1), Measure("volume", 3.0, None)], bounds=bounds).count() == 0
+    assert flag_readings(empty, [Measure("close"), Measure("volume", None)], bounds=bounds).count() == 0
 
 
 def test_volume_far_above_the_median_is_always_flagged(spark):
     rng = random.Random(4)
     vols = [float(rng.randrange(1, 2000)) for _ in range(800)]
     df = spark.createDataFrame([bar(1, s, s, 1.0, v) for s, v in enumerate(vols)] + [bar(2, s, s, 1.0, 0.0 if s else 5.0) for s in range(5)], BARS)
-    out = flag_readings(df, [Measure("volume", math.log(20), None, 8)]).where("fault = 'spike'").collect()
+    out = flag_readings(df, [Measure("volume", None, 8)]).where("fault = 'spike'").collect()
     m = statistics.median(vols)
     assert {s for s, v in enumerate(vols) if v > 20 * m} <= {r.seq for r in out if r.instrument == 1}
     assert {r.seq for r in out if r.instrument == 2 and r.reading > 0} == {0}  # a median of 0: any volume is far above
 
 
-def test_spike_rounds_go_on_until_nothing_new_is_flagged(spark):
-    from barloom.operators import spikes
-
-    rng = random.Random(11)
+def heavy_tailed(spark, seed=11, n=2000):
+    rng = random.Random(seed)
     heavy = lambda: 0.01 * math.tan(math.pi * (rng.random() - 0.5))
-    df = spark.createDataFrame([bar(1, s, s, 50.0 * math.exp(max(-9, min(9, heavy()))), 1.0) for s in range(2000)], BARS)
-    m = Measure("close", 0.1, 10, 8)
-    found = flag_readings(df, [m]).where("fault = 'spike'").select(F.col("seq").alias("_tie"))
-    points = spikes.with_deviation(spikes.phase_points(df, ["instrument"], "date_time", "seq", m), [m])
-    left = points.join(found, "_tie", "left_anti").cache()
-    axes = spikes._half_axes(left, ["instrument"], {"close": 0.1 * (1 - 1e-9)}, 4, 1e-3).first()
-    terms = [F.coalesce(F.pow(F.col(c) / axes[f"_a{c}"], 2), F.lit(0.0)) for c in spikes.AXES]
-    assert left.count() < 2000 and left.where(terms[0] + terms[1] + terms[2] > 1).count() == 0
+    rows = [bar(1, s, s, 50.0 * math.exp(max(-9, min(9, heavy()))), float(rng.randrange(500))) for s in range(n)]
+    return rows, spark.createDataFrame(rows + [bar(None, s, s, 5.0 + 0.01 * (s % 7), 0.0 if s % 3 else 4.0) for s in range(300)], BARS)
+
+
+def flagged(df, e=Ellipsoid(), block_rows=250_000, measures=(Measure("close", 10, 8), Measure("volume", None, 8))):
+    return sorted(map(str, flag_readings(df, measures, ellipsoid=e, block_rows=block_rows).collect()))
+
+
+def test_spike_rounds_go_on_until_nothing_new_is_flagged(spark):
+    rows, _ = heavy_tailed(spark)
+    points = phase_points(np.array([r[5] for r in rows]), Measure("close", 10, 8))
+    v, d1, d2 = (points[c] for c in ("_v", "_d1", "_d2"))
+    out = spikes(v, d1, d2)
+    assert 0 < out.sum() < 2000
+    sd = lambda c: 1.4826 * np.median(np.abs(c[~np.isnan(c)]))
+    left = [c[~out] for c in (v, d1, d2)]
+    a, b, c = (x / sd(x) for x in left)
+    p, q = (a + c) / math.sqrt(2), (a - c) / math.sqrt(2)
+    assert not ((np.abs(a) > 3) & ((p / sd(p)) ** 2 + (q / sd(q)) ** 2 + b**2 > 2 * math.log(len(a)))).any()
+
+
+def test_spike_rounds_and_differences_decide(spark):
+    _, df = heavy_tailed(spark)
+    whole = flagged(df)
+    assert set(flagged(df, Ellipsoid(rounds=1))) < set(whole)
+    assert flagged(df, Ellipsoid(differences=False)) != whole
+    assert set(flagged(df, Ellipsoid(protect=6.0))) < set(whole)
+
+
+@pytest.mark.parametrize("e", [Ellipsoid(), Ellipsoid(rounds=2), Ellipsoid(differences=False)])
+def test_sources_too_large_for_a_task_give_the_same_spikes(spark, e):
+    _, df = heavy_tailed(spark, 5, 900)
+    assert flagged(df, e, block_rows=250) == flagged(df, e)
 
 
 def test_bar_flags_test_dollar_value(spark, monkeypatch):

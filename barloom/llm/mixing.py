@@ -1,12 +1,17 @@
 """Mixing sources to target weights, in tokens.
 
 Method: subset-sum budget fitting. Documents are counted by (source, exact token length); per source the budget is met by whole
-repeats of everything, then by an even share of each length, then by a bounded-knapsack dynamic program over the lengths
-left for what remains of the budget. Documents are then selected per (source, length) by a seeded hash, as many as the
-fit asks for.
-
-Scale: a source's lengths are bounded by the longest text, not by its documents, so each source is fitted from one small group.
-The seeded order inside one (source, length) is cut in hash buckets, and only the bucket on the cut is ranked row by row.
+repeats of everything, and what remains of it by the best choice of documents drawn once more: a bounded knapsack over the
+counts of lengths. It starts from an even share of each length, and a dynamic program fits the rest of the budget. Where
+that leaves tokens, documents of the even share are freed and fitted again, more each time, until the budget is met to the
+token, or nothing better exists: a best choice differs from the even share by at most (gap + 2 x longest) documents of a
+length, because the steps from one to the other can be ordered so that their sums stay in a window of that size, and
+steps between two equal sums cancel. Documents are then selected per (source, length) by a seeded hash, as many as the fit asks
+for.
+
+Scale: a source's lengths are bounded by the longest text, not by its documents, so each source is fitted from one small group, and
+the dynamic program runs over the rest of the budget and the freed documents, not over the budget. The seeded order inside one
+(source, length) is cut in hash buckets, and only the bucket on the cut is ranked row by row.
 """
 
 from __future__ import annotations
@@ -22,66 +27,81 @@ from pyspark.sql.window import Window
 from barloom.llm.tokens import VOCABULARY, token_counts
 from barloom.shared import materialize, small_side
 
-#: What the even share leaves is first filled by single documents until it is below this many tokens, then fitted exactly.
-EXACT_TOKENS = 1 << 14
 BUCKETS = 1024
 
 
 def knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> np.ndarray:
     """How many of each length, at most its count, so that their sum is the largest possible up to ``budget``. Reachable sums are
-    the bits of one integer; pieces of 1, 2, 4 ... of a length keep the count's bound."""
+    the bits of one integer; pieces of 1, 2, 4 ... of a length keep the count's bound. Of each sum the first step that reaches
+    it is kept, so going back through the steps needs one number a sum."""
     take = np.zeros(len(lengths), dtype=np.int64)
     if budget <= 0:
         return take
-    reach, mask, steps = 1, (1 << (budget + 1)) - 1, []
-    for i, (n, c) in enumerate(zip(lengths, counts)):
-        n, left, piece = int(n), min(int(c), budget // int(n)) if n else 0, 1
-        while left and not reach >> budget & 1:
-            k = min(piece, left)
-            steps.append((reach, i, k))
-            reach |= (reach << (k * n)) & mask
-            left, piece = left - k, piece * 2
-        if reach >> budget & 1:
-            break
+    reach, mask, steps, size = 1, (1 << (budget + 1)) - 1, [], budget // 8 + 1
+    first = np.full(size * 8, -1, dtype=np.int32)
+    left = [min(int(c), budget // int(n)) if n else 0 for n, c in zip(lengths, counts)]
+    piece = 1
+    while any(left) and not reach >> budget & 1:  # one of each length before two of any
+        for i, n in enumerate(lengths):
+            if not left[i]:
+                continue
+            k = min(piece, left[i])
+            left[i] -= k
+            new = (reach << (k * int(n))) & mask & ~reach
+            if new:
+                bits = np.frombuffer(new.to_bytes(size, "little"), dtype=np.uint8)
+                some = np.flatnonzero(bits)
+                which, bit = np.nonzero(np.unpackbits(bits[some][:, None], axis=1, bitorder="little"))
+                first[some[which] * 8 + bit] = len(steps)
+                steps.append((i, k))
+                reach |= new
+                if new >> budget & 1:
+                    break
+        piece *= 2
     at = reach.bit_length() - 1
-    for before, i, k in reversed(steps):
-        if not before >> at & 1:
-            take[i] += k
-            at -= k * int(lengths[i])
+    while at:
+        i, k = steps[first[at]]
+        take[i] += k
+        at -= k * int(lengths[i])
     return take
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, max_repeats: int, exact: int = EXACT_TOKENS, seed: int = 0) -> tuple[int, np.ndarray]:
-    """Whole repeats of every document, and how many documents of each length once more; their tokens come as near to the budget
-    from below as the fit finds."""
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, max_repeats: int, seed: int = 0) -> tuple[int, np.ndarray]:
+    """Whole repeats of every document, and how many documents of each length once more. Their tokens are the most that stay within the
+    budget; of equally good choices one near the even share of each length is taken."""
     total = int((lengths * counts).sum())
     if total == 0 or total * max_repeats <= budget:
         return max_repeats, np.zeros(len(lengths), dtype=np.int64)
     repeats = budget // total
-    rest = budget - repeats * total
-    take = np.floor(counts * (rest / total)).astype(np.int64)
-    rest -= int((take * lengths).sum())
+    whole = budget - repeats * total
+    goal = whole - whole % int(np.gcd.reduce(lengths[lengths > 0]))  # no sum of lengths lies between
+    even = counts * (goal / total)
+    take = np.minimum(np.floor(even).astype(np.int64), counts)
     order = np.random.default_rng(seed).permutation(len(lengths))
-    order = order[np.argsort(-((counts * ((budget - repeats * total) / total)) % 1.0)[order], kind="stable")]
-    while rest > exact:
-        before = rest
-        for i in order:
-            if rest <= exact:
-                break
-            if take[i] < counts[i] and 0 < lengths[i] <= rest:
-                take[i] += 1
-                rest -= int(lengths[i])
-        if rest == before:
-            break
-    fits = np.array([i for i in order if 0 < lengths[i] <= rest and take[i] < counts[i]], dtype=np.int64)
-    if len(fits) and rest < 1 << 24:
-        take[fits] += knapsack(lengths[fits], (counts - take)[fits], rest)
-    return int(repeats), take
+    order = order[np.argsort(-(even % 1.0)[order], kind="stable")]
+    longest, rest = int(lengths.max()), goal - int((take * lengths).sum())
+    while rest < 0:  # the share's rounding
+        i = int(np.argmax(take * lengths))
+        take[i] -= 1
+        rest += int(lengths[i])
+    for i in order:  # by largest remainder, while the rest is far from what single documents hold
+        if rest > 4 * longest and take[i] < counts[i] and lengths[i]:
+            take[i] += 1
+            rest -= int(lengths[i])
+    free, enough = 0, rest + 2 * longest
+    while True:
+        kept = np.maximum(take - free, 0)
+        room = goal - int((kept * lengths).sum())
+        more = np.zeros(len(lengths), dtype=np.int64)
+        more[order] = knapsack(lengths[order], (counts - kept)[order], room)
+        if int((more * lengths).sum()) == room or free >= enough or not kept.any():
+            return int(repeats), kept + more
+        free = max(1, 2 * free)
 
 
 def _plan(tokens: DataFrame, targets: DataFrame, source: str, total: int, seed: int) -> DataFrame:
     """source, n_tokens, ``n`` documents, ``repeats`` of each and ``take`` of them once more, for every source of ``targets`` (one row
-    with n = 0 where it has no documents)."""
+    with n = 0 where it has no documents). ``short``: all was drawn and does not make up the share."""
     counts = tokens.where(F.col(source).isNotNull()).groupBy(source, "n_tokens").agg(F.count(F.lit(1)).alias("n"))
     t = small_side(targets.select(F.col(source), F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(1)).alias("most")))
     rows = t.join(counts, source, "left").select(F.col(source).alias("_source"), "share", "most", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("n", F.lit(0)).alias("n"))
@@ -93,7 +113,7 @@ def _plan(tokens: DataFrame, targets: DataFrame, source: str, total: int, seed:
         repeats, take = fit(lengths, counts, budget, most, seed=seed)
         available = int((lengths * counts).sum())
         used = repeats * available + int((lengths * take).sum())
-        return pd.DataFrame({"_source": pdf._source, "n_tokens": lengths, "n": counts, "repeats": repeats, "take": take, "available": available, "used": used, "short": available * most < float(pdf.share.iloc[0]) * total})
+        return pd.DataFrame({"_source": pdf._source, "n_tokens": lengths, "n": counts, "repeats": repeats, "take": take, "available": available, "used": used, "short": repeats == most and used < float(pdf.share.iloc[0]) * total})
 
     kind = targets.select(source).schema[0].dataType.simpleString()
     return rows.groupBy("_source").applyInPandas(solve, f"_source {kind}, n_tokens bigint, n bigint, repeats bigint, take bigint, available bigint, used bigint, short boolean")
@@ -115,7 +135,7 @@ class Mix:
 
     def report(self) -> DataFrame:
         """source, target_share, ``target_tokens``, ``available_tokens``, ``selected_tokens``, ``reached_share`` (of the total), ``mix_share``
-        (of what was selected) and ``short`` (the source can't reach its share)."""
+        (of what was selected) and ``short`` (every document was drawn max_repeats times, and the tokens drawn are below the share)."""
         one = self.plan.groupBy(F.col("_source").alias(self.source)).agg(F.max("available").alias("available_tokens"), F.max("used").alias("selected_tokens"), F.max("short").alias("short"))
         rows = self.targets.select(self.source, "target_share").join(one, self.source)
         everything = self.plan.select("_source", "used").distinct().agg(F.sum("used")).first()[0] or 0

@@ -37,6 +37,40 @@ def test_exact_when_lengths_allow():
     assert repeats == 0 and int((np.array([1, 7, 300]) * take).sum()) == 123_457
 
 
+def best_of(lengths, counts, budget):
+    sums = {0}
+    for n, c in zip(lengths, counts):
+        sums = {s + k * n for s in sums for k in range(c + 1) if s + k * n <= budget}
+    return max(sums)
+
+
+def test_the_even_share_is_given_up_for_a_better_sum():
+    lengths, counts = np.array([3167, 27478]), np.array([4, 1])
+    repeats, take = fit(lengths, counts, 31149, 1)
+    assert repeats == 0 and 31149 - int((lengths * take).sum()) == 504
+
+
+@given(st.lists(st.tuples(st.integers(0, 90), st.integers(1, 6)), min_size=1, max_size=6, unique_by=lambda x: x[0]), st.floats(0, 0.999))
+@settings(max_examples=200, deadline=None)
+def test_fit_is_the_best_sum(items, share):
+    lengths, counts = np.array([n for n, _ in items]), np.array([c for _, c in items])
+    budget = int(share * int((lengths * counts).sum()))
+    repeats, take = fit(lengths, counts, budget, 1)
+    if (lengths * counts).sum():
+        assert repeats == 0 and int((lengths * take).sum()) == best_of(lengths.tolist(), counts.tolist(), budget)
+
+
+def test_fit_of_many_documents():
+    """Millions of documents of a thousand lengths, and of two lengths: met to the token."""
+    rng = np.random.default_rng(3)
+    lengths = np.sort(rng.choice(np.arange(20, 30_000), 1000, replace=False))
+    counts = rng.integers(1, 20_000, 1000)
+    for n, c, share in ((lengths, counts, 0.37), (np.array([3167, 27478]), np.array([4_000_000, 1_000_000]), 0.41)):
+        budget = int(share * int((n * c).sum()))
+        repeats, take = fit(n, c, budget, 1)
+        assert repeats == 0 and int((n * take).sum()) == budget and (take <= c).all() and (take >= 0).all()
+
+
 def make(spark, seed=0):
     rng = random.Random(seed)
     rows = []

@@ -38,15 +38,9 @@ class RecordFormat:
     lenient: Sequence[str] = field(default=("tick_num", "open", "high", "low", "volume", "cum_buy_volume", "cum_ticks", "cum_dollar_value"))
 
 
-def _placeholders(text: pa.ChunkedArray | pa.Array) -> list[str]:
-    """Two private characters that no record holds, to stand for line breaks while the reader splits by lines."""
-    free = []
-    for code in range(0xE000, 0xF8FF):
-        if not pc.any(pc.match_substring(text, chr(code))).as_py():
-            free.append(chr(code))
-            if len(free) == 2:
-                return free
-    raise ValueError("no private character is free")
+#: Stands before a letter for a line break, so that the reader can split by lines; itself written with a letter too.
+_MARK = "\ue000"
+_ESCAPES = ((_MARK, _MARK + "e"), ("\r", _MARK + "r"), ("\n", _MARK + "n"))
 
 
 def _moments(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +70,7 @@ def _decimals(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ok = np.asarray(pc.fill_null(pc.match_substring_regex(values, _DECIMAL), False))
     text = pc.ascii_trim(pc.if_else(pa.array(ok), values, "nan"), " ")
     plain = pc.replace_substring_regex(text, r"\A\+", "")
-    return np.array([float(t) for t in plain.to_pylist()], dtype=float), ok
+    return np.asarray(pc.cast(plain, pa.float64())), ok
 
 
 def _positive(values: pa.Array, below: float) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +87,9 @@ def _positive(values: pa.Array, below: float) -> tuple[np.ndarray, np.ndarray]:
 
 def _split(text: pa.Array, names: Sequence[str]) -> tuple[np.ndarray, dict[int, int], pa.Table]:
     """Indexes of the records that split into the fields; field counts of those that don't; the fields as strings."""
-    cr, lf = _placeholders(text)
-    flat = pc.replace_substring(pc.replace_substring(text, "\r", cr), "\n", lf)
+    flat = text
+    for raw, escaped in _ESCAPES:
+        flat = pc.replace_substring(flat, raw, escaped)
     numbered = pc.binary_join_element_wise(pc.cast(pa.array(np.arange(len(text))), pa.string()), flat, ",")
     wrong: dict[int, int] = {}
 
@@ -110,7 +105,9 @@ def _split(text: pa.Array, names: Sequence[str]) -> tuple[np.ndarray, dict[int,
         pacsv.ParseOptions(invalid_row_handler=reject, ignore_empty_lines=False),
         pacsv.ConvertOptions(column_types={c: pa.string() for c in columns}, strings_can_be_null=False, check_utf8=False),
     ).combine_chunks()
-    back = [pc.replace_substring(pc.replace_substring(table[c].combine_chunks(), cr, "\r"), lf, "\n") for c in names]
+    back = [table[c].combine_chunks() for c in names]
+    for raw, escaped in reversed(_ESCAPES):
+        back = [pc.replace_substring(c, escaped, raw) for c in back]
     return np.asarray(pc.cast(table["_row"].combine_chunks(), pa.int64())), wrong, pa.table(back, names=list(names))
 
 

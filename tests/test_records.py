@@ -40,6 +40,14 @@ def test_grammar(spark):
     assert loaded(parsed).count() + len([1 for _, ok in CASES if not ok]) == len(CASES) + 1  # the repeated record loads again
 
 
+def test_private_characters_stay(spark):
+    every = "".join(chr(c) for c in range(0xE000, 0xF900))
+    names = [every, "\ue000n\ue000r\ue000e\ue000", '"\ue000\nn\ue000e\r"']
+    df = spark.createDataFrame([(i, "f", i, change(0, n), "x") for i, n in enumerate(names)], SCHEMA)
+    out = {r.record_id: r.instrument_name for r in loaded(parse_records(df)).collect()}
+    assert out == {0: every, 1: names[1], 2: names[2].strip('"')}
+
+
 def test_kept_column_that_clashes(spark):
     df = spark.createDataFrame([(1, "f", 1, GOOD, "mine")], SCHEMA)
     row = parse_records(df, keep=("record_id", "close")).first()

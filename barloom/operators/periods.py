@@ -14,17 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.ordering import DAY_US
+from barloom.shared import materialize, small_side
 
 
-def _carry(cells: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
+def _carried(rows: DataFrame, cells: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
+    """``rows`` with ``value`` over all earlier cells of their entity. ``cells`` has a row per entity and cell."""
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    return cells.select(*keys, "_cell", value.over(before).alias(name))
-
-
-def _join_cells(rows: DataFrame, cells: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    l, r = rows.alias("l"), cells.alias("r")
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_cell"]]
-    return l.join(r, same, "left").select("l.*", F.col(f"r.{name}"))
+    carry = small_side(materialize(cells.select(*keys, "_cell", value.over(before).alias(name)).where(F.col(name).isNotNull()), "cells"))
+    l, r = rows.alias("l"), carry.alias("r")
+    return l.join(r, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_cell"]], "left").select("l.*", F.col(f"r.{name}"))
 
 
 def merge_intervals(df: DataFrame, keys: Sequence[str] = ("instrument",), start: str = "t0", end: str = "t1", cell_us: int = DAY_US) -> DataFrame:
@@ -40,14 +38,15 @@ def merge_intervals(df: DataFrame, keys: Sequence[str] = ("instrument",), start:
     rows = rows.groupBy(*keys, "_s").agg(F.max("_e").alias("_e"), F.count(F.lit(1)).alias("_n"))
     rows = rows.withColumn("_cell", F.floor(F.unix_micros("_s") / F.lit(cell_us)))
     w = Window.partitionBy(*keys, "_cell").orderBy("_s")
-    rows = rows.withColumn("_m", F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    # Sorted once and written: both carries and the labels start from here.
+    rows = materialize(rows.withColumn("_m", F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1))), "starts")
     tops = rows.groupBy(*keys, "_cell").agg(F.max("_e").alias("_top"))
-    rows = _join_cells(rows, _carry(tops, keys, F.max("_top"), "_above"), keys, "_above")
+    rows = _carried(rows, tops, keys, F.max("_top"), "_above")
     rows = rows.withColumn("_previous", F.greatest("_m", "_above"))
     rows = rows.withColumn("_new", F.when(F.col("_previous").isNull() | (F.col("_s") > F.col("_previous")), 1).otherwise(0))
-    rows = rows.withColumn("_label", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     news = rows.groupBy(*keys, "_cell").agg(F.sum("_new").alias("_news"))
-    rows = _join_cells(rows, _carry(news, keys, F.sum("_news"), "_earlier"), keys, "_earlier")
+    rows = rows.withColumn("_label", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = _carried(rows, news, keys, F.sum("_news"), "_earlier")
     period = F.col("_label") + F.coalesce(F.col("_earlier"), F.lit(0)) - 1
     return rows.groupBy(*keys, period.alias("period")).agg(
         F.min("_s").alias("period_start"), F.max("_e").alias("period_end"), F.sum("_n").alias("n_intervals"),

@@ -40,7 +40,7 @@ r AS (SELECT instrument, s // 48 AS d, min(s) AS a, max(s) AS z FROM b GROUP BY
 g AS (SELECT instrument, unnest(range(a, z + 1)) AS s FROM r)
 SELECT g.instrument, g.s * 1800 AS slot_start FROM g ANTI JOIN b ON g.instrument = b.instrument AND g.s = b.s""")
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    grid = regular_grid(table(spark, folder, "bars"), total=())
+    grid = regular_grid(table(spark, folder, "bars"))
     return grid.where((F.col("close_source") == "modelled") & F.col("close_filled").isNotNull()).select("instrument", "slot_start")
 
 

@@ -19,11 +19,16 @@ def to_covariance(corr: np.ndarray, sd: np.ndarray) -> np.ndarray:
 
 
 def semidefinite(matrix: np.ndarray) -> np.ndarray:
-    """The matrix without negative eigenvalues, which pairwise covariances over different dates may have."""
-    values, vectors = np.linalg.eigh(matrix)
+    """The covariance without negative eigenvalues, which pairwise covariances over different dates may have: the correlations are projected,
+    the variances stay."""
+    sd = np.sqrt(np.maximum(np.diag(matrix), 0))
+    sd = np.where(sd > 0, sd, 1.0)
+    values, vectors = np.linalg.eigh(matrix / np.outer(sd, sd))
     if not len(values) or values[0] >= 0:
         return matrix
     out = (vectors * np.maximum(values, 1e-10 * values[-1])) @ vectors.T
+    unit = np.sqrt(np.maximum(np.diag(matrix), 0) / np.maximum(np.diag(out), 1e-300))
+    out = out * np.outer(unit, unit)
     return (out + out.T) / 2
 
 

@@ -139,7 +139,7 @@ def local_trend(spark: SparkSession, folder: str) -> DataFrame:
 @query("informed_trading")
 def informed_trading(spark: SparkSession, folder: str) -> DataFrame:
     t = tick_signs(ticks(spark, folder), KEYS)
-    by_day = t.groupBy("instrument", F.to_date("ts").alias("day")).agg(F.sum(F.when(F.col("sign") > 0, 1).otherwise(0)).alias("b"), F.sum(F.when(F.col("sign") < 0, 1).otherwise(0)).alias("s"))
+    by_day = t.groupBy("instrument", F.floor(F.unix_micros("ts") / F.lit(86_400_000_000)).alias("day")).agg(F.sum(F.when(F.col("sign") > 0, 1).otherwise(0)).alias("b"), F.sum(F.when(F.col("sign") < 0, 1).otherwise(0)).alias("s"))
     rows = by_day.groupBy("instrument").agg(F.sum("b").alias("b"), F.sum("s").alias("s"))
 
     def fit(batches):

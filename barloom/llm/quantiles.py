@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.shared import materialize
+from barloom.shared import materialize, small_side
 
 
 def summarize(df: DataFrame, keys: Sequence[str], fields: dict[str, tuple[float, float] | None], resolution: float | None = None) -> DataFrame:
@@ -61,7 +61,8 @@ def percentiles(summary: DataFrame, keys: Sequence[str], probabilities: Sequence
     parts = parts.withColumn("_offset", F.coalesce(F.sum("_sum").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_total", F.sum("_sum").over(w))
     rank = lambda q: F.greatest(F.ceil(F.lit(q) * F.col("_total") - F.lit(1e-9)), F.lit(1))
     targets = F.array_compact(F.array(*[F.when((rank(q) > F.col("_offset")) & (rank(q) <= F.col("_offset") + F.col("_sum")), F.struct(F.lit(float(q)).alias("q"), rank(q).alias("rank"))) for q in probabilities]))
-    parts = parts.withColumn("_targets", targets).where(F.size("_targets") > 0)
+    # A row per group, and per further partition that holds one of its targets.
+    parts = small_side(materialize(parts.withColumn("_targets", targets).where(F.size("_targets") > 0), "parts"))
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}")) for k in [*by, "_part"]]
     rows = ranged.alias("r").join(parts.alias("p"), same).select("r.*", "p._offset", "p._total", "p._targets")
     ends = F.sum("n").over(Window.partitionBy(*by, "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))

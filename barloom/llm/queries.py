@@ -34,7 +34,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _percentiles(spark: SparkSession, folder: str, probabilities: list[float]) -> DataFrame:
-    train = _table(spark, folder, "train").withColumn("month", F.date_format("ts", "yyyy-MM"))
+    train = _table(spark, folder, "train").withColumn("month", F.date_format(F.date_from_unix_date(F.floor(F.unix_micros("ts") / F.lit(86_400_000_000)).cast("int")), "yyyy-MM"))
     return percentiles(summarize(train, ["instrument", "month"], RANGES), ["instrument", "month"], probabilities)
 
 

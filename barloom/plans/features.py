@@ -168,16 +168,29 @@ def z_score_filter(spark: SparkSession, folder: str) -> DataFrame:
     return S.z_score_events(_days(spark, folder), "c", 20, 20, 2.0).rows("instrument", "day", "c", "event").where("event").drop("event")
 
 
-@query("cusum_filter", f"""WITH RECURSIVE {DAILY_SQL}, x AS (SELECT instrument, day, rn, ln(c) - lag(ln(c)) OVER (PARTITION BY instrument ORDER BY rn) AS d FROM daily),
-walk AS (SELECT instrument, day, rn, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, 0 AS direction FROM x WHERE rn = 1
-  UNION ALL SELECT instrument, day, rn, CASE WHEN b >= -0.05 AND a > 0.05 THEN 0 ELSE a END, CASE WHEN b < -0.05 THEN 0 ELSE b END, CASE WHEN b < -0.05 THEN -1 WHEN a > 0.05 THEN 1 ELSE 0 END
-  FROM (SELECT x.instrument, x.day, x.rn, greatest(0, w.up + x.d) AS a, least(0, w.down + x.d) AS b FROM walk w JOIN x ON x.instrument = w.instrument AND x.rn = w.rn + 1))
-SELECT instrument, day, direction FROM walk WHERE direction <> 0""")
+def cusum_sql(source: str, threshold: float) -> str:
+    """The walk over ``source`` (instrument, tm, rn, x)."""
+    return f"""moves AS (SELECT *, x - lag(x) OVER (PARTITION BY instrument ORDER BY rn) AS d FROM {source}),
+walk AS (SELECT instrument, tm, rn, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, 0 AS direction FROM moves WHERE rn = 1
+  UNION ALL SELECT instrument, tm, rn, CASE WHEN b >= -{threshold} AND a > {threshold} THEN 0 ELSE a END, CASE WHEN b < -{threshold} THEN 0 ELSE b END, CASE WHEN b < -{threshold} THEN -1 WHEN a > {threshold} THEN 1 ELSE 0 END
+  FROM (SELECT m.instrument, m.tm, m.rn, greatest(0, w.up + m.d) AS a, least(0, w.down + m.d) AS b FROM walk w JOIN moves m ON m.instrument = w.instrument AND m.rn = w.rn + 1))"""
+
+
+def dynamic_z_sql(source: str, lag: int, threshold: float, influence: float) -> str:
+    """The walk over ``source`` (instrument, tm, rn, x)."""
+    far = f"(n >= {lag + 1} AND abs(x1 - mean) > {threshold} * std)"
+    return f"""walk AS (SELECT DISTINCT instrument, NULL::BIGINT AS tm, 0::BIGINT AS rn, []::DOUBLE[] AS recent, 0 AS n, NULL::DOUBLE AS mean, NULL::DOUBLE AS std, 0 AS signal FROM {source}
+  UNION ALL SELECT instrument, tm1, rn1, list_append(recent, CASE WHEN {far} THEN {influence} * x1 + {1 - influence!r} * recent[-1] ELSE x1 END)[-{lag}:], n + 1,
+    CASE WHEN n >= {lag} THEN list_avg(recent) END, CASE WHEN n >= {lag} THEN list_stddev_pop(recent) END, CASE WHEN {far} THEN CASE WHEN x1 > mean THEN 1 ELSE -1 END ELSE 0 END
+  FROM (SELECT w.*, s.tm AS tm1, s.rn AS rn1, s.x AS x1 FROM walk w JOIN {source} s ON s.instrument = w.instrument AND s.rn = w.rn + 1))"""
+
+
+@query("cusum_filter", f"WITH RECURSIVE {DAILY_SQL}, s AS (SELECT instrument, day AS tm, rn, ln(c) AS x FROM daily), {cusum_sql('s', 0.05)} SELECT instrument, tm AS day, direction FROM walk WHERE direction <> 0")
 def cusum_filter(spark: SparkSession, folder: str) -> DataFrame:
     return S.cusum_events(daily(spark, folder).withColumn("x", F.ln("c")), ["instrument"], "day", "x", 0.05)
 
 
-@query("dynamic_z_score")
+@query("dynamic_z_score", f"WITH RECURSIVE {DAILY_SQL}, s AS (SELECT instrument, day AS tm, rn, c AS x FROM daily), {dynamic_z_sql('s', 20, 3.0, 0.3)} SELECT instrument, tm AS day, signal FROM walk WHERE rn > 0")
 def dynamic_z_score(spark: SparkSession, folder: str) -> DataFrame:
     return S.dynamic_z_score(daily(spark, folder), ["instrument"], "day", "c", 20, 3.0, 0.3)
 
@@ -214,11 +227,19 @@ def kalman_smoother(spark: SparkSession, folder: str) -> DataFrame:
     return S.kalman_lag_smoother(daily(spark, folder), ["instrument"], "day", "c")
 
 
-@query("daily_ewm_volatility")
+def ewm_sql(source: str, q: float) -> str:
+    """Mean and bias-corrected deviation with adjusted weights q ** age, over ``source`` (instrument, tm, rn, x) without nulls."""
+    return f"""pairs AS (SELECT a.instrument, a.tm, b.x, pow({q!r}, a.rn - b.rn) AS w FROM {source} a JOIN {source} b ON b.instrument = a.instrument AND b.rn <= a.rn),
+means AS (SELECT *, sum(w * x) OVER k / sum(w) OVER k AS m FROM pairs WINDOW k AS (PARTITION BY instrument, tm)),
+ewm AS (SELECT instrument, tm, max(m) AS ewm_mean, CASE WHEN count(*) > 1 THEN sqrt(sum(w * (x - m) * (x - m)) / sum(w) * pow(sum(w), 2) / (pow(sum(w), 2) - sum(w * w))) END AS ewm_std FROM means GROUP BY 1, 2)"""
+
+
+@query("daily_ewm_volatility", f"""WITH {DAILY_SQL}, r AS (SELECT instrument, day AS tm, c / {lag_sql('c')} - 1 AS x FROM daily), s AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY tm) AS rn FROM r WHERE x IS NOT NULL), {ewm_sql('s', 1 - 2 / 101)}
+SELECT instrument, tm AS day, round(ewm_mean, 6) AS ewm_mean, round(ewm_std, 6) AS ewm_std FROM ewm""")
 def daily_ewm_volatility(spark: SparkSession, folder: str) -> DataFrame:
     s = _days(spark, folder)
     returns = s.let(r=s.change("c")).rows("instrument", "day", "r").where("r is not null")
-    return V.ewm(returns, ["instrument"], "day", "r", span=100)
+    return V.ewm(returns, ["instrument"], "day", "r", span=100).withColumns({c: F.round(c, 6) for c in ("ewm_mean", "ewm_std")})
 
 
 @query("futures_roll", f"""WITH {DAILY_SQL}, d AS (SELECT *, 'C' || (day // 90) AS sec FROM daily), g AS (SELECT *, CASE WHEN lag(sec) OVER (PARTITION BY instrument ORDER BY day) <> sec THEN o - c ELSE 0 END AS x FROM d)

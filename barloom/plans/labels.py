@@ -47,10 +47,15 @@ def meta_labels(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("ret", F.round("ret", 6))
 
 
-@query("drop_rare_labels")
+@query("drop_rare_labels", f"""{_PL}, {_TOUCH},
+e AS (SELECT b.*, (SELECT arg_min(close, ts) FROM prices p WHERE p.instrument = b.instrument AND p.ts >= b.t0) AS a, (SELECT arg_min(close, ts) FROM prices p WHERE p.instrument = b.instrument AND p.ts >= b.touch) AS z FROM barriers b WHERE touch IS NOT NULL),
+m AS (SELECT instrument, t0, z / a - 1 AS ret, trgt, CASE WHEN z > a AND ln(z / a) > trgt * pt THEN 1 WHEN z < a AND ln(z / a) < -trgt * sl THEN -1 ELSE 0 END AS bin FROM e WHERE a IS NOT NULL AND z IS NOT NULL),
+c AS (SELECT bin, count(*) AS n, row_number() OVER (ORDER BY count(*), CAST(bin AS VARCHAR)) AS k, count(*) OVER () AS kinds, sum(count(*)) OVER () AS total FROM m GROUP BY 1)
+SELECT instrument, t0, round(ret, 6) AS ret, trgt, bin FROM m WHERE bin NOT IN (SELECT bin FROM c WHERE k = 1 AND kinds >= 3 AND n / total <= 0.05)""")
 def drop_rare_labels(spark: SparkSession, folder: str) -> DataFrame:
     p = prices(spark, folder)
-    return L.drop_rare_labels(L.meta_labels(p, L.triple_barrier(p, labels(spark, folder), KEYS), KEYS, with_side=False))
+    out = L.drop_rare_labels(L.meta_labels(p, L.triple_barrier(p, labels(spark, folder), KEYS), KEYS, with_side=False))
+    return out.withColumn("ret", F.round("ret", 6))
 
 
 @query("trend_labels", f"""WITH {DAILY_SQL}, f AS (SELECT d.instrument, d.day, h.h, count(*) AS n, max(e.day) AS z, regr_slope(e.c - d.c, e.rn - d.rn) AS b, regr_sxx(e.c - d.c, e.rn - d.rn) AS sxx, regr_syy(e.c - d.c, e.rn - d.rn) AS syy, regr_sxy(e.c - d.c, e.rn - d.rn) AS sxy
@@ -62,19 +67,24 @@ def trend_labels(spark: SparkSession, folder: str) -> DataFrame:
     return s.rows("instrument", "day", F.round("t_value", 4).alias("t_value"), "bin", "t1").where("t_value is not null")
 
 
-@query("tail_sets", f"""WITH {DAILY_SQL}, r AS (SELECT instrument, day, rn, ln(c / {lag_sql('c')}) AS r FROM daily),
+_TAILS = f"""WITH {DAILY_SQL}, r AS (SELECT instrument, day, rn, ln(c / {lag_sql('c')}) AS r FROM daily),
 v AS (SELECT instrument, day, r / nullif(CASE WHEN count(r) OVER w = 10 THEN stddev_samp(r) OVER w END, 0) AS x FROM r WINDOW w AS (PARTITION BY instrument ORDER BY rn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
 e AS (SELECT day, quantile_cont(x, 0.1) AS lo, quantile_cont(x, 0.9) AS hi FROM v WHERE x IS NOT NULL GROUP BY 1)
-SELECT v.day, v.instrument, CASE WHEN x <= lo THEN -1 WHEN x > hi THEN 1 ELSE 0 END AS tail FROM v JOIN e USING (day) WHERE x IS NOT NULL""")
+SELECT v.day, v.instrument, CASE WHEN x <= lo THEN -1 WHEN x > hi THEN 1 ELSE 0 END AS tail FROM v JOIN e USING (day) WHERE x IS NOT NULL"""
+
+
+@query("tail_sets", _TAILS)
 def tail_sets(spark: SparkSession, folder: str) -> DataFrame:
     s = _days(spark, folder)
     s.let(_r=s.log_return("c")).let(_sd=s.roll(F.stddev_samp, "_r", 10))
     return L.tail_sets(s.rows("instrument", "day", F.try_divide("_r", "_sd").alias("x")), "day", "instrument", "x")
 
 
-@query("tail_members")
+@query("tail_members", f"""WITH tails AS ({_TAILS})
+SELECT day, coalesce(string_agg(CASE WHEN tail = 1 THEN instrument END, ' ' ORDER BY instrument), '') AS positive, coalesce(string_agg(CASE WHEN tail = -1 THEN instrument END, ' ' ORDER BY instrument), '') AS negative FROM tails GROUP BY 1""")
 def tail_members(spark: SparkSession, folder: str) -> DataFrame:
-    return L.tail_members(tail_sets(spark, folder), "day", "instrument")
+    out = L.tail_members(tail_sets(spark, folder), "day", "instrument")
+    return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), " ") for c in ("positive", "negative")})
 
 
 _CLOSED = "closed AS (SELECT l.instrument, l.t0, coalesce(l.t1, z) AS t1 FROM labels l LEFT JOIN (SELECT instrument, max(ts) AS z FROM prices GROUP BY 1) USING (instrument))"

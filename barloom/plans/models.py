@@ -20,8 +20,8 @@ from barloom.operators import simulate as S
 from barloom.operators import validation as C
 from barloom.operators.bars import tick_signs
 from barloom.ordering import HOUR_US
-from barloom.plans.features import _days
-from barloom.plans.inputs import daily, ticks
+from barloom.plans.features import _days, lag_sql
+from barloom.plans.inputs import DAILY_SQL, daily, ticks
 from barloom.plans.labels import _bets
 from barloom.plans.registry import query, table
 from barloom.plans.statistics import _RET, _panel, _returns
@@ -315,15 +315,29 @@ def isotonic_calibration(spark: SparkSession, folder: str) -> DataFrame:
     return L.isotonic_calibration(rows, rows.select("seq", "prob"), "prob", "label")
 
 
-@query("lagged_sequences")
+@query("lagged_sequences", f"""WITH {DAILY_SQL}, r AS (SELECT instrument, day, rn, ln(c / {lag_sql('c')}) AS r FROM daily),
+x AS (SELECT instrument, day, {", ".join(f"round({lag_sql('r', k) if k else 'r'}, 6) AS x_{k}" for k in range(5))} FROM r) SELECT * FROM x WHERE {" AND ".join(f"x_{k} IS NOT NULL" for k in range(5))}""")
 def lagged_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    """The last five returns of each day as one array: samples for sequence models."""
+    """The last five returns of each day: samples for sequence models."""
     s = _days(spark, folder)
     s.let(r=s.log_return("c"))
-    return s.let(x=F.array(*[s.lag("r", k) if k else F.col("r") for k in range(4, -1, -1)])).rows("instrument", "day", "x").where(~F.exists("x", lambda v: v.isNull()))
+    s.let(**{f"x_{k}": F.round(s.lag("r", k) if k else F.col("r"), 6) for k in range(5)})
+    return s.rows("instrument", "day", *[f"x_{k}" for k in range(5)]).na.drop()
 
 
-@query("autocorrelation")
+def _levinson_sql(lags: int) -> str:
+    """Partial autocorrelations f<k><k> from the autocorrelations a<k> of table g, in tables p1 .. p<lags>."""
+    out = ["p1 AS (SELECT *, a1 AS f11 FROM g)"]
+    for k in range(2, lags + 1):
+        total = lambda other: " + ".join(f"f{k - 1}{j} * a{other(j)}" for j in range(1, k))  # noqa: B023, E731
+        out.append(f"q{k} AS (SELECT *, (a{k} - ({total(lambda j: k - j)})) / (1 - ({total(lambda j: j)})) AS f{k}{k} FROM p{k - 1})")
+        out.append(f"p{k} AS (SELECT *, {', '.join(f'f{k - 1}{j} - f{k}{k} * f{k - 1}{k - j} AS f{k}{j}' for j in range(1, k))} FROM q{k})")
+    return ", ".join(out)
+
+
+@query("autocorrelation", f"""WITH {DAILY_SQL}, r AS (SELECT instrument, rn, ln(c / {lag_sql('c')}) AS r FROM daily), l AS (SELECT instrument, r, {", ".join(f"{lag_sql('r', k)} AS l{k}" for k in range(1, 6))} FROM r),
+g AS (SELECT instrument, {", ".join(f"corr(r, l{k}) AS a{k}" for k in range(1, 6))}, count(l5) AS n FROM l GROUP BY 1 HAVING count(l5) >= 10 AND NOT isnan(corr(r, l1))), {_levinson_sql(5)}
+SELECT instrument, unnest([1, 2, 3, 4, 5]) AS lag, round(unnest([{", ".join(f"a{k}" for k in range(1, 6))}]), 5) AS acf, round(unnest([{", ".join(f"f{k}{k}" for k in range(1, 6))}]), 5) AS pacf FROM p5""")
 def autocorrelation(spark: SparkSession, folder: str) -> DataFrame:
     """Autocorrelation and partial autocorrelation of returns at lags 1 .. 5."""
     s = _days(spark, folder)
@@ -339,4 +353,4 @@ def autocorrelation(spark: SparkSession, folder: str) -> DataFrame:
                 out += [(r.instrument, k + 1, a[k], p) for k, p in enumerate(N.partial_autocorrelation(a))]
             yield pd.DataFrame(out, columns=["instrument", "lag", "acf", "pacf"])
 
-    return acf.mapInPandas(run, "instrument bigint, lag int, acf double, pacf double")
+    return acf.mapInPandas(run, "instrument bigint, lag int, acf double, pacf double").withColumns({c: F.round(c, 5) for c in ("acf", "pacf")})

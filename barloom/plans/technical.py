@@ -17,7 +17,7 @@ from barloom.operators import labeling as L
 from barloom.operators import microstructure as M
 from barloom.operators import technical as T
 from barloom.ordering import running
-from barloom.plans.features import YEAR, _days, lag_sql, r6, roll_sql, steps
+from barloom.plans.features import YEAR, _days, ewm_sql, lag_sql, r6, roll_sql, steps
 from barloom.plans.inputs import DAILY_SQL, PRICES_SQL, SIGNS_SQL, daily, prices, ticks
 from barloom.plans.registry import query, table
 
@@ -78,9 +78,16 @@ def volume_flows(spark: SparkSession, folder: str) -> DataFrame:
     return T.volume_flows(daily(spark, folder), KEYS, "day", cell_us=YEAR).withColumn("vpt", F.round("vpt", 4))
 
 
-@query("true_strength")
+_A, _B = 2 / 26, 2 / 14
+
+
+@query("true_strength", f"""WITH RECURSIVE {DAILY_SQL}, x AS (SELECT instrument, day, rn, c - lag(c) OVER (PARTITION BY instrument ORDER BY rn) AS d FROM daily),
+walk AS (SELECT instrument, day, rn, NULL::DOUBLE AS a, NULL::DOUBLE AS b, NULL::DOUBLE AS p, NULL::DOUBLE AS q FROM x WHERE rn = 1
+  UNION ALL SELECT instrument, day1, rn1, a1, coalesce(b + (a1 - b) * {_B!r}, a1), p1, coalesce(q + (p1 - q) * {_B!r}, p1)
+  FROM (SELECT w.*, x.day AS day1, x.rn AS rn1, coalesce(w.a + (x.d - w.a) * {_A!r}, x.d) AS a1, coalesce(w.p + (abs(x.d) - w.p) * {_A!r}, abs(x.d)) AS p1 FROM walk w JOIN x ON x.instrument = w.instrument AND x.rn = w.rn + 1))
+SELECT instrument, day, round(100 * b / nullif(q, 0), 5) AS tsi FROM walk""")
 def true_strength(spark: SparkSession, folder: str) -> DataFrame:
-    return T.true_strength(daily(spark, folder), KEYS, "day", "c")
+    return T.true_strength(daily(spark, folder), KEYS, "day", "c").withColumn("tsi", F.round("tsi", 5))
 
 
 @query("lagged_day_return", f"WITH {PRICES_SQL}, q AS (SELECT *, ts - 86400000000 AS due FROM prices) SELECT q.instrument, q.ts, round(q.close / p.close - 1, 6) AS ret FROM q ASOF JOIN prices p ON p.instrument = q.instrument AND p.ts < q.due")
@@ -90,14 +97,18 @@ def lagged_day_return(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where("past is not null").select("instrument", "ts", F.round(F.try_divide("close", "past") - 1, 6).alias("ret"))
 
 
-@query("daily_volatility")
+@query("daily_volatility", f"""WITH {PRICES_SQL}, q AS (SELECT *, ts - 86400000000 AS due FROM prices), r AS (SELECT q.instrument, q.ts AS tm, q.close / p.close - 1 AS x FROM q ASOF JOIN prices p ON p.instrument = q.instrument AND p.ts < q.due),
+s AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY tm) AS rn FROM r), {ewm_sql('s', 1 - 2 / 101)} SELECT instrument, tm AS ts, round(ewm_std, 6) AS volatility FROM ewm""")
 def daily_volatility(spark: SparkSession, folder: str) -> DataFrame:
-    return T.daily_volatility(prices(spark, folder), KEYS)
+    return T.daily_volatility(prices(spark, folder), KEYS).withColumn("volatility", F.round("volatility", 6))
 
 
-@query("expanding_frac_diff")
+@query("expanding_frac_diff", f"""WITH RECURSIVE {DAILY_SQL}, k AS (SELECT 0::BIGINT AS k, 1.0::DOUBLE AS w UNION ALL SELECT k + 1, -w * (0.4 - (k + 1) + 1) / (k + 1) FROM k WHERE k < (SELECT max(rn) FROM daily)),
+z AS (SELECT instrument, max(rn) AS n FROM daily GROUP BY 1), t AS (SELECT instrument, n, k, sum(abs(w)) OVER (PARTITION BY instrument ORDER BY k DESC) / sum(abs(w)) OVER (PARTITION BY instrument) AS loss FROM z JOIN k ON k.k < z.n),
+s AS (SELECT instrument, count(CASE WHEN loss > 0.3 THEN 1 END) AS skip FROM t GROUP BY 1)
+SELECT a.instrument, a.day, round(sum(k.w * b.c), 4) AS frac_diff FROM daily a JOIN s ON s.instrument = a.instrument AND a.rn > s.skip JOIN daily b ON b.instrument = a.instrument AND b.rn <= a.rn JOIN k ON k.k = a.rn - b.rn GROUP BY 1, 2""")
 def expanding_frac_diff(spark: SparkSession, folder: str) -> DataFrame:
-    return T.expanding_difference(daily(spark, folder), KEYS, "day", "c", 0.4, 0.3)
+    return T.expanding_difference(daily(spark, folder), KEYS, "day", "c", 0.4, 0.3).withColumn("frac_diff", F.round("frac_diff", 4))
 
 
 @query("difference_search")

@@ -44,9 +44,51 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return grid.where((F.col("close_source") == "modelled") & F.col("close_filled").isNotNull()).select("instrument", "slot_start")
 
 
-@query("p1_grid")
+def _fit_sql(v: str, harmonics: int = 2) -> str:
+    """Table fit_<v>: instrument and b0 .. bp of the regression, solved by elimination."""
+    waves = [f"{f}({k} * ph)" for k in range(1, harmonics + 1) for f in ("cos", "sin")]
+    p = range(1, 2 + 2 * harmonics)
+    x = [f"s / 48.0::DOUBLE AS x1, {', '.join(f'{w} AS x{i}' for i, w in enumerate(waves, 2))}"]
+    sums = [f"avg(x{i}) AS m{i}" for i in p] + [f"sum(x{i} * x{j}) AS q{i}{j}" for i in p for j in p if j >= i] + [f"sum(x{i} * y) AS t{i}" for i in p]
+    centred = [f"q{i}{j} - n * m{i} * m{j} AS c{i}{j}" for i in p for j in p if j >= i] + [f"t{i} - n * m{i} * my AS r{i}" for i in p]
+    ridge = f"1e-9::DOUBLE * abs({' + '.join(f'c{i}{i}' for i in p)}) + 1e-6::DOUBLE"
+    out = [f"""d_{v} AS (SELECT instrument, {v} AS y, {', '.join(x)} FROM (SELECT *, 2 * pi() * (s % 48) / 48 AS ph FROM obs) WHERE {v} IS NOT NULL AND NOT isnan({v}) AND NOT isinf({v}))""",
+        f"""u_{v} AS (SELECT instrument, count(*)::DOUBLE AS n, avg(y) AS my, {', '.join(sums)} FROM d_{v} GROUP BY 1)""", f"""z_{v} AS (SELECT *, {', '.join(centred)} FROM u_{v})""",
+        f"""e0_{v} AS (SELECT * REPLACE ({', '.join(f'c{i}{i} + {ridge} AS c{i}{i}' for i in p)}) FROM z_{v})"""]
+    for k in p:
+        rest = [i for i in p if i > k]
+        step = [f"c{i}{j} - c{k}{i} * c{k}{j} / c{k}{k} AS c{i}{j}" for i in rest for j in rest if j >= i] + [f"r{i} - c{k}{i} * r{k} / c{k}{k} AS r{i}" for i in rest]
+        out.append(f"e{k}_{v} AS (SELECT *{f' REPLACE ({', '.join(step)})' if step else ''} FROM e{k - 1}_{v})")
+    last = f"e{p[-1]}_{v}"
+    for k in reversed(p):
+        out.append(f"g{k}_{v} AS (SELECT *, (r{k}{''.join(f' - c{k}{j} * b{j}' for j in p if j > k)}) / c{k}{k} AS b{k} FROM {last})")
+        last = f"g{k}_{v}"
+    out.append(f"fit_{v} AS MATERIALIZED (SELECT instrument, my{''.join(f' - b{i} * m{i}' for i in p)} AS b0, {', '.join(f'b{i}' for i in p)} FROM {last})")
+    return ", ".join(out)
+
+
+def _grid_sql() -> str:
+    waves = "coalesce(b0 + b1 * ({s}) / 48 + b2 * cos(2 * pi() * (({s}) % 48) / 48) + b3 * sin(2 * pi() * (({s}) % 48) / 48) + b4 * cos(4 * pi() * (({s}) % 48) / 48) + b5 * sin(4 * pi() * (({s}) % 48) / 48), 0)"
+    parts, columns = [], []
+    for v in ("close", "volume"):
+        rest = lambda e: f"CASE WHEN isnan({e}v - {waves.format(s=e + 's')}) OR isinf({e}v - {waves.format(s=e + 's')}) THEN 0 ELSE {e}v - {waves.format(s=e + 's')} END"  # noqa: B023, E731
+        parts.append(f"""k_{v} AS (SELECT g.instrument, g.s, o.{v}, last_value(CASE WHEN {v} IS NOT NULL THEN g.s END IGNORE NULLS) OVER w AS ps, last_value({v} IGNORE NULLS) OVER w AS pv,
+  first_value(CASE WHEN {v} IS NOT NULL THEN g.s END IGNORE NULLS) OVER f AS qs, first_value({v} IGNORE NULLS) OVER f AS qv FROM g LEFT JOIN obs o USING (instrument, s)
+  WINDOW w AS (PARTITION BY instrument, s // 48 ORDER BY s ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY instrument, s // 48 ORDER BY s ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+h_{v} AS (SELECT instrument, s, {v}, CASE WHEN {v} IS NOT NULL THEN {v} WHEN ps IS NOT NULL AND qs IS NOT NULL THEN {waves.format(s='s')} + ({rest('p')}) * (1 - (s - ps) / (qs - ps)::DOUBLE) + ({rest('q')}) * ((s - ps) / (qs - ps)::DOUBLE) END AS filled,
+  CASE WHEN {v} IS NOT NULL THEN 'observed' WHEN ps IS NOT NULL AND qs IS NOT NULL THEN 'modelled' ELSE 'open' END AS source FROM k_{v} LEFT JOIN fit_{v} USING (instrument))""")
+        filled = f"h_{v}.filled" if v == "close" else f"CASE WHEN h_{v}.source = 'modelled' THEN greatest(h_{v}.filled, 0) ELSE h_{v}.filled END"
+        digits = 3 if v == "close" else 1
+        columns.append(f"round(h_{v}.{v}, {digits}) AS {v}, round({filled}, {digits}) AS {v}_filled, h_{v}.source AS {v}_source")
+    return f"""WITH obs AS MATERIALIZED (SELECT instrument, epoch_us(date_time) // 1800000000 AS s, arg_max(close, (date_time, seq)) FILTER (WHERE close IS NOT NULL) AS close, sum(volume) AS volume FROM bars WHERE date_time IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT instrument, min(s) AS a, max(s) AS z FROM obs GROUP BY instrument, s // 48), g AS (SELECT instrument, unnest(range(a, z + 1)) AS s FROM r), {_fit_sql('close')}, {_fit_sql('volume')}, {', '.join(parts)}
+SELECT h_close.instrument, h_close.s * 1800 AS slot_start, {', '.join(columns)} FROM h_close JOIN h_volume USING (instrument, s)"""
+
+
+@query("p1_grid", _grid_sql())
 def p1_grid(spark: SparkSession, folder: str) -> DataFrame:
-    return regular_grid(table(spark, folder, "bars"))
+    grid = regular_grid(table(spark, folder, "bars"))
+    return grid.withColumns({c: F.round(c, 3 if c.startswith("close") else 1) for c in ("close", "close_filled", "volume", "volume_filled")})
 
 
 @query("p2_found", """

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,10 +80,18 @@ def sharpe_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("instrument", "n", *[F.round(c, d).alias(c) for c, d in (("mean", 6), ("stdev", 6), ("skew", 5), ("kurt", 5), ("sr", 6), ("sr_std", 6), ("psr", 6))])
 
 
-@query("deflated_sharpe")
+def _expected_maxima(most: int) -> str:
+    """(trials, factor) of the expected maximum of standard normals, for SQL, which has no normal quantile."""
+    q = NormalDist().inv_cdf
+    return ", ".join(f"({n}, {(1 - 0.5772156649015329) * q(1 - 1 / n) + 0.5772156649015329 * q(1 - 1 / (n * math.e))!r}::DOUBLE)" for n in range(2, most + 1))
+
+
+@query("deflated_sharpe", f"""WITH {_RET}, {_MOMENTS}, f AS (SELECT instrument % 10 AS family, count(*) AS trials, stddev_pop(sr) AS sd, arg_max(struct_pack(sr := sr, n := n, skew := skew, kurt := kurt), (sr, n)) AS b FROM y WHERE sr IS NOT NULL GROUP BY 1),
+g AS (SELECT family, trials, b.sr AS best_sr, b.n AS n, b.skew AS skew, b.kurt AS kurt, sd * coalesce(factor, 0) AS benchmark FROM f LEFT JOIN (VALUES {_expected_maxima(300)}) AS e(k, factor) ON k = trials),
+h AS (SELECT *, (best_sr - benchmark) * sqrt(n - 1) / sqrt(1 - skew * best_sr + (kurt - 1) / 4 * best_sr * best_sr) AS zz FROM g) SELECT family, trials, round(best_sr, 6) AS best_sr, round(benchmark, 5) AS benchmark, round({norm_cdf_sql('zz')}, 5) AS dsr FROM h""")
 def deflated_sharpe(spark: SparkSession, folder: str) -> DataFrame:
     stats = B.sharpe_statistics(_returns(spark, folder), KEYS).where("n >= 10").withColumn("family", F.expr("instrument % 10"))
-    return B.deflated_by_group(stats, ["family"])
+    return B.deflated_by_group(stats, ["family"]).withColumns({c: F.round(c, d) for c, d in (("best_sr", 6), ("benchmark", 5), ("dsr", 5))})
 
 
 @query("implied_precision", f"""WITH {_RET}, g AS (SELECT instrument, avg(CASE WHEN ret > 0 THEN ret END) AS up, avg(CASE WHEN ret <= 0 THEN ret END) AS down, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS precision FROM x GROUP BY 1),
@@ -224,7 +235,8 @@ def quantile_letters(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("instrument", "seq", F.ascii(E.nearest_letter(F.col("volume"), keys)).alias("letter"))
 
 
-@query("sigma_letters")
+@query("sigma_letters", f"""WITH {TICKS_SQL}, b AS (SELECT min(price) AS lo, max(price) AS hi FROM ticks), k AS (SELECT unnest(range(CAST(ceil((hi - lo) / 5.0::DOUBLE) AS BIGINT))) AS i, lo, (lo + 5.0::DOUBLE) - lo AS step FROM b)
+SELECT instrument, seq, CAST(arg_min(i, (abs(price - (lo + i * step)), i)) AS INTEGER) AS letter FROM ticks, k GROUP BY 1, 2""")
 def sigma_letters(spark: SparkSession, folder: str) -> DataFrame:
     t = ticks(spark, folder)
     keys = E.sigma_keys(t, "price", 5.0)

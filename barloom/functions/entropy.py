@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.selection import quantile_list
+from barloom.ordering import Staged
 
 
 def shannon(message: str) -> float:
@@ -136,3 +137,15 @@ def histogram_entropy(values: Column, bins: int) -> Column:
         return s.map(one).astype("float64")
 
     return apply(values)
+
+
+def decile_entropy(rows: DataFrame, keys: Sequence[str], order: str, value: str, quantiles: DataFrame, window: int = 10, measure: str = "kontoyiannis") -> DataFrame:
+    """keys, order and ``entropy`` of the message of the last ``window`` values, each written as the digit of its bin between the series' ``quantiles`` (keys, i, value as
+    ``exact_quantiles`` gives them); null until the window has come. Nulls are left out."""
+    edges = quantiles.groupBy(*keys).agg(F.sort_array(F.collect_list("value")).alias("_edges"))
+    r, e = rows.where(F.col(value).isNotNull()).select(*keys, order, value).alias("r"), edges.alias("e")
+    both = r.join(e, [F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]).select("r.*", F.size(F.filter("e._edges", lambda x: x < F.col(value))).cast("string").alias("_digit"))
+    s = Staged.over(both, keys, order, halo=window)
+    frame = s.w.rowsBetween(1 - window, 0)
+    s.let(_m=F.when(F.count("_digit").over(frame) == window, F.array_join(F.collect_list("_digit").over(frame), "")))
+    return s.rows(*keys, order, entropy(F.col("_m"), measure).alias("entropy")).withColumn("entropy", F.when(~F.isnan("entropy"), F.col("entropy")))

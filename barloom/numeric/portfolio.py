@@ -403,11 +403,13 @@ def signed_weights(units: int, assets: int) -> np.ndarray:
     return np.array(sorted(out))
 
 
-def dynamic_optimum(mus: Sequence[np.ndarray], covs: Sequence[np.ndarray], costs: Sequence[np.ndarray], units: int) -> tuple[float, np.ndarray]:
-    """The path of signed weights over horizons of the highest Sharpe ratio after costs c sqrt(|change|), by enumeration."""
+def dynamic_optimum(mus: Sequence[np.ndarray], covs: Sequence[np.ndarray], costs: Sequence[np.ndarray], units: int, first: int | None = None) -> tuple[float, np.ndarray]:
+    """The path of signed weights over horizons of the highest Sharpe ratio after costs c sqrt(|change|), by enumeration; ``first``: only paths that begin with
+    these weights."""
     grid = signed_weights(units, len(mus[0]))
     best, at = -np.inf, None
-    for path in product(range(len(grid)), repeat=len(mus)):
+    starts = range(len(grid)) if first is None else [first]
+    for path in product(starts, *[range(len(grid))] * (len(mus) - 1)):
         ret = var = 0.0
         before = np.zeros(len(mus[0]))
         for k, mu, cov, c in zip(path, mus, covs, costs):
@@ -416,6 +418,6 @@ def dynamic_optimum(mus: Sequence[np.ndarray], covs: Sequence[np.ndarray], costs
             var += w @ cov @ w
             before = w
         sr = ret / math.sqrt(var) if var > 0 else -np.inf
-        if sr > best:
+        if sr > best or at is None:
             best, at = sr, path
     return float(best), grid[list(at)]

@@ -14,6 +14,7 @@ from barloom.functions.selection import quantile_list
 from barloom.functions.special import norm_cdf, phi, sign
 from barloom.joins import sweep
 from barloom.numeric.optimize import nelder_mead
+from barloom.operators.ml import isotonic_calibration
 from barloom.shared import materialize
 
 
@@ -217,8 +218,13 @@ def optimal_sigmoid(train: DataFrame, prob: str, ret: str) -> tuple[float, float
     return float(x[0]), float(x[1])
 
 
-def sizing_bakeoff(train: DataFrame, rows: DataFrame, prob: str = "prob", ret: str = "ret", periods: float = 252) -> DataFrame:
-    """``method``, ``mean``, ``stdev`` and ``sharpe`` of the next return under each way of sizing: fitted on train, applied to rows in one pass."""
+def sizing_bakeoff(train: DataFrame, rows: DataFrame, prob: str = "prob", ret: str = "ret", periods: float = 252, label: str | None = None) -> DataFrame:
+    """``method``, ``mean``, ``stdev`` and ``sharpe`` of the next return under each way of sizing: fitted on train, applied to rows in one pass. With a ``label`` (1 where
+    the bet was right) also under each with the probability calibrated by isotonic regression on train, as ``<method>_isotonic``."""
+    if label is not None:
+        both = [isotonic_calibration(train, d, prob, label).drop(prob).withColumnRenamed("calibrated", prob) for d in (train, rows)]
+        again = sizing_bakeoff(*both, prob, ret, periods)
+        return sizing_bakeoff(train, rows, prob, ret, periods).unionByName(again.withColumn("method", F.concat("method", F.lit("_isotonic"))))
     p, r = F.col(prob), F.col(ret)
     la, lb = optimal_linear(train, prob, ret)
     sa, sb = optimal_sigmoid(train, prob, ret)

@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.entropy import entropy, message, tick_letter
+from barloom.operators.bars import tick_signs
+
 
 def pairs(panel: DataFrame, date: str, asset: str, value: str) -> DataFrame:
     """date, ``a``, ``b``, ``x``, ``y`` for each date and pair of assets with values."""
@@ -57,6 +60,29 @@ def information(panel: DataFrame, date: str, asset: str, value: str, least: int
     return out.select("a", "b", "bins", "hx", "hy", "mi", F.try_divide("mi", F.col("hx") + F.col("hy")).alias("mi_share"), (F.col("hx") + F.col("hy") - 2 * F.col("mi")).alias("vi"), F.try_divide(F.col("hx") + F.col("hy") - 2 * F.col("mi"), F.col("hx") + F.col("hy") - F.col("mi")).alias("vi_share"))
 
 
+def joint_entropy(panel: DataFrame, date: str, asset: str, value: str, measure: str = "plug_in", least: int = 10) -> DataFrame:
+    """a, b and ``joint``: the entropies of both assets' messages of tick signs (one of ``entropy.MEASURES``) less the mutual information of their values. A message has a letter
+    a date, so an asset's message is as long as the calendar."""
+    signs = tick_signs(panel.select(F.col(asset).alias("_a"), F.col(date).alias("ts"), F.lit(0).alias("seq"), F.col(value).alias("price")), ["_a"])
+    one = signs.groupBy("_a").agg(message(["ts"], tick_letter(F.col("sign"))).alias("_m")).select("_a", entropy(F.col("_m"), measure).alias("_e"))
+    mi = information(panel, date, asset, value, least).select("a", "b", "mi")
+    left, right = one.select(F.col("_a").alias("a"), F.col("_e").alias("_ea")), one.select(F.col("_a").alias("b"), F.col("_e").alias("_eb"))
+    return mi.join(left, "a").join(right, "b").select("a", "b", (F.col("_ea") + F.col("_eb") - F.col("mi")).alias("joint"))
+
+
+def align_outer(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All keys of both tables with the columns of both, null where a table lacks the key. Null keys meet."""
+    l, r = left.alias("l"), right.alias("r")
+    joined = l.join(r, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], "full")
+    return joined.select(*[F.coalesce(f"l.{k}", f"r.{k}").alias(k) for k in keys], *[f"l.{c}" for c in left.columns if c not in keys], *[f"r.{c}" for c in right.columns if c not in keys])
+
+
+def label_slice(df: DataFrame, column: str, first=None, last=None) -> DataFrame:
+    """The rows from ``first`` to ``last``, both included and either open: a filter that reaches the scan."""
+    out = df if first is None else df.where(F.col(column) >= F.lit(first))
+    return out if last is None else out.where(F.col(column) <= F.lit(last))
+
+
 def gaussian_kde(points: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Density with a normal kernel and Scott's bandwidth."""
     n = len(points)

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,19 +63,57 @@ def _splits(rows: DataFrame) -> list[int]:
     return sorted(r[0] for r in rows.select("split").distinct().collect())
 
 
+def weighted(estimator: Estimator, weight: str | None) -> Estimator:
+    """The estimator with the sample weights of a column in its fit."""
+    if weight is None:
+        return estimator
+    if not estimator.hasParam("weightCol"):
+        raise ValueError(f"{type(estimator).__name__} takes no sample weights")
+    return estimator.copy({estimator.getParam("weightCol"): weight})
+
+
+class Bagged:
+    """``n`` copies of a classifier, each fitted on its own bootstrap of the rows, which vote with the mean of their probabilities."""
+
+    def __init__(self, estimator: Estimator, n: int, max_samples: float = 1.0, seed: int = 0) -> None:
+        self.estimator, self.n, self.max_samples, self.seed = estimator, n, max_samples, seed
+
+    def fit(self, rows: DataFrame) -> "BaggedModel":
+        """A row is drawn a Poisson number of times, by a hash of the row and so on every executor alike."""
+        return BaggedModel([self.estimator.fit(rows.sample(True, self.max_samples, self.seed + i)) for i in range(self.n)])
+
+
+class BaggedModel:
+    def __init__(self, models: Sequence[Model]) -> None:
+        self.models = list(models)
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        out, names = rows, []
+        for i, m in enumerate(self.models):
+            out = m.transform(out).withColumnRenamed("probability", f"_p{i}").drop("rawPrediction", "prediction")
+            names.append(f"_p{i}")
+        total = vector_to_array(names[0])
+        for n in names[1:]:
+            total = F.zip_with(total, vector_to_array(n), lambda a, b: a + b)
+        out = out.withColumn("probability", F.transform(total, lambda x: x / len(names))).drop(*names)
+        best = F.array_position("probability", F.array_max("probability")) - 1
+        return out.withColumn("prediction", best.cast("double")).withColumn("probability", array_to_vector("probability"))
+
+
 def cross_val_scores(estimator: Estimator, rows: DataFrame, features: Sequence[str], label: str, weight: str | None = None, score: Scorer = neg_log_loss) -> list[float]:
-    """One score per split of rows with ``split`` and ``role``. The estimator reads the features from ``FEATURES``."""
+    """One score per split of rows with ``split`` and ``role``. The estimator reads the features from ``FEATURES``; ``weight`` weighs the rows in the fit and in
+    the score."""
     data = assemble(rows, features)
     out = []
     for k in _splits(rows):
-        model = estimator.fit(data.where((F.col("split") == k) & (F.col("role") == "train")))
+        model = weighted(estimator, weight).fit(data.where((F.col("split") == k) & (F.col("role") == "train")))
         out.append(score(model.transform(data.where((F.col("split") == k) & (F.col("role") == "test"))), label, weight))
     return out
 
 
-def grid_search(estimator: Estimator, grid: dict[str, Sequence], rows: DataFrame, features: Sequence[str], label: str, weight: str | None = None, score: Scorer | None = None, tries: int | None = None, seed: int = 0) -> tuple[dict, float, Model]:
+def grid_search(estimator: Estimator, grid: dict[str, Sequence], rows: DataFrame, features: Sequence[str], label: str, weight: str | None = None, score: Scorer | None = None, tries: int | None = None, seed: int = 0, bagging: int = 0, max_samples: float = 1.0) -> tuple[dict, float, Model | BaggedModel]:
     """The parameters of the best mean score over purged folds (f1 for labels 0 and 1, else negative log loss), all combinations or ``tries`` random ones, and the model
-    fitted with them on all rows."""
+    fitted with them on all rows: with ``bagging`` so many of them on bootstraps of ``max_samples`` x the rows. ``weight`` weighs fits and scores."""
     if score is None:
         labels = {r[0] for r in rows.select(label).distinct().limit(3).collect()}
         score = f1 if labels <= {0, 1} else neg_log_loss
@@ -88,7 +126,8 @@ def grid_search(estimator: Estimator, grid: dict[str, Sequence], rows: DataFrame
         if s > best:
             best, at = s, c
     everything = assemble(rows.where(F.col("role") == "test"), features)  # each row is tested once
-    return at, best, estimator.copy({estimator.getParam(k): v for k, v in at.items()}).fit(everything)
+    chosen = weighted(estimator.copy({estimator.getParam(k): v for k, v in at.items()}), weight)
+    return at, best, (Bagged(chosen, bagging, max_samples, seed) if bagging else chosen).fit(everything)
 
 
 def log_uniform(low: float, high: float, n: int, seed: int = 0) -> list[float]:
@@ -111,7 +150,7 @@ def mean_decrease_accuracy(estimator: Estimator, rows: DataFrame, features: Sequ
     data = assemble(rows, features)
     base, lost = [], {f: [] for f in features}
     for k in _splits(rows):
-        model = estimator.fit(data.where((F.col("split") == k) & (F.col("role") == "train")))
+        model = weighted(estimator, weight).fit(data.where((F.col("split") == k) & (F.col("role") == "train")))
         test = rows.where((F.col("split") == k) & (F.col("role") == "test"))
         base.append(score(model.transform(assemble(test, features)), label, weight))
         for f in features:

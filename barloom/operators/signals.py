@@ -250,3 +250,62 @@ def kalman_lag_smoother(df: DataFrame, keys: Sequence[str], order: str, value: s
     rows = df.select(*keys, F.col(order).alias("_ts"), F.col(value).cast("double").alias("_x"))
     kind = rows.schema["_ts"].dataType.simpleString()
     return fold(rows, keys, ["_ts"], ["_ts", "_x"], lambda: LagSmoother(lag), f"_ts {kind}, smoothed double, slope double").withColumnRenamed("_ts", order)
+
+
+class _Forward:
+    """Kalman filter of a constant-velocity model: after each value the state, its covariance and their predictions. A NaN only moves time on."""
+
+    def __init__(self, noise: float, q: float, start: Sequence[float], variance: float) -> None:
+        self.noise, self.x, self.p = noise, np.array(start, dtype=float), np.eye(2) * variance
+        self.f, self.q = kalman_matrices(q)
+
+    def feed(self, columns):
+        out = []
+        for z in columns["_x"].astype(float):
+            xp, pp = self.f @ self.x, self.f @ self.p @ self.f.T + self.q
+            self.x, self.p = xp, pp
+            if z == z:
+                gain = pp[:, 0] / (pp[0, 0] + self.noise)
+                self.x, self.p = xp + gain * (z - xp[0]), pp - np.outer(gain, pp[0])
+            out.append((*self.x, self.p[0, 0], self.p[0, 1], self.p[1, 1], *xp, pp[0, 0], pp[0, 1], pp[1, 1]))
+        return {"_ts": columns["_ts"]} | {n: np.array(c) for n, c in zip(_KALMAN, zip(*out))}
+
+    def finish(self):
+        return {}
+
+
+class _Backward:
+    """Rauch-Tung-Striebel smoother over the filter's rows, latest first."""
+
+    def __init__(self, q: float) -> None:
+        self.f, self.s, self.next = kalman_matrices(q)[0], None, None
+
+    def feed(self, columns):
+        c, out = {n: columns[n] for n in _KALMAN}, []
+        for i in range(len(columns["_ts"])):
+            x = np.array([c["level"][i], c["slope"][i]])
+            if self.s is not None:
+                p = np.array([[c["p00"][i], c["p01"][i]], [c["p01"][i], c["p11"][i]]])
+                xp, pp = self.next
+                x = x + p @ self.f.T @ np.linalg.inv(pp) @ (self.s - xp)
+            self.s = x
+            self.next = np.array([c["xp0"][i], c["xp1"][i]]), np.array([[c["pp00"][i], c["pp01"][i]], [c["pp01"][i], c["pp11"][i]]])
+            out.append((c["level"][i], c["slope"][i], *x))
+        return {"_ts": -columns["_ts"]} | {n: np.array(v) for n, v in zip(("level", "slope", "smooth_level", "smooth_slope"), zip(*out))}
+
+    def finish(self):
+        return {}
+
+
+_KALMAN = ("level", "slope", "p00", "p01", "p11", "xp0", "xp1", "pp00", "pp01", "pp11")
+
+
+def kalman_states(df: DataFrame, keys: Sequence[str], order: str, value: str, noise: float = 1.0, q: float = 0.001, start: Sequence[float] = (0.0, 1.0), variance: float = 10.0) -> DataFrame:
+    """keys, order (a whole number, unique in a series), the filtered ``level`` and ``slope`` and the smoothed ``smooth_level`` and ``smooth_slope`` of a
+    constant-velocity model. Two folds in constant memory: the filter runs forward, the smoother backward over the filter's rows.
+    A null value has no observation; an empty table gives no rows."""
+    rows = df.select(*keys, F.col(order).cast("bigint").alias("_ts"), F.col(value).cast("double").alias("_x"))
+    forward = fold(rows, keys, ["_ts"], ["_ts", "_x"], lambda: _Forward(noise, q, start, variance), "_ts bigint, " + ", ".join(f"{n} double" for n in _KALMAN))
+    back = forward.withColumn("_ts", -F.col("_ts"))
+    out = fold(back, keys, ["_ts"], ["_ts", *_KALMAN], lambda: _Backward(q), "_ts bigint, level double, slope double, smooth_level double, smooth_slope double")
+    return out.withColumnRenamed("_ts", order)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.joins import interval_sums, sweep
+from barloom.joins import interval_sums, range_join, sweep, range_join
 from barloom.ordering import running
 
 
@@ -57,6 +57,23 @@ def weights_by_time_decay(uniqueness: DataFrame, keys: Sequence[str], decay: flo
     return rows.join(total, list(keys)).select(*keys, "t0", F.greatest(w, F.lit(0.0)).alias("weight"))
 
 
+def indicator_rows(points: DataFrame, labels: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
+    """The indicator matrix of bars by labels, as the rows (keys, ts, t0, t1) of its ones: bars are the times of ``points`` and of the labels' ends within the span
+    of the labels. The matrix is sparse, but has a row for each bar of each label."""
+    spans = labels.groupBy(*keys).agg(F.min("t0").alias("_a"), F.max("t1").alias("_z"))
+    ends = labels.select(*keys, F.explode(F.array("t0", "t1")).alias(ts))
+    bars = points.select(*keys, ts).unionByName(ends).distinct().join(spans, list(keys)).where(F.col(ts).between(F.col("_a"), F.col("_z"))).select(*keys, ts)
+    return range_join(bars, labels.select(*keys, "t0", "t1"), keys, ts, "t0", "t1").select(*keys, ts, "t0", "t1")
+
+
+def label_uniqueness(indicator: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
+    """keys, t0, t1 and ``uniqueness``: the mean over a label's bars of 1 / labels at the bar, from ``indicator_rows``; equal labels are one row with ``n_labels``."""
+    counts = indicator.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_n"))
+    l, r = indicator.alias("l"), counts.alias("r")
+    both = l.join(r, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, ts]]).select("l.*", "r._n")
+    return both.groupBy(*keys, "t0", "t1").agg(F.avg(F.lit(1.0) / F.col("_n")).alias("uniqueness"), (F.count(F.lit(1)) / F.countDistinct(ts)).cast("bigint").alias("n_labels"))
+
+
 class Bootstrap:
     """Sequential bootstrap over label intervals: each draw is made in proportion to the average uniqueness that a label would have among
     those drawn. Labels are ranges of places on the common time axis, so state is one count per place and prefix sums."""

@@ -236,7 +236,9 @@ FEATURES = ["prob", "rets", "pmodel", "regime"]
 def _samples(spark: SparkSession, folder: str, keep: Sequence[str] = ()) -> DataFrame:
     t = table(spark, folder, "train").where("prob between 0 and 1 and target is not null and rets between -1 and 1 and ts is not null")
     t0 = F.unix_micros("ts")
-    return t.select(*keep, F.lit(0).alias("series"), t0.alias("t0"), (t0 + 4 * HOUR_US).alias("t1"), F.col("seq"), F.col("target").cast("double").alias("label"), "prob", "rets", F.col("pmodel").cast("double").alias("pmodel"), F.col("regime").cast("double").alias("regime")).na.fill(0.0, ["pmodel", "regime"])
+    # A label weighs as much as its return is large.
+    weight = F.greatest(F.least(F.coalesce(F.abs(F.nanvl("target_rets", F.lit(0.0))), F.lit(0.0)), F.lit(1.0)), F.lit(1e-3)).alias("weight")
+    return t.select(*keep, F.lit(0).alias("series"), t0.alias("t0"), (t0 + 4 * HOUR_US).alias("t1"), F.col("seq"), weight, F.col("target").cast("double").alias("label"), "prob", "rets", F.col("pmodel").cast("double").alias("pmodel"), F.col("regime").cast("double").alias("regime")).na.fill(0.0, ["pmodel", "regime"])
 
 
 def _folded(spark: SparkSession, folder: str) -> DataFrame:
@@ -258,13 +260,13 @@ def _logit() -> LogisticRegression:
 
 @query("cross_val_scores")
 def cross_val_scores(spark: SparkSession, folder: str) -> DataFrame:
-    s = L.cross_val_scores(_logit(), _folded(spark, folder), FEATURES, "label")
+    s = L.cross_val_scores(_logit(), _folded(spark, folder), FEATURES, "label", "weight")
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(s)], "split int, score double")
 
 
 @query("grid_search")
 def grid_search(spark: SparkSession, folder: str) -> DataFrame:
-    best, score, _ = L.grid_search(_logit(), {"regParam": [0.0, 0.1]}, _folded(spark, folder), FEATURES, "label")
+    best, score, _ = L.grid_search(_logit(), {"regParam": [0.0, 0.1]}, _folded(spark, folder), FEATURES, "label", "weight", bagging=3)
     return spark.createDataFrame([(float(best["regParam"]), float(score))], "regParam double, score double")
 
 
@@ -293,7 +295,7 @@ def orthogonal_features(spark: SparkSession, folder: str) -> DataFrame:
 def model_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     rows = _samples(spark, folder)
     model = _logit().fit(L.assemble(rows, FEATURES))
-    effects = L.fingerprint(model, rows, FEATURES, values=8)
+    effects = L.fingerprint(model, rows, FEATURES, values=20, pairs=[("prob", "rets")])
     return spark.createDataFrame([(k, f, float(v)) for k, d in effects.items() for f, v in d.items()], "effect string, feature string, value double")
 
 

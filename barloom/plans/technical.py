@@ -178,5 +178,5 @@ def rolling_informed_trading(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("sizing_bakeoff")
 def sizing_bakeoff(spark: SparkSession, folder: str) -> DataFrame:
-    t = table(spark, folder, "train").where("prob between 0 and 1 and target_rets between -1 and 1").select("prob", F.col("target_rets").alias("ret"))
-    return Z.sizing_bakeoff(t, t)
+    t = table(spark, folder, "train").where("prob between 0 and 1 and target_rets between -1 and 1 and target is not null").select("prob", F.col("target_rets").alias("ret"), F.col("target").cast("double").alias("label"))
+    return Z.sizing_bakeoff(t, t, label="label")

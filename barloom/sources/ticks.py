@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,13 @@ def read_tick_csv(spark: SparkSession, paths: Sequence[str], header: bool = True
     full = T.StructType([*schema.fields, T.StructField(wrong, T.StringType())])
     rows = spark.read.schema(full).option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", wrong).csv(list(paths))
     name = F.col("_metadata.file_path")
+    # The whole path, as the file system writes it; a folder stands for its files.
+    plain = F.regexp_replace(F.url_decode(F.regexp_replace(name, r"\+", "%2B")), "^[a-z0-9]+:/*", "/")
     number = F.lit(None).cast("int")
     for i, p in reversed(list(enumerate(paths))):
-        number = F.when(name.endswith(p.rsplit("/", 1)[-1]), F.lit(i)).otherwise(number)
+        full = "/" + re.sub("^[a-z0-9]+:/*", "", p).strip("/") if re.match("^([a-z0-9]+:)?/", p) else None
+        here = (plain == full) | plain.startswith(full + "/") if full else plain.endswith("/" + p.removeprefix("./").strip("/"))
+        number = F.when(here, F.lit(i)).otherwise(number)
     return rows.select(*schema.names, wrong, F.struct(F.coalesce(number, F.lit(len(paths))).alias("file"), name.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("seq"))
 
 
@@ -42,9 +47,9 @@ def check_ticks(df: DataFrame, required: Sequence[tuple[str, str]] = (("ts", "ti
     return df
 
 
-def write_bars(bars: DataFrame, path: str, kind: str = "parquet", by: Sequence[str] = ()) -> None:
-    """Write a bar table as parquet or CSV (one header per file), partitioned by ``by``."""
-    writer = bars.write.mode("overwrite")
+def write_bars(bars: DataFrame, path: str, kind: str = "parquet", by: Sequence[str] = (), append: bool = False) -> None:
+    """Write a bar table as parquet or CSV (one header per file), partitioned by ``by``; ``append`` adds it to what is there."""
+    writer = bars.write.mode("append" if append else "overwrite")
     if by:
         writer = writer.partitionBy(*by)
     writer.option("header", True).format(kind).save(path)
@@ -55,6 +60,16 @@ def csv_to_parquet(spark: SparkSession, pattern: str, out: str, schema: T.Struct
     spark.read.schema(schema).option("header", True).csv(pattern).write.mode("overwrite").parquet(out)
 
 
+def read_panels(spark: SparkSession, paths: dict[str, str], ts: str = "ts") -> DataFrame:
+    """Wide CSV frames (a row per date, a column per security), one per quantity, as long rows: ts, security and a column for each quantity; only rows that all frames
+    have."""
+    panels = {}
+    for name, path in paths.items():
+        wide = spark.read.option("header", True).csv(path)
+        panels[name] = wide.unpivot([ts], [c for c in wide.columns if c != ts], "security", "value").withColumn("value", F.col("value").cast("double"))
+    return join_panels(panels, ts)
+
+
 def join_panels(panels: dict[str, DataFrame], ts: str = "ts", security: str = "security") -> DataFrame:
     """Long tables (ts, security, <value>) of several quantities side by side, as the ETF trick reads them; only rows that all have."""
     out = None

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.joins import asof_join, range_join
-from barloom.ordering import DAY_US, Staged
+from barloom.ordering import DAY_US, HOUR_US, Staged
+from barloom.shared import materialize
 
 
 def vertical_barriers(events: DataFrame, prices: DataFrame, keys: Sequence[str], horizon_us: int, t0: str = "t0", ts: str = "ts") -> DataFrame:
@@ -24,27 +25,75 @@ def price_at(events: DataFrame, prices: DataFrame, keys: Sequence[str], at: str,
     return asof_join(events, p, keys, at, "_p", [out], forward=True)
 
 
-def first_touches(prices: DataFrame, events: DataFrame, keys: Sequence[str], ts: str = "ts", close: str = "close", cell_us: int = DAY_US) -> DataFrame:
-    """events with ``pt_time`` and ``sl_time``: the first price times in [t0, t1] whose signed return passes +pt x trgt or -sl x trgt. events
-    have t0, t1 (null: to the series' end), trgt, side, pt and sl (a multiple of 0 or less sets no barrier); t0 is unique in a series."""
-    last = prices.groupBy(*keys).agg(F.max(ts).alias("_last"))
-    e = price_at(events, prices, keys, "t0", "_p0", ts, close)
-    e = e.join(last, list(keys), "left").withColumn("_end", F.coalesce("t1", "_last"))
-    pairs = range_join(prices.select(*keys, F.col(ts).alias("_ts"), F.col(close).alias("_close")), e.select(*keys, "t0", "_end", "trgt", "side", "pt", "sl", "_p0"), keys, "_ts", "t0", "_end", cell_us)
-    r = (F.try_divide("_close", "_p0") - 1) * F.col("side")
-    up = F.when((F.col("pt") > 0) & (r > F.col("pt") * F.col("trgt")), F.col("_ts"))
-    down = F.when((F.col("sl") > 0) & (r < -F.col("sl") * F.col("trgt")), F.col("_ts"))
-    hits = pairs.groupBy(*keys, "t0").agg(F.min(up).alias("pt_time"), F.min(down).alias("sl_time"))
-    return events.join(hits, [*keys, "t0"], "left")
-
-
-def triple_barrier(prices: DataFrame, events: DataFrame, keys: Sequence[str], min_return: float = 0.0, symmetric: bool = False, cell_us: int = DAY_US) -> DataFrame:
+def _narrowed(spans: DataFrame, prices: DataFrame, keys: Sequence[str], cell_us: int) -> DataFrame:
+    """Of the time spans [_a, _b] of events the parts, each within a calendar cell, that can hold a first touch: from the cells' least and greatest price, the first cell
+    inside the span that passes each barrier (its extreme price does, so it holds a touch), and the span's two edge cells where they may. No event meets
+    a price, and at most four parts of a span are left."""
+    cells = prices.groupBy(*keys, F.floor(F.col("_ts") / cell_us).alias("_cell")).agg(F.min("_close").alias("_low"), F.max("_close").alias("_high"))
+    each = spans.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_a") / cell_us), F.floor(F.col("_b") / cell_us))))
+    l, r = each.alias("l"), cells.alias("r")
+    both = l.join(r, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_cell"]]).select("l.*", "r._low", "r._high")
+    lo, hi = _signed(F.col("_low")), _signed(F.col("_high"))
+    up, down = _passes_up(F.greatest(lo, hi)), _passes_down(F.least(lo, hi))
+    inside = (F.col("_cell") * cell_us >= F.col("_a")) & ((F.col("_cell") + 1) * cell_us - 1 <= F.col("_b"))
+    edge = F.when(~inside & (up | down), F.col("_cell"))
+    columns = [c for c in spans.columns if c not in ("_a", "_b")]
+    some = both.groupBy(*columns, "_a", "_b").agg(F.array_compact(F.array_distinct(F.array(F.min(edge), F.max(edge), F.min(F.when(inside & up, F.col("_cell"))), F.min(F.when(inside & down, F.col("_cell")))))).alias("_cells"))
+    open_ = some.withColumn("_cell", F.explode("_cells"))
+    return open_.select(*columns, F.greatest(F.col("_a"), F.col("_cell") * cell_us).alias("_a"), F.least(F.col("_b"), (F.col("_cell") + 1) * cell_us - 1).alias("_b"))
+
+
+def _signed(close: Column) -> Column:
+    """The signed return since the start; it rises or falls with the price throughout, so extreme prices have the extreme returns."""
+    return (F.try_divide(close, F.col("_p0")) - 1) * F.col("side")
+
+
+def _passes_up(r: Column) -> Column:
+    return F.coalesce((F.col("pt") > 0) & (r > F.col("pt") * F.col("trgt")), F.lit(False))
+
+
+def _passes_down(r: Column) -> Column:
+    return F.coalesce((F.col("sl") > 0) & (r < -F.col("sl") * F.col("trgt")), F.lit(False))
+
+
+def first_touches(prices: DataFrame, events: DataFrame, keys: Sequence[str], ts: str = "ts", close: str = "close", cells_us: Sequence[int] = (DAY_US, HOUR_US)) -> DataFrame:
+    """events with ``entry`` and ``vertical_price`` (the first prices at or after t0 and t1), ``pt_time`` and ``sl_time``: the first price times in [t0, t1] whose signed return
+    passes +pt x trgt or -sl x trgt, and ``pt_price`` and ``sl_price``, the prices there. events have t0, t1 (null: to the series' end), trgt, side, pt and sl (a multiple of 0 or less sets no barrier); t0 is unique in a series.
+
+    Spans are narrowed by calendar cells, coarse to fine, before any price is looked at: an event meets the prices of a few of the finest cells."""
+    p = prices.select(*keys, F.col(ts).alias("_ts"), F.col(close).alias("_close"))
+    last = p.groupBy(*keys).agg(F.max("_ts").alias("_last"))
+    # Both ends are looked up in one pass.
+    ends = events.withColumn("_at", F.explode(F.array_distinct(F.array_compact(F.array("t0", "t1")))))
+    found = price_at(ends, prices, keys, "_at", "_x", ts, close).groupBy(*keys, "t0").agg(F.first(F.struct(*events.columns)).alias("_e"), F.max(F.when(F.col("_at") == F.col("t0"), F.col("_x"))).alias("entry"), F.max(F.when(F.col("_at") == F.col("t1"), F.col("_x"))).alias("vertical_price"))
+    e = found.select(*[F.col(f"_e.{c}").alias(c) for c in events.columns], "entry", "vertical_price")
+    l, r = e.alias("l"), last.alias("r")
+    e = l.join(r, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], "left").select("l.*", F.coalesce("l.t1", "r._last").alias("_b"))
+    # Used by every narrowing and once more: written once.
+    e = materialize(e, "events")
+    spans = e.where(F.col("_b") >= F.col("t0")).select(*keys, "t0", "trgt", "side", "pt", "sl", F.col("entry").alias("_p0"), F.col("t0").alias("_a"), "_b")
+    for cell in cells_us:
+        spans = _narrowed(spans, p, keys, cell)
+    pairs = range_join(p, spans, keys, "_ts", "_a", "_b", cells_us[-1])
+    r = _signed(F.col("_close"))
+    at = F.struct(F.col("_ts").alias("time"), F.col("_close").alias("price"))
+    hits = pairs.groupBy(*keys, "t0").agg(F.min(F.when(_passes_up(r), at)).alias("_pt"), F.min(F.when(_passes_down(r), at)).alias("_sl"))
+    l, h = e.drop("_b").alias("l"), hits.alias("h")
+    return l.join(h, [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in [*keys, "t0"]], "left").select("l.*", *[F.col(f"h._{k}.{c}").alias(f"{k}_{c}") for k in ("pt", "sl") for c in ("time", "price")])
+
+
+def triple_barrier(prices: DataFrame, events: DataFrame, keys: Sequence[str], min_return: float = 0.0, symmetric: bool = False, cells_us: Sequence[int] = (DAY_US, HOUR_US)) -> DataFrame:
     """events whose target exceeds ``min_return``, with ``touch``: the first of the vertical barrier t1, profit taking and stop loss, null where
-    there is none. ``symmetric`` (no side given) takes side 1 and pt for both barriers; reported pt and sl stay as given."""
+    there is none, ``entry``, the price at t0, and ``exit``, that at the touch. ``symmetric`` (no side given) takes side 1 and pt for both barriers; reported pt and sl stay as given."""
     e = events.where(F.col("trgt") > min_return)
-    use = e.withColumns({"side": F.lit(1.0), "sl": F.col("pt")}) if symmetric else e
-    hits = first_touches(prices, use, keys, cell_us=cell_us).select(*keys, "t0", F.least("t1", "pt_time", "sl_time").alias("touch"))
-    return e.join(hits, [*keys, "t0"], "left")
+    given = {f"_given_{c}": F.col(c) for c in ("side", "sl")}
+    use = e.withColumns(given).withColumns({"side": F.lit(1.0), "sl": F.col("pt")}) if symmetric else e
+    hits = first_touches(prices, use, keys, cells_us=cells_us)
+    if symmetric:
+        hits = hits.withColumns({c: F.col(f"_given_{c}") for c in ("side", "sl")})
+    touch = F.least("t1", "pt_time", "sl_time")
+    exit_price = F.when(F.col("pt_time") == touch, F.col("pt_price")).when(F.col("sl_time") == touch, F.col("sl_price")).when(F.col("t1") == touch, F.col("vertical_price"))
+    return hits.select(*e.columns, "entry", touch.alias("touch"), exit_price.alias("exit"))
 
 
 def barrier_outcome(ret: Column, trgt: Column, pt: Column, sl: Column) -> Column:
@@ -56,8 +105,10 @@ def meta_labels(prices: DataFrame, barriers: DataFrame, keys: Sequence[str], wit
     """keys, t0, ``ret``, trgt, ``bin`` and side of the events that touched a barrier and have prices. With a side, bin is 0 where the signed return isn't
     positive."""
     e = barriers.where(F.col("touch").isNotNull())
-    e = price_at(price_at(e, prices, keys, "t0", "_a"), prices, keys, "touch", "_b").where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
-    log = F.ln(F.try_divide("_b", "_a")) * (F.col("side") if with_side else F.lit(1.0))
+    for name, at in (("entry", "t0"), ("exit", "touch")):  # barriers that are not from triple_barrier may lack them
+        e = e if name in e.columns else price_at(e, prices, keys, at, name)
+    e = e.where(F.col("entry").isNotNull() & F.col("exit").isNotNull())
+    log = F.ln(F.try_divide("exit", "entry")) * (F.col("side") if with_side else F.lit(1.0))
     out = barrier_outcome(F.col("_log"), F.col("trgt"), F.col("pt"), F.col("sl"))
     out = F.when(F.col("_log") <= 0, 0).otherwise(out) if with_side else out
     return e.withColumn("_log", log).select(*keys, "t0", (F.exp("_log") - 1).alias("ret"), "trgt", out.alias("bin"), *(["side"] if with_side else []))

@@ -7,6 +7,7 @@ cell; ``in_blocks`` then cuts it into blocks of rows with copies of the neighbou
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,22 +19,42 @@ DAY_US = 24 * HOUR_US
 BLOCK_ROWS = 50_000
 
 
+def _in_cell(df: DataFrame, keys: Sequence[str], ts: str, cell_us: int) -> tuple[dict[str, Column], list[str]]:
+    """Columns that name the series and calendar cell of a row without a null: windows, counts and joins by them share one shuffle and one sort, where a null-safe join
+    by the keys would shuffle the rows again."""
+    at = F.unix_micros(ts) if dict(df.dtypes)[ts].startswith("timestamp") else F.col(ts)
+    columns = {"_in_cell": F.floor(at / F.lit(cell_us))}
+    for i, (k, kind) in enumerate(df.select(*keys).dtypes):
+        simple = kind in ("tinyint", "smallint", "int", "bigint", "string", "boolean", "date")
+        if simple:
+            zero = F.lit({"string": "", "boolean": False, "date": datetime.date(1970, 1, 1)}.get(kind, 0)).cast(kind)
+            columns |= {f"_in_key{i}": F.coalesce(F.col(k), zero), f"_in_null{i}": F.isnull(k)}
+        else:  # a struct equals another where its fields do, nulls included
+            columns |= {f"_in_key{i}": F.struct(F.col(k).alias("k"))}
+    return columns, list(columns)
+
+
+def _earlier(by: Sequence[str]):
+    """The cells of a series before this one."""
+    return Window.partitionBy(*by[1:]).orderBy(by[0]).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _with_cells(rows: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    return rows.alias("l").join(cells.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in by], "inner")
+
+
 def with_position(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = (), cell_us: int = HOUR_US * 6, out: str = "_pos") -> DataFrame:
     """Adds ``out``: the row's 0-based rank in its series by (ts, tie). ``ts`` holds no nulls.
 
     Rows are ranked inside (keys, calendar cell); the cells' counts, one row per cell and so bounded by the calendar, give
     the cells' offsets.
     """
-    cell = F.floor(F.unix_micros(ts) / F.lit(cell_us)) if dict(df.dtypes)[ts].startswith("timestamp") else F.floor(F.col(ts) / F.lit(cell_us))
-    rows = df.withColumn("_cell", cell)
-    by_cell = [*keys, "_cell"]
-    counts = rows.groupBy(*by_cell).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by_cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by_cell).orderBy(ts, *tie)))
-    left, right = ranked.alias("l"), offsets.alias("r")
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by_cell]
-    joined = left.join(right, same, "inner")
+    columns, by = _in_cell(df, keys, ts, cell_us)
+    rows = df.withColumns(columns)
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(*by, F.coalesce(F.sum("_n").over(_earlier(by)), F.lit(0)).alias("_offset"))
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(ts, *tie)))
+    joined = _with_cells(ranked, offsets, by)
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("r._offset") + F.col("l._rank") - 1).alias(out))
 
 
@@ -54,11 +75,10 @@ def running(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], spe
     non-null value. They run inside (keys, calendar cell) and are carried over cells by the cells' own aggregates.
     ``inclusive=False`` ends before the row itself, so ('last', x) is the previous non-null x."""
     whole = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count, "last": lambda c: F.last(c, ignorenulls=True)}
-    cell = F.floor(F.unix_micros(ts) / F.lit(cell_us)) if dict(df.dtypes)[ts].startswith("timestamp") else F.floor(F.col(ts) / F.lit(cell_us))
     inputs = {f"_in_{o}": (F.col(c) if isinstance(c, str) else c) for o, (_, c) in specs.items()}
-    rows = df.withColumn("_cell", cell).withColumns(inputs)
-    by_cell = [*keys, "_cell"]
-    here = Window.partitionBy(*by_cell).orderBy(ts, *tie)
+    columns, by = _in_cell(df, keys, ts, cell_us)
+    rows = df.withColumns(columns | inputs)
+    here = Window.partitionBy(*by).orderBy(ts, *tie)
     frame = here.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     rows = rows.withColumns({f"_run_{o}": whole[f](f"_in_{o}").over(frame) for o, (f, _) in specs.items()})
     order = F.struct(ts, *tie)
@@ -66,12 +86,10 @@ def running(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], spe
     def total(o: str, f: str) -> Column:
         return F.max(F.when(F.col(f"_in_{o}").isNotNull(), F.struct(order.alias("o"), F.col(f"_in_{o}").alias("v"))))["v"] if f == "last" else whole[f](f"_in_{o}")
 
-    cells = rows.groupBy(*by_cell).agg(*[total(o, f).alias(f"_cell_{o}") for o, (f, _) in specs.items()])
-    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(*by).agg(*[total(o, f).alias(f"_cell_{o}") for o, (f, _) in specs.items()])
     carry = {"count": F.sum}
-    cells = cells.select(*by_cell, *[carry.get(f, whole[f])(f"_cell_{o}").over(before).alias(f"_carry_{o}") for o, (f, _) in specs.items()])
-    l, r = rows.alias("l"), cells.alias("r")
-    joined = l.join(r, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by_cell], "inner")
+    cells = cells.select(*by, *[carry.get(f, whole[f])(f"_cell_{o}").over(_earlier(by)).alias(f"_carry_{o}") for o, (f, _) in specs.items()])
+    joined = _with_cells(rows, cells, by)
 
     def merged(o: str, f: str) -> Column:
         a, b = F.col(f"l._run_{o}"), F.col(f"r._carry_{o}")

@@ -13,6 +13,7 @@ from barloom.operators import weights as W
 from barloom.plans.features import _days, lag_sql
 from barloom.plans.inputs import DAILY_SQL, LABELS_SQL, PRICES_SQL, daily, labels, prices
 from barloom.plans.registry import query, table
+from barloom.shared import materialize
 
 KEYS = ["instrument"]
 HOUR = 3_600_000_000
@@ -32,9 +33,14 @@ hits AS (SELECT instrument, t0, min(CASE WHEN pt > 0 AND r > pt * trgt THEN ts E
 barriers AS (SELECT l.*, nullif(least(coalesce(l.t1, 9e18::BIGINT), coalesce(h.pt_time, 9e18::BIGINT), coalesce(h.sl_time, 9e18::BIGINT)), 9e18::BIGINT) AS touch FROM labels l LEFT JOIN hits h ON h.instrument = l.instrument AND h.t0 = l.t0 WHERE l.trgt > 0)"""
 
 
+def _prices(spark: SparkSession, folder: str) -> DataFrame:
+    """The prices, written once: several joins of a query start from them."""
+    return materialize(prices(spark, folder), "prices")
+
+
 @query("triple_barrier", f"{_PL}, {_TOUCH} SELECT instrument, t0, touch, trgt, side FROM barriers")
 def triple_barrier(spark: SparkSession, folder: str) -> DataFrame:
-    return L.triple_barrier(prices(spark, folder), labels(spark, folder), KEYS).select("instrument", "t0", "touch", "trgt", "side")
+    return L.triple_barrier(_prices(spark, folder), labels(spark, folder), KEYS).select("instrument", "t0", "touch", "trgt", "side")
 
 
 @query("meta_labels", f"""{_PL}, {_TOUCH},
@@ -42,7 +48,7 @@ e AS (SELECT b.*, (SELECT arg_min(close, ts) FROM prices p WHERE p.instrument =
 r AS (SELECT *, ln(z / a) * side AS lr FROM e)
 SELECT instrument, t0, round(exp(lr) - 1, 6) AS ret, trgt, CASE WHEN lr > 0 AND lr > trgt * pt THEN 1 ELSE 0 END AS bin, side FROM r WHERE a IS NOT NULL AND z IS NOT NULL""")
 def meta_labels(spark: SparkSession, folder: str) -> DataFrame:
-    p = prices(spark, folder)
+    p = _prices(spark, folder)
     out = L.meta_labels(p, L.triple_barrier(p, labels(spark, folder), KEYS), KEYS)
     return out.withColumn("ret", F.round("ret", 6))
 
@@ -53,7 +59,7 @@ m AS (SELECT instrument, t0, z / a - 1 AS ret, trgt, CASE WHEN z > a AND ln(z /
 c AS (SELECT bin, count(*) AS n, row_number() OVER (ORDER BY count(*), CAST(bin AS VARCHAR)) AS k, count(*) OVER () AS kinds, sum(count(*)) OVER () AS total FROM m GROUP BY 1)
 SELECT instrument, t0, round(ret, 6) AS ret, trgt, bin FROM m WHERE bin NOT IN (SELECT bin FROM c WHERE k = 1 AND kinds >= 3 AND n / total <= 0.05)""")
 def drop_rare_labels(spark: SparkSession, folder: str) -> DataFrame:
-    p = prices(spark, folder)
+    p = _prices(spark, folder)
     out = L.drop_rare_labels(L.meta_labels(p, L.triple_barrier(p, labels(spark, folder), KEYS), KEYS, with_side=False))
     return out.withColumn("ret", F.round("ret", 6))
 
@@ -92,7 +98,7 @@ _CONC = "conc AS (SELECT p.instrument, p.ts, p.close, count(c.t0) AS n FROM pric
 
 
 def _closed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    p = prices(spark, folder)
+    p = _prices(spark, folder)
     return p, W.closed_labels(labels(spark, folder), p, KEYS).where("t1 is not null and t1 >= t0")
 
 

@@ -137,6 +137,30 @@ def test_triple_barrier_and_weights(spark):
     assert abs(sum(r.weight for r in w) - 2) < 1e-9
 
 
+@pytest.mark.parametrize("cells", [(24 * HOUR, HOUR), (HOUR,), (40 * HOUR, 5 * HOUR, HOUR // 2)])
+def test_first_touches_match_brute_force(spark, cells):
+    rng = np.random.default_rng(4)
+    path = 100 * np.exp(np.cumsum(rng.standard_normal(300) * 0.01))
+    ts = np.sort(rng.choice(300 * HOUR, 300, replace=False))
+    prices = spark.createDataFrame([(k, int(t), float(p)) for k in (1, None) for t, p in zip(ts, path)], "k long, ts long, close double")
+    ev = []
+    for i in range(60):
+        t0 = int(rng.integers(0, 310 * HOUR))
+        t1 = None if i % 4 == 0 else t0 + int(rng.integers(0, 90 * HOUR))
+        ev.append((1 if i % 2 else None, t0, t1, float(rng.uniform(0.001, 0.05)), float(rng.choice([1.0, -1.0])), float(rng.choice([0.0, 1.0, 2.0])), float(rng.choice([0.0, 1.0, 2.0]))))
+    ev.append((2, 0, None, 0.01, 1.0, 1.0, 1.0))
+    out = labeling.triple_barrier(prices, spark.createDataFrame(ev, "k long, t0 long, t1 long, trgt double, side double, pt double, sl double"), ["k"], cells_us=cells).collect()
+    got = {(r.k, r.t0): r.touch for r in out}
+    assert len(out) == len(ev)
+    for k, t0, t1, trgt, side, pt, sl in ev:
+        times = [t1] if t1 is not None else []
+        inside = [] if k == 2 else [(t, p) for t, p in zip(ts, path) if t0 <= t <= (t1 if t1 is not None else ts[-1])]
+        if inside:
+            r = [(t, (p / inside[0][1] - 1) * side) for t, p in inside]
+            times += [int(t) for t, x in r if (pt > 0 and x > pt * trgt) or (sl > 0 and x < -sl * trgt)][:1]
+        assert got[k, t0] == (min(times) if times else None)
+
+
 def test_sequential_bootstrap_prefers_unique_labels():
     b = weights.Bootstrap(np.array([0, 2, 4]), np.array([2, 3, 5]), np.arange(6))
     m = b.matrix()

@@ -8,13 +8,13 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from barloom.functions.selection import quantile_list
 from barloom.functions.special import norm_cdf, phi, sign
-from barloom.joins import sweep
+from barloom.joins import asof_join, sweep
 from barloom.numeric.optimize import nelder_mead
 from barloom.operators.ml import isotonic_calibration
+from barloom.ordering import running
 from barloom.shared import materialize
 
 
@@ -151,14 +151,17 @@ def linear_scaling(x: Column, low: Column, high: Column) -> Column:
     return F.try_divide(x - low, high - low)
 
 
-def ecdf_size(train: DataFrame, rows: DataFrame, value: str, bins: int = 1000) -> DataFrame:
-    """rows with ``bet_size``: the share of training values at or below the value, from counts of ``bins`` equal bins of [0, 1] (a bounded table)."""
-    b = lambda c: F.floor(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0)) * bins)
-    counts = train.where(F.col(value).between(0, 1)).groupBy(b(value).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    grid = train.sparkSession.range(bins + 1).select(F.col("id").alias("_b")).join(counts, "_b", "left")
-    w = Window.orderBy("_b")
-    share = F.try_divide(F.sum(F.coalesce("_n", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double"), F.sum(F.coalesce("_n", F.lit(0))).over(Window.partitionBy(F.lit(1))).cast("double"))
-    return rows.withColumn("_b", b(value)).join(F.broadcast(grid.select("_b", share.alias("bet_size"))), "_b", "left").drop("_b")
+def ecdf_size(train: DataFrame, rows: DataFrame, value: str) -> DataFrame:
+    """rows with ``bet_size``: the share of the training values at or below the value; 0 below all of them, null for a null value. Equal values are counted first; running
+    counts over cells of the value and an as-of join of the distinct values do the rest, so no task holds the distribution."""
+    known = train.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(F.col(value).cast("double").alias("_at")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(0))
+    low, high, total = known.agg(F.min("_at"), F.max("_at"), F.sum("_n")).first()
+    cell = max((high - low) / 1000, 1e-300) if total else 1.0
+    sums = running(known, ["_k"], "_at", [], {"_sum": ("sum", "_n")}, cell_us=cell)
+    asked = rows.select(F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()).distinct().withColumn("_k", F.lit(0))
+    found = asof_join(asked, sums, ["_k"], "_v", "_at", ["_sum"], cell_us=cell).select("_v", F.coalesce(F.col("_sum") / F.lit(float(total or 1)), F.lit(0.0)).alias("bet_size"))
+    l, r = rows.alias("l"), found.alias("r")
+    return l.join(r, F.col(f"l.{value}") == F.col("r._v"), "left").select("l.*", "r.bet_size")
 
 
 def decile_calibration(rows: DataFrame, prob: str, target: str, ret: str, q: int = 10) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from barloom.fold import fold
 from barloom.joins import asof_join
 from barloom.operators.breaks import sadf_design
-from barloom.operators.volatility import _Ewm, ewm, fixed_width_weights, frac_diff_weights
-from barloom.ordering import DAY_US, Staged, running
+from barloom.operators.volatility import _changes, ewm, fixed_width_weights, frac_diff_weights, smoothed
+from barloom.ordering import BLOCK_ROWS, DAY_US, HOUR_US, Staged, running
+from barloom.scan import linear_scan
 
 
 def bollinger(s: Staged, close: str = "c", window: int = 20, width: float = 2.0) -> Staged:
@@ -49,32 +50,17 @@ def volume_flows(df: DataFrame, keys: Sequence[str], order: str, close: str = "c
     return running(rows, keys, order, [], {"obv": ("sum", "_o"), "vpt": ("sum", "_p")}, cell_us=cell_us).select(*keys, order, "obv", "vpt")
 
 
-class _TsiMachine:
-    def __init__(self, slow: int, fast: int) -> None:
-        self.e = [_Ewm(2 / (w + 1), False, 1) for w in (slow, fast, slow, fast)]
-        self.last = np.nan
-
-    def feed(self, columns):
-        out = []
-        for x in columns["_x"].tolist():
-            d, self.last = x - self.last, x
-            if d != d:
-                out.append(np.nan)
-                continue
-            top = self.e[1].add(self.e[0].add(d)[0])[0]
-            bottom = self.e[3].add(self.e[2].add(abs(d))[0])[0]
-            out.append(100 * top / bottom if bottom else np.nan)
-        return {"_ts": columns["_ts"], "tsi": np.array(out)}
-
-    def finish(self):
-        return {}
-
-
-def true_strength(df: DataFrame, keys: Sequence[str], order: str, close: str, slow: int = 25, fast: int = 13) -> DataFrame:
-    """keys, order and ``tsi``: twice smoothed change over twice smoothed absolute change, x 100."""
-    rows = df.select(*keys, F.col(order).alias("_ts"), F.col(close).cast("double").alias("_x"))
-    kind = rows.schema["_ts"].dataType.simpleString()
-    return fold(rows, keys, ["_ts"], ["_ts", "_x"], lambda: _TsiMachine(slow, fast), f"_ts {kind}, tsi double").withColumnRenamed("_ts", order)
+def true_strength(df: DataFrame, keys: Sequence[str], order: str, close: str, slow: int = 25, fast: int = 13, cell_us: float = 6 * HOUR_US, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """keys, order and ``tsi``: twice smoothed change over twice smoothed absolute change, x 100; null in the first row and where there was no change at all."""
+    rows = _changes(df, keys, order, close, cell_us)
+    d = F.col("_d")
+    # The first change starts all four means; what comes before it changes nothing.
+    rows = running(rows, keys, "_ts", [], {"_seen": ("count", "_d")}, cell_us=cell_us).withColumn("_first", (F.col("_seen") == 1) & d.isNotNull())
+    first = F.col("_first")
+    rows = linear_scan(rows, keys, "_ts", {"_p": smoothed(2 / (slow + 1), d, first), "_q": smoothed(2 / (slow + 1), F.abs(d), first)}, cell_us=cell_us, block_rows=block_rows)
+    known = lambda c: F.when(d.isNotNull(), F.col(c))
+    rows = linear_scan(rows, keys, "_ts", {"_pp": smoothed(2 / (fast + 1), known("_p"), first), "_qq": smoothed(2 / (fast + 1), known("_q"), first)}, cell_us=cell_us, block_rows=block_rows)
+    return rows.select(*keys, F.col("_ts").alias(order), F.when(d.isNotNull(), 100 * F.try_divide("_pp", "_qq")).alias("tsi"))
 
 
 def daily_volatility(prices: DataFrame, keys: Sequence[str], ts: str = "ts", close: str = "close", lookback: float = 100) -> DataFrame:

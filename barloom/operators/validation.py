@@ -9,7 +9,8 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.ordering import with_position
+from barloom.joins import asof_join
+from barloom.ordering import HOUR_US, running, with_position
 
 
 def _overlaps(t0: str, t1: str, start: str, end: str) -> Column:
@@ -18,16 +19,18 @@ def _overlaps(t0: str, t1: str, start: str, end: str) -> Column:
     return ((s <= a) & (a <= e)) | ((s <= b) & (b <= e)) | ((a <= s) & (e <= b))
 
 
-def purge(train: DataFrame, tests: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The train rows (t0, t1) that overlap no test interval (start, end) of their series."""
-    l, r = train.alias("l"), tests.alias("r")
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    return l.join(r, [*same, _overlaps("l.t0", "l.t1", "r.start", "r.end")], "left_anti")
+def purge(train: DataFrame, tests: DataFrame, keys: Sequence[str], cell_us: float = 6 * HOUR_US) -> DataFrame:
+    """The train rows (t0, t1) that overlap no test interval (start, end, in either order) of their series. A row overlaps one if of the tests that start by its t1 the latest end is not
+    before its t0: a running maximum and one as-of look-up, whatever the number of rows and tests of a series."""
+    bounds = tests.select(*keys, F.least("start", "end").alias("_s"), F.greatest("start", "end").alias("_e")).where(F.col("_s").isNotNull() & F.col("_e").isNotNull())
+    tops = running(bounds, keys, "_s", ["_e"], {"_top": ("max", "_e")}, cell_us=cell_us)
+    found = asof_join(train, tops, keys, "t1", "_s", ["_top"], cell_us=cell_us)
+    return found.where(~F.coalesce(F.col("_top") >= F.col("t0"), F.lit(False))).drop("_top")
 
 
-def with_folds(labels: DataFrame, keys: Sequence[str], n_splits: int) -> DataFrame:
+def with_folds(labels: DataFrame, keys: Sequence[str], n_splits: int, cell_us: float = 6 * HOUR_US) -> DataFrame:
     """labels with ``pos`` (rank by t0, t1), ``n`` and ``fold``: contiguous folds, the first n mod n_splits one longer."""
-    rows = with_position(labels, keys, "t0", ["t1"], out="pos")
+    rows = with_position(labels, keys, "t0", ["t1"], cell_us, out="pos")
     n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     rows = rows.join(n, list(keys))
     size, extra = F.expr(f"n div {n_splits}"), F.expr(f"n % {n_splits}")
@@ -46,10 +49,10 @@ def fold_spans(folded: DataFrame, keys: Sequence[str], embargo: float = 0.0, str
     return l.join(r, [*same, F.col("e._last") == F.col("f.pos")]).select(*[F.col(f"e.{k}") for k in keys], F.col("e.fold"), F.col("e.a")["t0" if strict else "t1"].alias("start"), F.col("f.t1").alias("end"))
 
 
-def purged_folds(labels: DataFrame, keys: Sequence[str], n_splits: int = 3, embargo: float = 0.0, strict: bool = False) -> DataFrame:
+def purged_folds(labels: DataFrame, keys: Sequence[str], n_splits: int = 3, embargo: float = 0.0, strict: bool = False, cell_us: float = 6 * HOUR_US) -> DataFrame:
     """One row per split and label that is in it: keys, ``split``, t0, t1 and ``role`` ('test' or 'train'). Train labels are those that overlap neither the
     test interval nor its embargo."""
-    folded = with_folds(labels, keys, n_splits)
+    folded = with_folds(labels, keys, n_splits, cell_us)
     spans = fold_spans(folded, keys, embargo, strict)
     l, r = folded.alias("l"), spans.alias("r")
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]

@@ -1,4 +1,4 @@
-"""Volatility and trend features over a ``Staged`` series of bars (o h l c v), and exponentially weighted ones as folds."""
+"""Volatility and trend features over a ``Staged`` series of bars (o h l c v), and exponentially weighted ones as linear recurrences."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.fold import fold
-from barloom.ordering import Staged
+from barloom.ordering import BLOCK_ROWS, HOUR_US, Staged, running
+from barloom.scan import linear_scan
 
 
 def _ln(a: str, b: str):
@@ -74,96 +74,80 @@ def rolling_moments(s: Staged, value: str, window: int, prefix: str = "roll") ->
 
 def frac_diff_weights(d: float, size: int) -> np.ndarray:
     """Weights of the fractional difference, lag 0 first."""
-    w = [1.0]
-    for k in range(1, size):
-        w.append(-w[-1] * (d - k + 1) / k)
-    return np.array(w)
+    k = np.arange(1, size)
+    return np.cumprod(np.concatenate([[1.0], -(d - k + 1) / k]))
 
 
-def fixed_width_weights(d: float, threshold: float, most: int = 10_000) -> np.ndarray:
-    """The weights not smaller than the threshold, lag 0 first."""
-    w = frac_diff_weights(d, most)
-    small = np.flatnonzero(np.abs(w) < threshold)
-    return w[: small[0]] if len(small) else w
+def fixed_width_weights(d: float, threshold: float, most: int = 1 << 22) -> np.ndarray:
+    """The weights before the first one smaller than the threshold, lag 0 first. More than ``most`` are refused, not cut."""
+    size = 1024
+    while True:
+        w = frac_diff_weights(d, size)
+        small = np.flatnonzero(np.abs(w) < threshold)
+        if len(small):
+            return w[: small[0]]
+        if size >= most:
+            raise ValueError(f"more than {most} weights are above the threshold")
+        size *= 4
 
 
 def fixed_width_difference(s: Staged, value: str, d: float, threshold: float = 1e-5, out: str = "frac_diff") -> Staged:
-    """Fractional difference over the fixed width of the weights above the threshold. The series' halo must cover the width."""
+    """Fractional difference over the fixed width of the weights above the threshold. A width beyond the series' halo is refused."""
     w = fixed_width_weights(d, threshold)
     terms = [F.lit(float(x)) * (s.lag(value, k) if k else F.col(value)) for k, x in enumerate(w)]
     return s.let(**{out: sum(terms[1:], terms[0])})
 
 
-class _Ewm:
-    """Exponentially weighted mean and standard deviation. ``adjust`` weighs by the sum of weights; ``least`` values must have come."""
-
-    def __init__(self, alpha: float, adjust: bool, least: int) -> None:
-        self.a, self.adjust, self.least = alpha, adjust, least
-        self.n, self.mean, self.cov, self.w, self.w2, self.old = 0, np.nan, 0.0, 1.0, 1.0, 1.0
-
-    def add(self, x: float) -> tuple[float, float]:
-        """The mean and the bias-corrected standard deviation after x; a NaN only lets the weights decay."""
-        if self.n == 0:
-            if x == x:
-                self.n, self.mean = 1, x
-        else:
-            keep, new = 1 - self.a, 1.0 if self.adjust else self.a
-            self.w, self.w2, self.old = self.w * keep, self.w2 * keep * keep, self.old * keep
-            if x == x:
-                self.n += 1
-                before = self.mean
-                self.mean = (self.old * before + new * x) / (self.old + new)
-                self.cov = (self.old * (self.cov + (before - self.mean) ** 2) + new * (x - self.mean) ** 2) / (self.old + new)
-                self.w, self.w2 = self.w + new, self.w2 + new * new
-                self.old += new
-                if not self.adjust:
-                    self.w, self.w2, self.old = self.w / self.old, self.w2 / self.old**2, 1.0
-        if self.n < self.least:
-            return np.nan, np.nan
-        spread = self.w * self.w - self.w2
-        return self.mean, math.sqrt(self.cov * self.w * self.w / spread) if self.n > 1 and spread > 0 else np.nan
-
-
-class _EwmMachine:
-    def __init__(self, alpha: float, adjust: bool, least: int) -> None:
-        self.e = _Ewm(alpha, adjust, least)
-
-    def feed(self, columns):
-        out = [self.e.add(float(x)) for x in columns["_x"]]
-        return {"_ts": columns["_ts"], "ewm_mean": np.array([m for m, _ in out]), "ewm_std": np.array([s for _, s in out])}
-
-    def finish(self):
-        return {}
-
-
-def ewm(df: DataFrame, keys: Sequence[str], order: str, value: str, alpha: float | None = None, span: float | None = None, adjust: bool = True, least: int = 1) -> DataFrame:
-    """keys, order, ``ewm_mean`` and ``ewm_std`` (bias-corrected) of each series; order is unique in a series."""
+def ewm(df: DataFrame, keys: Sequence[str], order: str, value: str, alpha: float | None = None, span: float | None = None, adjust: bool = True, least: int = 1, cell_us: float = 6 * HOUR_US, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """keys, order, ``ewm_mean`` and ``ewm_std`` (bias-corrected) of each series; order is unique in a series. ``adjust`` weighs by the sum of weights; a null or NaN value only lets
+    the weights decay; both are null until ``least`` values have come, the deviation until two have. Sums run as linear recurrences over blocks
+    (barloom.scan), about the series' mean, so that squares keep their digits."""
     a = alpha if alpha is not None else 2 / (span + 1)
-    rows = df.select(*keys, F.col(order).alias("_ts"), F.col(value).cast("double").alias("_x"))
-    kind = rows.schema["_ts"].dataType.simpleString()
-    return fold(rows, keys, ["_ts"], ["_ts", "_x"], lambda: _EwmMachine(a, adjust, least), f"_ts {kind}, ewm_mean double, ewm_std double").withColumnRenamed("_ts", order)
-
-
-class _RsiMachine:
-    def __init__(self, window: int) -> None:
-        self.up, self.down, self.last = _Ewm(1 / window, False, window), _Ewm(1 / window, False, window), np.nan
+    q = 1 - a
+    rows = df.select(*keys, F.col(order).alias("_ts"), F.col(value).cast("double").alias("_x")).withColumn("_x", F.when(~F.isnan("_x"), F.col("_x")))
+    middle = rows.groupBy(*keys).agg(F.coalesce(F.avg("_x"), F.lit(0.0)).alias("_c"))
+    l, r = rows.alias("l"), middle.alias("r")
+    rows = l.join(r, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]).select("l.*", "r._c")
+    ok, x = F.col("_x").isNotNull(), F.coalesce(F.col("_x") - F.col("_c"), F.lit(0.0))
+    one = F.when(ok, 1.0).otherwise(0.0)
+    if adjust:
+        b = {"_w": (F.lit(q), one), "_s": (F.lit(q), x), "_ss": (F.lit(q), x * x), "_w2": (F.lit(q * q), one)}
+    else:
+        rows = running(rows, keys, "_ts", [], {"_i": ("count", F.lit(1))}, cell_us=cell_us)
+        rows = running(rows, keys, "_ts", [], {"_j": ("last", F.when(ok, F.col("_i")))}, inclusive=False, cell_us=cell_us)
+        first, decay = F.col("_j").isNull(), F.pow(F.lit(q), (F.col("_i") - F.col("_j")).cast("double"))
+        keep = F.when(~ok, 1.0).when(first, 0.0).otherwise(decay / (decay + a))
+        new = F.when(~ok, 0.0).when(first, 1.0).otherwise(F.lit(a) / (decay + a))
+        b = {"_w": (keep, new), "_s": (keep, new * x), "_ss": (keep, new * x * x), "_w2": (keep * keep, new * new)}
+    out = linear_scan(rows, keys, "_ts", b | {"_n": (F.lit(1.0), one)}, cell_us=cell_us, block_rows=block_rows)
+    w, n = F.col("_w"), F.col("_n")
+    mean = F.try_divide(F.col("_s"), w)
+    spread = w * w - F.col("_w2")
+    deviation = F.sqrt(F.greatest(F.col("_ss") / w - mean * mean, F.lit(0.0)) * w * w / spread)
+    there = n >= max(least, 1)
+    return out.select(*keys, F.col("_ts").alias(order), F.when(there, mean + F.col("_c")).alias("ewm_mean"), F.when(there & (n > 1) & (spread > 0), deviation).alias("ewm_std"))
+
+
+def _changes(df: DataFrame, keys: Sequence[str], order: str, close: str, cell_us: float) -> DataFrame:
+    """keys, ``_ts``, ``_x`` and ``_d``, the change since the row before."""
+    rows = df.select(*keys, F.col(order).alias("_ts"), F.col(close).cast("double").alias("_x"))
+    rows = running(rows, keys, "_ts", [], {"_b": ("last", "_x"), "_i": ("count", F.lit(1))}, inclusive=False, cell_us=cell_us)
+    return rows.withColumn("_d", F.col("_x") - F.col("_b"))
 
-    def feed(self, columns):
-        out = []
-        for x in columns["_x"]:
-            d = float(x) - self.last
-            self.last = float(x)
-            u, w = self.up.add(d if d > 0 else 0.0)[0], self.down.add(-d if d < 0 else 0.0)[0]
-            out.append(100.0 if w == 0 else 100 - 100 / (1 + u / w))
-        return {"_ts": columns["_ts"], "rsi": np.array(out)}
 
-    def finish(self):
-        return {}
+def smoothed(alpha: float, x: Column, first: Column) -> tuple[Column, Column]:
+    """The recurrence of an exponential mean that starts at its first value, for ``linear_scan``; a null leaves it as it is."""
+    known = x.isNotNull()
+    return F.when(first, 0.0).when(known, 1 - alpha).otherwise(1.0), F.when(~known, 0.0).when(first, x).otherwise(alpha * x)
 
 
-def rsi(df: DataFrame, keys: Sequence[str], order: str, close: str, window: int = 14, fill: float | None = None) -> DataFrame:
-    """keys, order and ``rsi``: Wilder's relative strength index; null (or ``fill``) until the window has come."""
-    rows = df.select(*keys, F.col(order).alias("_ts"), F.col(close).cast("double").alias("_x"))
-    kind = rows.schema["_ts"].dataType.simpleString()
-    out = fold(rows, keys, ["_ts"], ["_ts", "_x"], lambda: _RsiMachine(window), f"_ts {kind}, rsi double").withColumnRenamed("_ts", order)
+def rsi(df: DataFrame, keys: Sequence[str], order: str, close: str, window: int = 14, fill: float | None = None, cell_us: float = 6 * HOUR_US, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """keys, order and ``rsi``: Wilder's relative strength index; null (or ``fill``) until the window has come. The first row counts as no change, and so does a
+    change that isn't known."""
+    rows = _changes(df, keys, order, close, cell_us)
+    first, d = F.coalesce(F.col("_i"), F.lit(0)) == 0, F.coalesce(F.col("_d"), F.lit(0.0))
+    out = linear_scan(rows, keys, "_ts", {"_up": smoothed(1 / window, F.greatest(d, F.lit(0.0)), first), "_down": smoothed(1 / window, F.greatest(-d, F.lit(0.0)), first)}, cell_us=cell_us, block_rows=block_rows)
+    value = F.when(F.col("_down") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide("_up", "_down")))
+    there = F.coalesce(F.col("_i"), F.lit(0)) + 1 >= window
+    out = out.select(*keys, F.col("_ts").alias(order), F.when(there, value).alias("rsi"))
     return out.na.fill(fill, ["rsi"]) if fill is not None else out

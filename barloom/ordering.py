@@ -58,6 +58,13 @@ def with_position(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("r._offset") + F.col("l._rank") - 1).alias(out))
 
 
+def even_cell(df: DataFrame, ts: str, rows: int = 4096) -> float:
+    """A calendar cell (microseconds, or units of ``ts``) that holds about so many rows of the table: for series whose rows come much denser than others'."""
+    at = F.unix_micros(ts) if dict(df.dtypes)[ts].startswith("timestamp") else F.col(ts)
+    low, high, n = df.agg(F.min(at), F.max(at), F.count(at)).first()
+    return max((high - low) * rows / n, 1.0) if n and high > low else float(DAY_US)
+
+
 def in_blocks(df: DataFrame, halo: int, pos: str = "_pos", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds ``_block`` and ``_core``: each row stands in its own block, and as a copy (``_core`` false) in the next or previous
     block if it is within ``halo`` rows of the edge."""
@@ -119,13 +126,17 @@ def core(df: DataFrame) -> DataFrame:
 class Staged:
     """Columns over one window, added in stages (a window function can't hold another). All stages share one shuffle and sort."""
 
-    def __init__(self, df: DataFrame, window) -> None:
-        self.df, self.w = df, window
+    def __init__(self, df: DataFrame, window, halo: int | None = None) -> None:
+        self.df, self.w, self.halo = df, window, halo
 
     @classmethod
     def over(cls, df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = (), halo: int = 100, cell_us: int = HOUR_US * 6) -> "Staged":
         """Blocks with ``halo`` rows of the neighbours; end with ``rows``."""
-        return cls(blocked(df, keys, ts, tie, halo, cell_us=cell_us), block_window(keys))
+        return cls(blocked(df, keys, ts, tie, halo, cell_us=cell_us), block_window(keys), halo)
+
+    def _reach(self, n: int) -> None:
+        if self.halo is not None and n > self.halo:
+            raise ValueError(f"a reach of {n} rows needs a halo of as many, not {self.halo}")
 
     def let(self, **columns: Column) -> "Staged":
         if columns.keys() & {"_pos", "_block", "_core"}:
@@ -134,9 +145,11 @@ class Staged:
         return self
 
     def lag(self, c: Column | str, n: int = 1) -> Column:
+        self._reach(n)
         return F.lag(c, n).over(self.w)
 
     def lead(self, c: Column | str, n: int = 1) -> Column:
+        self._reach(n)
         return F.lead(c, n).over(self.w)
 
     def diff(self, c: str) -> Column:
@@ -152,12 +165,14 @@ class Staged:
 
     def roll(self, f, c: Column | str, n: int) -> Column:
         """``f`` of the last n values; null unless all n are there."""
+        self._reach(n - 1)
         c = F.col(c) if isinstance(c, str) else c
         frame = self.w.rowsBetween(1 - n, 0)
         return F.when(F.count(c).over(frame) == n, f(c).over(frame))
 
     def ahead(self, f, c: Column | str, n: int) -> Column:
         """``f`` of this and the next n - 1 values; null unless all n are there."""
+        self._reach(n - 1)
         c = F.col(c) if isinstance(c, str) else c
         frame = self.w.rowsBetween(0, n - 1)
         return F.when(F.count(c).over(frame) == n, f(c).over(frame))

@@ -200,7 +200,7 @@ walk AS (SELECT instrument, day, rn, 0.0::DOUBLE AS u, 0.0::DOUBLE AS w FROM x W
   UNION ALL SELECT x.instrument, x.day, x.rn, k.u * 13 / 14 + greatest(x.d, 0) / 14, k.w * 13 / 14 + greatest(-x.d, 0) / 14 FROM walk k JOIN x ON x.instrument = k.instrument AND x.rn = k.rn + 1)
 SELECT instrument, day, CASE WHEN rn >= 14 THEN round(CASE WHEN w = 0 THEN 100.0 ELSE 100 - 100 / (1 + u / w) END, 6) END AS rsi FROM walk""")
 def rsi(spark: SparkSession, folder: str) -> DataFrame:
-    return V.rsi(daily(spark, folder), ["instrument"], "day", "c").withColumn("rsi", F.round("rsi", 6))
+    return V.rsi(daily(spark, folder), ["instrument"], "day", "c", cell_us=YEAR).withColumn("rsi", F.round("rsi", 6))
 
 
 @query("candle_targets", steps(f"{lag_sql('o')} AS o1, {lag_sql('h')} AS h1, {lag_sql('l')} AS l1, {lag_sql('c')} AS c1", "CASE WHEN c1 < o1 THEN (h1 + 2 * l1 + c1) / 2 WHEN c1 > o1 THEN (2 * h1 + l1 + c1) / 2 WHEN c1 = o1 THEN (h1 + l1 + 2 * c1) / 2 END AS base",
@@ -239,7 +239,7 @@ SELECT instrument, tm AS day, round(ewm_mean, 6) AS ewm_mean, round(ewm_std, 6)
 def daily_ewm_volatility(spark: SparkSession, folder: str) -> DataFrame:
     s = _days(spark, folder)
     returns = s.let(r=s.change("c")).rows("instrument", "day", "r").where("r is not null")
-    return V.ewm(returns, ["instrument"], "day", "r", span=100).withColumns({c: F.round(c, 6) for c in ("ewm_mean", "ewm_std")})
+    return V.ewm(returns, ["instrument"], "day", "r", span=100, cell_us=YEAR).withColumns({c: F.round(c, 6) for c in ("ewm_mean", "ewm_std")})
 
 
 @query("futures_roll", f"""WITH {DAILY_SQL}, d AS (SELECT *, 'C' || (day // 90) AS sec FROM daily), g AS (SELECT *, CASE WHEN lag(sec) OVER (PARTITION BY instrument ORDER BY day) <> sec THEN o - c ELSE 0 END AS x FROM d)

@@ -236,8 +236,8 @@ def decile_calibration(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("bucket", "n", *[F.round(c, 6).alias(c) for c in ("mean_prob", "hit_rate", "mean_win", "mean_loss")])
 
 
-@query("ecdf_size", """WITH t AS (SELECT instrument, seq, floor(prob * 1000) AS b FROM train WHERE prob BETWEEN 0 AND 1), c AS (SELECT b, count(*) AS n FROM t GROUP BY 1), e AS (SELECT b, sum(n) OVER (ORDER BY b) / sum(n) OVER () AS s FROM c)
-SELECT instrument, seq, round(s, 6) AS bet_size FROM t JOIN e USING (b)""")
+@query("ecdf_size", """WITH t AS (SELECT instrument, seq, prob FROM train WHERE prob BETWEEN 0 AND 1), c AS (SELECT prob, count(*) AS n FROM t GROUP BY 1), e AS (SELECT prob, sum(n) OVER (ORDER BY prob) / sum(n) OVER () AS s FROM c)
+SELECT instrument, seq, round(s, 6) AS bet_size FROM t JOIN e USING (prob)""")
 def ecdf_size(spark: SparkSession, folder: str) -> DataFrame:
     t = table(spark, folder, "train").where("prob between 0 and 1")
     return Z.ecdf_size(t, t.select("instrument", "seq", "prob"), "prob").select("instrument", "seq", F.round("bet_size", 6).alias("bet_size"))

@@ -19,7 +19,7 @@ from barloom.operators import pricing as O
 from barloom.operators import simulate as S
 from barloom.operators import validation as C
 from barloom.operators.bars import tick_signs
-from barloom.ordering import HOUR_US
+from barloom.ordering import HOUR_US, even_cell
 from barloom.plans.features import _days, lag_sql
 from barloom.plans.inputs import DAILY_SQL, daily, ticks
 from barloom.plans.labels import _bets
@@ -204,7 +204,8 @@ def regime_series(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("synthetic_backtest")
 def synthetic_backtest(spark: SparkSession, folder: str) -> DataFrame:
-    return S.synthetic_backtest(spark, 0.0, 5.0, 1.0, [1.0, 3.0, 5.0], [1.0, 3.0, 5.0], 2000)
+    grid = [i / 2 for i in range(21)]
+    return S.synthetic_backtest(spark, 0.0, 5.0, 1.0, grid, grid, 2000)
 
 
 @query("maximum_sharpe_distribution")
@@ -244,7 +245,8 @@ def _samples(spark: SparkSession, folder: str, keep: Sequence[str] = ()) -> Data
 def _folded(spark: SparkSession, folder: str) -> DataFrame:
     rows = _samples(spark, folder)
     # Folds of calendar time over all series together; labels are purged by their intervals.
-    folds = C.purged_folds(rows.select("series", "t0", "t1").distinct(), ["series"], 3, 0.01)
+    labels = rows.select("series", "t0", "t1").distinct()
+    folds = C.purged_folds(labels, ["series"], 3, 0.01, cell_us=even_cell(labels, "t0"))
     # Read once per split and model: written once.
     return materialize(rows.join(folds.select("t0", "t1", "split", "role"), ["t0", "t1"]), "folds")
 

@@ -87,7 +87,7 @@ walk AS (SELECT instrument, day, rn, NULL::DOUBLE AS a, NULL::DOUBLE AS b, NULL:
   FROM (SELECT w.*, x.day AS day1, x.rn AS rn1, coalesce(w.a + (x.d - w.a) * {_A!r}, x.d) AS a1, coalesce(w.p + (abs(x.d) - w.p) * {_A!r}, abs(x.d)) AS p1 FROM walk w JOIN x ON x.instrument = w.instrument AND x.rn = w.rn + 1))
 SELECT instrument, day, round(100 * b / nullif(q, 0), 5) AS tsi FROM walk""")
 def true_strength(spark: SparkSession, folder: str) -> DataFrame:
-    return T.true_strength(daily(spark, folder), KEYS, "day", "c").withColumn("tsi", F.round("tsi", 5))
+    return T.true_strength(daily(spark, folder), KEYS, "day", "c", cell_us=YEAR).withColumn("tsi", F.round("tsi", 5))
 
 
 @query("lagged_day_return", f"WITH {PRICES_SQL}, q AS (SELECT *, ts - 86400000000 AS due FROM prices) SELECT q.instrument, q.ts, round(q.close / p.close - 1, 6) AS ret FROM q ASOF JOIN prices p ON p.instrument = q.instrument AND p.ts < q.due")

@@ -14,7 +14,7 @@ from barloom.joins import asof_join, interval_sums, range_join, sweep
 from barloom.numeric import clusters, matrices, models, portfolio
 from barloom.numeric.optimize import nelder_mead, quadratic_program
 from barloom.numeric.trees import Tree
-from barloom.operators import backtest, betsize, breaks, distance, labeling, signals, validation, volatility, weights
+from barloom.operators import backtest, betsize, breaks, distance, labeling, signals, technical, validation, volatility, weights
 from barloom.ordering import Staged, running, with_position
 
 HOUR = 3_600_000_000
@@ -78,15 +78,47 @@ def test_cusum_fixture(spark):
     assert [(r.t, r.direction) for r in signals.cusum_events(df, ["k"], "t", "x", 1.0).orderBy("t").collect()] == [(2, 1), (4, -1)]
 
 
-def test_ewm_matches_pandas(spark, rng):
-    x = [rng.gauss(0, 1) if rng.random() > 0.1 else None for _ in range(60)]
-    df = points(spark, [(1, i, v) for i, v in enumerate(x)])
-    s = pd.Series(x, dtype=float)
+@pytest.mark.parametrize("cell, block", [(6 * HOUR, 50_000), (7, 11)])
+def test_ewm_matches_pandas(spark, rng, cell, block):
+    x = [rng.gauss(0, 1) + 1000 if rng.random() > 0.1 else None for _ in range(60)]
+    y = [None, None, float("nan"), 2.0, 5.0]
+    df = points(spark, [(1, i, v) for i, v in enumerate(x)] + [(None, i, v) for i, v in enumerate(y)])
     for span, adjust in ((5, True), (20, True), (5, False)):
-        out = volatility.ewm(df, ["k"], "t", "x", span=span, adjust=adjust).orderBy("t").toPandas()
-        e = s.ewm(span=span, adjust=adjust)
-        np.testing.assert_allclose(out.ewm_mean.to_numpy(float), e.mean().to_numpy(), atol=1e-10)
-        np.testing.assert_allclose(out.ewm_std.to_numpy(float)[2:], e.std().to_numpy()[2:], atol=1e-10)
+        out = volatility.ewm(df, ["k"], "t", "x", span=span, adjust=adjust, cell_us=cell, block_rows=block).orderBy("k", "t").toPandas()
+        for k, values in ((1, x), (None, y)):
+            rows = out[out.k == 1] if k else out[out.k.isna()]
+            e = pd.Series(values, dtype=float).ewm(span=span, adjust=adjust)
+            np.testing.assert_allclose(rows.ewm_mean.to_numpy(float), e.mean().to_numpy(), atol=1e-9)
+            np.testing.assert_allclose(rows.ewm_std.to_numpy(float)[2:], e.std().to_numpy()[2:], atol=1e-8)
+    assert volatility.ewm(df.where("1 = 0"), ["k"], "t", "x", span=5).count() == 0
+
+
+@pytest.mark.parametrize("cell, block", [(6 * HOUR, 50_000), (9, 13)])
+def test_strength_indicators_match_recurrences(spark, rng, cell, block):
+    x = [100.0]
+    for _ in range(80):
+        x.append(x[-1] + rng.gauss(0, 1))
+    df = points(spark, [(k, i, v) for k in (1, 2) for i, v in enumerate(x)])
+    d = pd.Series(x).diff()
+    mean = lambda s, a: s.ewm(alpha=a, adjust=False).mean()
+    up, down = mean(d.clip(lower=0).fillna(0), 1 / 14), mean((-d).clip(lower=0).fillna(0), 1 / 14)
+    want = (100 - 100 / (1 + up / down)).where(np.arange(81) >= 13)
+    got = volatility.rsi(df, ["k"], "t", "x", cell_us=cell, block_rows=block).where("k = 2").orderBy("t").toPandas().rsi
+    np.testing.assert_allclose(got.to_numpy(float), want.to_numpy(), atol=1e-9)
+    twice = lambda s: mean(mean(s[1:], 2 / 26), 2 / 14)
+    got = technical.true_strength(df, ["k"], "t", "x", cell_us=cell, block_rows=block).where("k = 1").orderBy("t").toPandas().tsi
+    np.testing.assert_allclose(got.to_numpy(float)[1:], (100 * twice(d) / twice(d.abs())).to_numpy(), atol=1e-9)
+
+
+def test_reach_beyond_the_halo_is_refused(spark):
+    s = Staged.over(points(spark, [(1, i, 1.0) for i in range(9)]), ["k"], "t", halo=3)
+    with pytest.raises(ValueError):
+        s.lag("x", 4)
+    with pytest.raises(ValueError):
+        volatility.fixed_width_difference(s, "x", 0.4, 1e-2)
+    assert len(volatility.fixed_width_weights(0.1, 1e-6)) > 10_000
+    with pytest.raises(ValueError):
+        volatility.fixed_width_weights(-0.5, 1e-6)
 
 
 def test_rolling_blocks_match_pandas(spark, rng):
@@ -188,6 +220,14 @@ def test_purged_folds_never_overlap(spark, rng):
     assert validation.backtest_paths(4, 2) == 3 == len({p for p, *_ in paths}) and len(paths) == 12
 
 
+def test_purge_matches_brute_force(spark, rng):
+    spans = lambda n, most: [(rng.choice([1, 1, None]), a, a + rng.randrange(0, most) * HOUR) for a in (rng.randrange(0, 900) * HOUR for _ in range(n))]
+    train, tests = spans(150, 40) + [(1, 5, None), (2, 1, 9)], spans(8, 60) + [(1, 500 * HOUR, 480 * HOUR), (1, None, 5)]
+    out = validation.purge(spark.createDataFrame(train, "k long, t0 long, t1 long"), spark.createDataFrame(tests, "k long, start long, end long"), ["k"])
+    hit = lambda t: any(s is not None and k == t[0] and t[1] <= max(s, e) and t[2] is not None and t[2] >= min(s, e) for k, s, e in tests)
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(str(t) for t in train if not hit(t))
+
+
 def test_normal_distribution(spark):
     xs = [-40.0, -8.0, -3.0, -0.5, 0.0, 1.0, 2.5, 7.2, 50.0]
     got = [r.p for r in spark.createDataFrame([(x,) for x in xs], "x double").select(norm_cdf(F.col("x")).alias("p")).collect()]

@@ -9,9 +9,6 @@ import pytest
 
 import __spark_entry__ as entry
 
-#: Slow ones have their own tests.
-SLOW = {"volatility_figarch", "local_trend", "mean_decrease_accuracy", "single_feature_importance", "grid_search", "cross_val_scores", "stream_imbalance_bars", "stream_run_bars", "stream_cusum", "stream_dynamic_z", "stream_time_bars"}
-
 
 @pytest.fixture(scope="module")
 def con(folder):
@@ -41,7 +38,7 @@ def test_query_equals_sql(spark, folder, con, name):
     assert plain(got) == plain(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_query_runs(spark, folder, name):
     entry.queries()[name](spark, folder).collect()
 

@@ -20,9 +20,10 @@ def _overlaps(t0: str, t1: str, start: str, end: str) -> Column:
 
 
 def purge(train: DataFrame, tests: DataFrame, keys: Sequence[str], cell_us: float = 6 * HOUR_US) -> DataFrame:
-    """The train rows (t0, t1) that overlap no test interval (start, end, in either order) of their series. A row overlaps one if of the tests that start by its t1 the latest end is not
+    """The train rows (t0, t1) that overlap no test interval (start, end, in either order; not those with a null) of their series. A row overlaps one if of the tests that start by its t1 the latest end is not
     before its t0: a running maximum and one as-of look-up, whatever the number of rows and tests of a series."""
-    bounds = tests.select(*keys, F.least("start", "end").alias("_s"), F.greatest("start", "end").alias("_e")).where(F.col("_s").isNotNull() & F.col("_e").isNotNull())
+    whole = tests.where(F.col("start").isNotNull() & F.col("end").isNotNull())
+    bounds = whole.select(*keys, F.least("start", "end").alias("_s"), F.greatest("start", "end").alias("_e"))
     tops = running(bounds, keys, "_s", ["_e"], {"_top": ("max", "_e")}, cell_us=cell_us)
     found = asof_join(train, tops, keys, "t1", "_s", ["_top"], cell_us=cell_us)
     return found.where(~F.coalesce(F.col("_top") >= F.col("t0"), F.lit(False))).drop("_top")

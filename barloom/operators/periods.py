@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.ordering import DAY_US
-from barloom.shared import materialize, small_side
+from barloom.shared import materialize
 
 
 def _carried(rows: DataFrame, cells: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
-    """``rows`` with ``value`` over all earlier cells of their entity. ``cells`` has a row per entity and cell."""
+    """``rows`` with ``value`` over all earlier cells of their entity. ``cells`` has a row per entity and cell, so the planner may broadcast it."""
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    carry = small_side(materialize(cells.select(*keys, "_cell", value.over(before).alias(name)).where(F.col(name).isNotNull()), "cells"))
+    carry = cells.select(*keys, "_cell", value.over(before).alias(name)).where(F.col(name).isNotNull())
     l, r = rows.alias("l"), carry.alias("r")
     return l.join(r, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_cell"]], "left").select("l.*", F.col(f"r.{name}"))
 

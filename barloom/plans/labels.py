@@ -97,8 +97,9 @@ _CLOSED = "closed AS (SELECT l.instrument, l.t0, coalesce(l.t1, z) AS t1 FROM la
 _CONC = "conc AS (SELECT p.instrument, p.ts, p.close, count(c.t0) AS n FROM prices p LEFT JOIN closed c ON c.instrument = p.instrument AND p.ts BETWEEN c.t0 AND c.t1 GROUP BY 1, 2, 3)"
 
 
-def _closed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    p = _prices(spark, folder)
+def _closed(spark: SparkSession, folder: str, write: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The prices (``write``: written once, for queries that read them again) and the labels with an end."""
+    p = _prices(spark, folder) if write else prices(spark, folder)
     return p, W.closed_labels(labels(spark, folder), p, KEYS).where("t1 is not null and t1 >= t0")
 
 
@@ -132,7 +133,7 @@ def weights_by_time_decay(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("sequential_bootstrap")
 def sequential_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
-    _, l = _closed(spark, folder)
+    _, l = _closed(spark, folder, write=False)
     return W.sequential_bootstrap(l, KEYS, n=20, samples=2)
 
 
@@ -144,14 +145,14 @@ _HIT = "((s.s <= f.t0 AND f.t0 <= s.e) OR (s.s <= f.t1 AND f.t1 <= s.e) OR (f.t0
 @query("purged_kfold", f"""{_PL}, {_CLOSED}, {_FOLDS}, {_SPANS}
 SELECT f.instrument, CAST(s.fold AS INTEGER) AS split, f.t0, f.t1, CASE WHEN f.fold = s.fold THEN 'test' ELSE 'train' END AS role FROM folded f JOIN spans s ON s.instrument = f.instrument WHERE f.fold = s.fold OR NOT {_HIT}""")
 def purged_kfold(spark: SparkSession, folder: str) -> DataFrame:
-    _, l = _closed(spark, folder)
+    _, l = _closed(spark, folder, write=False)
     return C.purged_folds(l.select("instrument", "t0", "t1"), KEYS, 4, 0.05)
 
 
 @query("purge", f"""{_PL}, {_CLOSED}, s AS (SELECT instrument, min(t0) + 86400000000 AS s, min(t0) + 5 * 86400000000 AS e FROM closed GROUP BY 1)
 SELECT f.instrument, f.t0, f.t1 FROM closed f WHERE f.t1 >= f.t0 AND NOT EXISTS (SELECT 1 FROM s WHERE s.instrument = f.instrument AND {_HIT})""")
 def purge(spark: SparkSession, folder: str) -> DataFrame:
-    _, l = _closed(spark, folder)
+    _, l = _closed(spark, folder, write=False)
     l = l.select("instrument", "t0", "t1")
     tests = l.groupBy("instrument").agg((F.min("t0") + 24 * HOUR).alias("start"), (F.min("t0") + 120 * HOUR).alias("end"))
     return C.purge(l, tests, KEYS)
@@ -161,7 +162,7 @@ def purge(spark: SparkSession, folder: str) -> DataFrame:
 SELECT f.instrument, c.split, f.t0, f.t1, CASE WHEN list_contains(c.tests, f.fold) THEN 'test' ELSE 'train' END AS role FROM folded f, c
 WHERE list_contains(c.tests, f.fold) OR NOT EXISTS (SELECT 1 FROM spans s WHERE s.instrument = f.instrument AND list_contains(c.tests, s.fold) AND {_HIT})""")
 def combinatorial_kfold(spark: SparkSession, folder: str) -> DataFrame:
-    _, l = _closed(spark, folder)
+    _, l = _closed(spark, folder, write=False)
     return C.combinatorial_folds(l.select("instrument", "t0", "t1"), KEYS, 4, 2, 0.05).drop("tests")
 
 

@@ -13,18 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.ordering import DAY_US
+from barloom.ordering import DAY_US, cell_keys, earlier_cells, with_cells
 from barloom.shared import materialize
 
 
-def _carried(rows: DataFrame, cells: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
-    """``rows`` with ``value`` over all earlier cells of their entity. ``cells`` has a row per entity and cell, so the planner may broadcast it."""
-    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    carry = cells.select(*keys, "_cell", value.over(before).alias(name)).where(F.col(name).isNotNull())
-    l, r = rows.alias("l"), carry.alias("r")
-    return l.join(r, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_cell"]], "left").select("l.*", F.col(f"r.{name}"))
-
-
 def merge_intervals(df: DataFrame, keys: Sequence[str] = ("instrument",), start: str = "t0", end: str = "t1", cell_us: int = DAY_US) -> DataFrame:
     """Continuous periods: keys, ``period`` (0-based by start), ``period_start``, ``period_end``, ``n_intervals`` (rows merged,
     repeats included) and ``previous_end`` (end of the period before; null for the first).
@@ -36,17 +28,22 @@ def merge_intervals(df: DataFrame, keys: Sequence[str] = ("instrument",), start:
     rows = df.where((F.col(end) >= F.col(start))).select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
     # Equal starts become one row before any window, so a pile of copies is combined on the map side.
     rows = rows.groupBy(*keys, "_s").agg(F.max("_e").alias("_e"), F.count(F.lit(1)).alias("_n"))
-    rows = rows.withColumn("_cell", F.floor(F.unix_micros("_s") / F.lit(cell_us)))
-    w = Window.partitionBy(*keys, "_cell").orderBy("_s")
+    # All that follows goes by these columns: windows, the cells' totals and the joins with what they carry share one partitioning.
+    columns, by = cell_keys(rows, keys, "_s", cell_us)
+    w = Window.partitionBy(*by).orderBy("_s")
     # Sorted once and written: both carries and the labels start from here.
-    rows = materialize(rows.withColumn("_m", F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1))), "starts")
-    tops = rows.groupBy(*keys, "_cell").agg(F.max("_e").alias("_top"))
-    rows = _carried(rows, tops, keys, F.max("_top"), "_above")
+    rows = materialize(rows.withColumns(columns).withColumn("_m", F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1))), "starts")
+
+    def carried(rows: DataFrame, cells: DataFrame, value: Column, name: str) -> DataFrame:
+        """``rows`` with ``value`` over all earlier cells of their entity."""
+        return with_cells(rows, cells.select(*by, value.over(earlier_cells(by)).alias(name)), by).select("l.*", f"r.{name}")
+
+    rows = carried(rows, rows.groupBy(*by).agg(F.max("_e").alias("_top")), F.max("_top"), "_above")
     rows = rows.withColumn("_previous", F.greatest("_m", "_above"))
     rows = rows.withColumn("_new", F.when(F.col("_previous").isNull() | (F.col("_s") > F.col("_previous")), 1).otherwise(0))
-    news = rows.groupBy(*keys, "_cell").agg(F.sum("_new").alias("_news"))
+    news = rows.groupBy(*by).agg(F.sum("_new").alias("_news"))
     rows = rows.withColumn("_label", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = _carried(rows, news, keys, F.sum("_news"), "_earlier")
+    rows = carried(rows, news, F.sum("_news"), "_earlier")
     period = F.col("_label") + F.coalesce(F.col("_earlier"), F.lit(0)) - 1
     return rows.groupBy(*keys, period.alias("period")).agg(
         F.min("_s").alias("period_start"), F.max("_e").alias("period_end"), F.sum("_n").alias("n_intervals"),

@@ -19,7 +19,7 @@ DAY_US = 24 * HOUR_US
 BLOCK_ROWS = 50_000
 
 
-def _in_cell(df: DataFrame, keys: Sequence[str], ts: str, cell_us: int) -> tuple[dict[str, Column], list[str]]:
+def cell_keys(df: DataFrame, keys: Sequence[str], ts: str, cell_us: int) -> tuple[dict[str, Column], list[str]]:
     """Columns that name the series and calendar cell of a row without a null: windows, counts and joins by them share one shuffle and one sort, where a null-safe join
     by the keys would shuffle the rows again."""
     at = F.unix_micros(ts) if dict(df.dtypes)[ts].startswith("timestamp") else F.col(ts)
@@ -34,12 +34,12 @@ def _in_cell(df: DataFrame, keys: Sequence[str], ts: str, cell_us: int) -> tuple
     return columns, list(columns)
 
 
-def _earlier(by: Sequence[str]):
+def earlier_cells(by: Sequence[str]):
     """The cells of a series before this one."""
     return Window.partitionBy(*by[1:]).orderBy(by[0]).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _with_cells(rows: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFrame:
+def with_cells(rows: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.alias("l").join(cells.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in by], "inner")
 
 
@@ -49,12 +49,12 @@ def with_position(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str
     Rows are ranked inside (keys, calendar cell); the cells' counts, one row per cell and so bounded by the calendar, give
     the cells' offsets.
     """
-    columns, by = _in_cell(df, keys, ts, cell_us)
+    columns, by = cell_keys(df, keys, ts, cell_us)
     rows = df.withColumns(columns)
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(*by, F.coalesce(F.sum("_n").over(_earlier(by)), F.lit(0)).alias("_offset"))
+    offsets = counts.select(*by, F.coalesce(F.sum("_n").over(earlier_cells(by)), F.lit(0)).alias("_offset"))
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(ts, *tie)))
-    joined = _with_cells(ranked, offsets, by)
+    joined = with_cells(ranked, offsets, by)
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("r._offset") + F.col("l._rank") - 1).alias(out))
 
 
@@ -83,7 +83,7 @@ def running(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], spe
     ``inclusive=False`` ends before the row itself, so ('last', x) is the previous non-null x."""
     whole = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count, "last": lambda c: F.last(c, ignorenulls=True)}
     inputs = {f"_in_{o}": (F.col(c) if isinstance(c, str) else c) for o, (_, c) in specs.items()}
-    columns, by = _in_cell(df, keys, ts, cell_us)
+    columns, by = cell_keys(df, keys, ts, cell_us)
     rows = df.withColumns(columns | inputs)
     here = Window.partitionBy(*by).orderBy(ts, *tie)
     frame = here.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -95,8 +95,8 @@ def running(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], spe
 
     cells = rows.groupBy(*by).agg(*[total(o, f).alias(f"_cell_{o}") for o, (f, _) in specs.items()])
     carry = {"count": F.sum}
-    cells = cells.select(*by, *[carry.get(f, whole[f])(f"_cell_{o}").over(_earlier(by)).alias(f"_carry_{o}") for o, (f, _) in specs.items()])
-    joined = _with_cells(rows, cells, by)
+    cells = cells.select(*by, *[carry.get(f, whole[f])(f"_cell_{o}").over(earlier_cells(by)).alias(f"_carry_{o}") for o, (f, _) in specs.items()])
+    joined = with_cells(rows, cells, by)
 
     def merged(o: str, f: str) -> Column:
         a, b = F.col(f"l._run_{o}"), F.col(f"r._carry_{o}")

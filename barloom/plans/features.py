@@ -250,9 +250,15 @@ def futures_roll(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("gap", F.round("gap", 6))
 
 
-@query("etf_trick")
+@query("etf_trick", f"""WITH RECURSIVE {DAILY_SQL}, p AS (SELECT instrument % 20 AS basket, day AS ts, instrument AS security, o, c FROM daily WHERE c > 0 AND o > 0), t AS (SELECT basket, ts, row_number() OVER (PARTITION BY basket ORDER BY ts) AS rn FROM (SELECT DISTINCT basket, ts FROM p)),
+g AS (SELECT t.basket, t.ts, t.rn, list(p.o ORDER BY m.security) AS o, list(p.c ORDER BY m.security) AS c, list(CASE WHEN p.c IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END ORDER BY m.security) AS held FROM t JOIN (SELECT DISTINCT basket, security FROM p) m USING (basket) LEFT JOIN p ON p.basket = t.basket AND p.ts = t.ts AND p.security = m.security GROUP BY 1, 2, 3),
+n AS (SELECT *, lead(o) OVER (PARTITION BY basket ORDER BY rn) AS nxt FROM g), u AS (SELECT *, [CASE WHEN held[i] > 0 THEN 1 / list_sum(held) / nxt[i] END FOR i IN range(1, len(held) + 1)] AS unit FROM n),
+walk AS (SELECT basket, ts, rn, 1.0::DOUBLE AS value, unit AS h, NULL::DOUBLE[] AS weights, false AS changed, c FROM u WHERE rn = 1
+  UNION ALL SELECT basket, ts1, rn1, value + coalesce(list_sum([h1[i] * (c1[i] - CASE WHEN changed THEN o1[i] ELSE c[i] END) FOR i IN range(1, len(c1) + 1)]), 0), h1, held1, weights IS NULL OR weights <> held1, c1
+  FROM (SELECT w.*, u.ts AS ts1, u.rn AS rn1, u.c AS c1, u.o AS o1, u.held AS held1, CASE WHEN w.changed THEN [v * w.value FOR v IN u.unit] ELSE w.h END AS h1 FROM walk w JOIN u ON u.basket = w.basket AND u.rn = w.rn + 1))
+SELECT basket, ts, round(value, 6) AS value FROM walk""")
 def etf_trick(spark: SparkSession, folder: str) -> DataFrame:
     d = daily(spark, folder).where("c > 0 and o > 0")
     # Baskets of the instruments with the same last digits; equal weights that change with the members present.
     panel = d.select(F.expr("instrument % 20").alias("basket"), F.col("day").alias("ts"), F.col("instrument").alias("security"), F.col("o").alias("open"), F.col("c").alias("close"), F.lit(1.0).alias("alloc"), F.lit(0.0).alias("cost"), F.lit(1.0).alias("rate"))
-    return S.etf_trick(panel, "basket")
+    return S.etf_trick(panel, "basket").withColumn("value", F.round("value", 6))

@@ -1,7 +1,7 @@
 """The ordered folds and time bars over Structured Streaming sources.
 
 Folds keep one pickled machine per series in the state store; the machine is the one of the batch operators. Within a micro-batch a
-series' rows are sorted by (ts, seq); rows older than what a series has already folded are late: they are dropped and counted.
+series' rows are sorted by (ts, seq); rows before what a series has already folded, by ts and then seq, are late: they are dropped and counted.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from barloom.operators.signals import CusumMachine, DynamicZMachine
 
 
 def stream_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], machine: Callable[[], Machine], outputs: str) -> DataFrame:
-    """keys, the machine's ``outputs`` and ``late`` (rows of the series dropped so far) as an append stream. The first column of ``order`` is a timestamp."""
+    """keys, the machine's ``outputs`` and ``late`` (rows of the series dropped so far) as an append stream. The first column of ``order`` is a timestamp, a second one a
+    whole number; equal rows are not late."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.select(*keys).schema)
     names = [part.strip().split()[0] for part in outputs.split(",")]
     moments = {part.strip().split()[0] for part in outputs.split(",") if part.strip().split()[1] == "timestamp"}
@@ -31,15 +32,16 @@ def stream_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], in
         return s.astype("datetime64[us]").astype("int64").to_numpy() if pd.api.types.is_datetime64_any_dtype(s) else s.to_numpy()
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        blob, late, last = state.get if state.exists else (None, 0, -(1 << 62))
+        blob, late, last, tie = state.get if state.exists else (None, 0, -(1 << 62), -(1 << 62))
         m = pickle.loads(blob) if blob is not None else machine()
         rows = pd.concat(list(batches)).sort_values(list(order), kind="stable")
         at = micros(rows[ts].dt.tz_localize(None) if getattr(rows[ts].dt, "tz", None) is not None else rows[ts])
-        fresh = at >= last
+        ties = rows[order[1]].to_numpy("int64") if len(order) > 1 else np.full(len(rows), tie)
+        fresh = (at > last) | ((at == last) & (ties >= tie))
         late += int((~fresh).sum())
-        rows, at = rows[fresh], at[fresh]
+        rows, at, ties = rows[fresh], at[fresh], ties[fresh]
         out = m.feed({c: at if c == ts else micros(rows[c]) for c in inputs}) if len(rows) else {}
-        state.update((pickle.dumps(m), late, int(at[-1]) if len(at) else last))
+        state.update((pickle.dumps(m), late, *((int(at[-1]), int(ties[-1])) if len(at) else (last, tie))))
         n = len(next(iter(out.values()))) if out else 0
         if n:
             pdf = pd.DataFrame({c: pd.to_datetime(out[c], unit="us", utc=True).tz_localize(None) if c in moments else out[c] for c in names})
@@ -49,7 +51,7 @@ def stream_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], in
             yield pdf
 
     used = list(dict.fromkeys([*keys, *order, *inputs]))
-    return stream.select(*used).groupBy(*keys).applyInPandasWithState(step, f"{kept}, {outputs}, late bigint", "machine binary, late bigint, last bigint", "append", GroupStateTimeout.NoTimeout)
+    return stream.select(*used).groupBy(*keys).applyInPandasWithState(step, f"{kept}, {outputs}, late bigint", "machine binary, late bigint, last bigint, tie bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_bars(ticks: DataFrame, keys: Sequence[str], machine: Callable[[], Machine]) -> DataFrame:

@@ -222,11 +222,6 @@ def crossover_strategy(spark: SparkSession, folder: str) -> DataFrame:
     return _out(S.crossover_strategy(_days(spark, folder)), "signal", "turnover", "cost", "net_return")
 
 
-@query("kalman_smoother")
-def kalman_smoother(spark: SparkSession, folder: str) -> DataFrame:
-    return S.kalman_lag_smoother(daily(spark, folder), ["instrument"], "day", "c")
-
-
 def ewm_sql(source: str, q: float) -> str:
     """Mean and bias-corrected deviation with adjusted weights q ** age, over ``source`` (instrument, tm, rn, x) without nulls."""
     return f"""pairs AS (SELECT a.instrument, a.tm, b.x, pow({q!r}, a.rn - b.rn) AS w FROM {source} a JOIN {source} b ON b.instrument = a.instrument AND b.rn <= a.rn),

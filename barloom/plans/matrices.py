@@ -108,23 +108,40 @@ def antithetic_regression(spark: SparkSession, folder: str) -> DataFrame:
 
 # Series.
 
-_KF = "1.0::DOUBLE"
 _Q = "0.001::DOUBLE"
 
 
-@query("kalman_states", f"""WITH RECURSIVE {DAILY_SQL}, n AS (SELECT instrument, max(rn) AS n FROM daily GROUP BY 1),
-fwd AS (SELECT DISTINCT instrument, NULL::BIGINT AS day, 0::BIGINT AS rn, 0.0::DOUBLE AS x0, 1.0::DOUBLE AS x1, 10.0::DOUBLE AS p00, 0.0::DOUBLE AS p01, 10.0::DOUBLE AS p11, 0.0::DOUBLE AS y0, 0.0::DOUBLE AS y1, 0.0::DOUBLE AS q00, 0.0::DOUBLE AS q01, 0.0::DOUBLE AS q11 FROM daily
-  UNION ALL SELECT instrument, day1, rn1, a0 + b00 / (b00 + {_KF}) * (c - a0), a1 + b01 / (b00 + {_KF}) * (c - a0), b00 - b00 * b00 / (b00 + {_KF}), b01 - b00 * b01 / (b00 + {_KF}), b11 - b01 * b01 / (b00 + {_KF}), a0, a1, b00, b01, b11
-  FROM (SELECT f.instrument, d.day AS day1, d.rn AS rn1, d.c, x0 + x1 AS a0, x1 AS a1, p00 + 2 * p01 + p11 + {_Q} / 4 AS b00, p01 + p11 + {_Q} / 2 AS b01, p11 + {_Q} AS b11 FROM fwd f JOIN daily d ON d.instrument = f.instrument AND d.rn = f.rn + 1)),
-bwd AS (SELECT f.instrument, day, rn, x0, x1, x0 AS s0, x1 AS s1, y0, y1, q00, q01, q11 FROM fwd f JOIN n ON n.instrument = f.instrument AND rn = n
-  UNION ALL SELECT instrument, day, rn, x0, x1, x0 + ((p00 + p01) * z11 - p01 * z01) / det * e0 + (p01 * z00 - (p00 + p01) * z01) / det * e1, x1 + ((p01 + p11) * z11 - p11 * z01) / det * e0 + (p11 * z00 - (p01 + p11) * z01) / det * e1, y0, y1, q00, q01, q11
-  FROM (SELECT f.*, b.q00 AS z00, b.q01 AS z01, b.q11 AS z11, b.q00 * b.q11 - b.q01 * b.q01 AS det, b.s0 - b.y0 AS e0, b.s1 - b.y1 AS e1 FROM bwd b JOIN fwd f ON f.instrument = b.instrument AND f.rn = b.rn - 1 WHERE f.rn > 0))
+def _forward_sql(noise: float, slope: float, variance: float) -> str:
+    """Table fwd: the filter's states and predictions after each close; rn 0 is the start."""
+    r = f"(b00 + {noise}::DOUBLE)"
+    return f"""{DAILY_SQL}, n AS (SELECT instrument, max(rn) AS n FROM daily GROUP BY 1),
+fwd AS (SELECT DISTINCT instrument, NULL::BIGINT AS day, 0::BIGINT AS rn, 0.0::DOUBLE AS x0, {slope}::DOUBLE AS x1, {variance}::DOUBLE AS p00, 0.0::DOUBLE AS p01, {variance}::DOUBLE AS p11, 0.0::DOUBLE AS y0, 0.0::DOUBLE AS y1, 0.0::DOUBLE AS q00, 0.0::DOUBLE AS q01, 0.0::DOUBLE AS q11 FROM daily
+  UNION ALL SELECT instrument, day1, rn1, a0 + b00 / {r} * (c - a0), a1 + b01 / {r} * (c - a0), b00 - b00 * b00 / {r}, b01 - b00 * b01 / {r}, b11 - b01 * b01 / {r}, a0, a1, b00, b01, b11
+  FROM (SELECT f.instrument, d.day AS day1, d.rn AS rn1, d.c, x0 + x1 AS a0, x1 AS a1, p00 + 2 * p01 + p11 + {_Q} / 4 AS b00, p01 + p11 + {_Q} / 2 AS b01, p11 + {_Q} AS b11 FROM fwd f JOIN daily d ON d.instrument = f.instrument AND d.rn = f.rn + 1))"""
+
+
+def _backward_sql(more: str, carried: str, end: str) -> str:
+    """A step of the smoother from table bwd to the row before."""
+    return f"""SELECT instrument, day, rn, x0, x1, x0 + ((p00 + p01) * z11 - p01 * z01) / det * e0 + (p01 * z00 - (p00 + p01) * z01) / det * e1, x1 + ((p01 + p11) * z11 - p11 * z01) / det * e0 + (p11 * z00 - (p01 + p11) * z01) / det * e1, y0, y1, q00, q01, q11{more}
+  FROM (SELECT f.*, b.q00 AS z00, b.q01 AS z01, b.q11 AS z11, b.q00 * b.q11 - b.q01 * b.q01 AS det, b.s0 - b.y0 AS e0, b.s1 - b.y1 AS e1{carried} FROM bwd b JOIN fwd f ON f.instrument = b.instrument AND f.rn = b.rn - 1 WHERE f.rn > 0{end})"""
+
+
+@query("kalman_states", f"""WITH RECURSIVE {_forward_sql(1.0, 1.0, 10.0)},
+bwd AS (SELECT f.instrument, day, rn, x0, x1, x0 AS s0, x1 AS s1, y0, y1, q00, q01, q11 FROM fwd f JOIN n ON n.instrument = f.instrument AND rn = n UNION ALL {_backward_sql('', '', '')})
 SELECT instrument, day, round(x0, 5) AS level, round(x1, 5) AS slope, round(s0, 5) AS smooth_level, round(s1, 5) AS smooth_slope FROM bwd""")
 def kalman_states(spark: SparkSession, folder: str) -> DataFrame:
     out = S.kalman_states(daily(spark, folder), KEYS, "day", "c")
     return out.withColumns({c: F.round(c, 5) for c in ("level", "slope", "smooth_level", "smooth_slope")})
 
 
+@query("kalman_smoother", f"""WITH RECURSIVE {_forward_sql(5.0, 0.5, 200.0)},
+bwd AS (SELECT instrument, day, rn, x0, x1, x0 AS s0, x1 AS s1, y0, y1, q00, q01, q11, rn AS since FROM fwd WHERE rn > 0 UNION ALL {_backward_sql(', since', ', b.since', ' AND b.since - b.rn < 4')})
+SELECT b.instrument, b.day, round(s0, 5) AS smoothed, round(s1, 5) AS slope FROM bwd b JOIN n USING (instrument) WHERE since = least(b.rn + 4, n)""")
+def kalman_smoother(spark: SparkSession, folder: str) -> DataFrame:
+    out = S.kalman_lag_smoother(daily(spark, folder), KEYS, "day", "c")
+    return out.withColumns({c: F.round(c, 5) for c in ("smoothed", "slope")})
+
+
 @query("indicator_matrix", f"""WITH {PRICES_SQL}, {LABELS_SQL}, {_CLOSED}, l AS (SELECT * FROM closed WHERE t1 >= t0), s AS (SELECT instrument, min(t0) AS a, max(t1) AS z FROM l GROUP BY 1),
 b AS (SELECT instrument, ts FROM (SELECT instrument, ts FROM prices UNION SELECT instrument, t0 FROM l UNION SELECT instrument, t1 FROM l) JOIN s USING (instrument) WHERE ts BETWEEN a AND z)
 SELECT l.instrument, b.ts, l.t0, l.t1 FROM l JOIN b ON b.instrument = l.instrument AND b.ts BETWEEN l.t0 AND l.t1""")

@@ -306,11 +306,15 @@ def sequential_bagging(spark: SparkSession, folder: str) -> DataFrame:
     return L.series_bagging(_samples(spark, folder, ["instrument"]), KEYS, ["seq"], FEATURES, "label", estimators=8)
 
 
-@query("double_ml")
+@query("double_ml", """WITH t AS (SELECT CAST(target AS DOUBLE) AS y, prob AS d, rets AS x1, coalesce(CAST(pmodel AS DOUBLE), 0) AS x2, (seq % 4 + 4) % 4 AS f FROM train WHERE prob BETWEEN 0 AND 1 AND target IS NOT NULL AND rets BETWEEN -1 AND 1 AND ts IS NOT NULL),
+m AS (SELECT a.f, avg(y) AS my, avg(d) AS md, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS s11, var_pop(x2) AS s22, covar_pop(x1, x2) AS s12, covar_pop(y, x1) AS y1, covar_pop(y, x2) AS y2, covar_pop(d, x1) AS d1, covar_pop(d, x2) AS d2 FROM (SELECT DISTINCT f FROM t) a JOIN t b ON a.f <> b.f GROUP BY 1),
+r AS (SELECT y - my - ((y1 * s22 - y2 * s12) * (x1 - m1) + (y2 * s11 - y1 * s12) * (x2 - m2)) / (s11 * s22 - s12 * s12) AS ry, d - md - ((d1 * s22 - d2 * s12) * (x1 - m1) + (d2 * s11 - d1 * s12) * (x2 - m2)) / (s11 * s22 - s12 * s12) AS rt FROM t JOIN m USING (f)),
+e AS (SELECT sum(rt * ry) / sum(rt * rt) AS effect, sum(rt * rt) AS tt, count(*) AS n FROM r)
+SELECT round(max(effect), 6) AS effect, round(sqrt(sum(pow(rt * (ry - effect * rt), 2))) / max(tt), 6) AS error, max(n) AS n FROM r, e""")
 def double_ml(spark: SparkSession, folder: str) -> DataFrame:
     rows = _samples(spark, folder).withColumn("fold", F.expr("pmod(seq, 4)"))
     out = L.double_ml(rows, "label", "prob", ["rets", "pmodel"], "fold")
-    return spark.createDataFrame([(out["effect"], out["error"], out["n"])], "effect double, error double, n long")
+    return spark.createDataFrame([(round(out["effect"], 6), round(out["error"], 6), out["n"])], "effect double, error double, n long")
 
 
 @query("isotonic_calibration")

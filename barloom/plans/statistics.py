@@ -243,13 +243,19 @@ def sigma_letters(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("instrument", "seq", F.ascii(E.nearest_letter(F.col("price"), keys)).alias("letter"))
 
 
-@query("rolling_entropy")
+_BINS = E.univariate_bins(20)
+
+
+@query("rolling_entropy", f"""WITH {DAILY_SQL}, r AS (SELECT instrument, day, rn, ln(c / {lag_sql('c')}) AS r FROM daily),
+w AS (SELECT instrument, day, list(r) OVER k AS l, min(r) OVER k AS lo, max(r) OVER k AS hi, count(r) OVER k AS n FROM r WINDOW k AS (PARTITION BY instrument ORDER BY rn ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+b AS (SELECT instrument, day, lo, hi, unnest(l) AS x FROM w WHERE n = 20), c AS (SELECT instrument, day, CASE WHEN hi > lo THEN least(floor((x - lo) * ({_BINS} / (hi - lo))), {_BINS - 1}) ELSE 0 END AS i, count(*) / 20.0::DOUBLE AS p FROM b GROUP BY ALL),
+h AS (SELECT instrument, day, -sum(p * ln(p)) AS h FROM c GROUP BY 1, 2) SELECT r.instrument, r.day, round(h.h + 0.0, 6) AS entropy FROM r LEFT JOIN h ON h.instrument = r.instrument AND h.day = r.day""")
 def rolling_entropy(spark: SparkSession, folder: str) -> DataFrame:
     s = _days(spark, folder)
     s.let(r=s.log_return("c"))
     frame = s.w.rowsBetween(-19, 0)
     s.let(window=F.when(F.count("r").over(frame) == 20, F.collect_list("r").over(frame)))
-    return s.rows("instrument", "day", E.histogram_entropy(F.col("window"), E.univariate_bins(20)).alias("entropy"))
+    return s.rows("instrument", "day", F.round(E.histogram_entropy(F.col("window"), _BINS), 6).alias("entropy"))
 
 
 def _panel(spark: SparkSession, folder: str) -> DataFrame:

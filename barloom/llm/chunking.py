@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.tokens import VOCABULARY, encoder, token_bytes
+from barloom.llm.tokens import VOCABULARY, encoder, ship_vocabulary, token_bytes
 
 #: Ends of paragraphs and of lines before a numbered claim, paragraph or heading.
 _STRONG = re.compile(rb"\n[ \t\r]*\n\s*|\n(?=[ \t]*(?:\[?\d{1,4}[\].)]|#|[A-Z][A-Z ]{4,}\n))")
@@ -116,6 +116,7 @@ def split_documents(df: DataFrame, keep: Sequence[str] = ("doc_id",), text: str
     more where the overlap would begin inside a character. Texts within the limit, null and empty ones give no piece;
     repeated rows are split again. Texts are processed whole, each by one task; no shuffle.
     """
+    ship_vocabulary(df.sparkSession, vocabulary)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
     schema = f"{kept}, piece int, n_pieces int, first_token bigint, end_token bigint, shared_tokens int, boundary string, piece_text string"
 

@@ -81,3 +81,15 @@ def test_documents(spark):
     counts = {r.doc_id: r.n_tokens for r in token_counts(df, ["doc_id"]).collect()}
     assert counts[0] == counts[1] == 0 and counts[4] == len(encoder().encode_ordinary(texts[4]))
     assert np.all([r.end_token <= counts[r.doc_id] for r in rows])
+
+
+def test_vocabulary_comes_with_the_job(spark, tmp_path):
+    """The path the tasks are given exists on no executor, but a file of its name was sent."""
+    import shutil
+
+    from barloom.llm.tokens import VOCABULARY, ship_vocabulary, token_counts
+
+    shutil.copy(VOCABULARY, tmp_path / "elsewhere.tiktoken")
+    ship_vocabulary(spark, str(tmp_path / "elsewhere.tiktoken"))
+    df = spark.createDataFrame([(1, "some words to count"), (2, None)], "doc_id long, text string")
+    assert sorted(map(tuple, token_counts(df, ["doc_id"], vocabulary="/nowhere/elsewhere.tiktoken").collect())) == sorted(map(tuple, token_counts(df, ["doc_id"]).collect()))

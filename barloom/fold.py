@@ -64,6 +64,39 @@ def groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[p
         yield pa.Table.from_batches(parts).combine_chunks()
 
 
+#: Series and values that ``fold_together`` hands over at once.
+TOGETHER_SERIES, TOGETHER_VALUES = 2048, 2_000_000
+
+
+def fold_together(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, fn: Callable[[list[np.ndarray]], dict[str, np.ndarray]], outputs: str) -> DataFrame:
+    """keys and the double ``outputs`` of fn, which gets the values of many whole series in one call, without the null ones, and returns an entry for each. A series of
+    any length is held in memory."""
+    rows = df.select(*keys, *order, df[value].cast("double").alias("_x")).repartition(*keys).sortWithinPartitions(*keys, *order)
+    kept = df.select(*keys).schema
+    names = [x.strip() for x in outputs.split(",")]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{o} double" for o in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fitted() -> pa.RecordBatch:
+            out = fn(series)
+            columns = [pa.concat_arrays([h.column(k).combine_chunks() for h in heads]) for k in keys]
+            return pa.RecordBatch.from_arrays([*columns, *[pa.array(np.asarray(out[o], dtype=float), from_pandas=True) for o in names]], names=[*keys, *names])
+
+        series: list[np.ndarray] = []
+        heads: list[pa.Table] = []
+        for g in groups(batches, keys):
+            x = g.column("_x").to_numpy().astype(float)
+            heads.append(pa.table({k: g.column(k).slice(0, 1) for k in keys}))
+            series.append(x[~np.isnan(x)])
+            if len(series) >= TOGETHER_SERIES or max(map(len, series)) * len(series) >= TOGETHER_VALUES:
+                yield fitted()
+                series, heads = [], []
+        if series:
+            yield fitted()
+
+    return rows.mapInArrow(run, schema)
+
+
 def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], machine: Callable[[], Machine], outputs: str) -> DataFrame:
     """keys and the machine's ``outputs`` (a DDL list; timestamps as epoch microseconds in the machine's arrays)."""
     rows = df.select(*dict.fromkeys([*keys, *order, *inputs])).repartition(*keys).sortWithinPartitions(*keys, *order)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-from barloom.numeric.optimize import nelder_mead
+from barloom.numeric.optimize import nelder_mead, nelder_mead_many
 
 VOLATILITY_MODELS = ("arch", "garch", "egarch", "garchm", "figarch")
 #: Free parameters of each likelihood: a shorter series has no fit.
@@ -237,28 +237,54 @@ def informed_trading(buys: np.ndarray, sells: np.ndarray, start: Sequence[float]
     return float(a * d / bottom) if bottom else float("nan")
 
 
+def _trend_losses(z: np.ndarray, alive: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """The negative log likelihood of each column of z for its row of logs; the first alive[t] columns have a value in row t."""
+    h, q1, q2 = np.ascontiguousarray(np.exp(np.clip(logs, -30, 10)).T)
+    total, x0, x1 = np.zeros(len(h)), z[0].copy(), np.zeros(len(h))
+    p00, p01, p10, p11 = np.full(len(h), 1e4), np.zeros(len(h)), np.zeros(len(h)), np.full(len(h), 1e4)
+    sums = total
+    for v, m in zip(z, alive.tolist()):
+        if m < len(sums):
+            sums, x0, x1, p00, p01, p10, p11, h, q1, q2 = (c[:m] for c in (sums, x0, x1, p00, p01, p10, p11, h, q1, q2))
+        x0 = x0 + x1
+        p00 = (p00 + p10) + (p01 + p11) + q1
+        p01, p10, p11 = p01 + p11, p10 + p11, p11 + q2
+        s = p00 + h
+        e = v[:m] - x0
+        sums += 0.5 * (np.log(2 * math.pi * s) + e * e / s)
+        k0, k1 = p00 / s, p10 / s
+        x0, x1 = x0 + k0 * e, x1 + k1 * e
+        p00, p01, p10, p11 = p00 - k0 * p00, p01 - k0 * p01, p10 - k1 * p00, p11 - k1 * p01
+    return total
+
+
+def local_trends(series: Sequence[np.ndarray]) -> dict[str, np.ndarray]:
+    """Local linear trends by maximum likelihood, many series at once: variances of measurement, level and slope. Each series has the fit that it has alone."""
+    lengths = np.array([len(x) for x in series])
+    order = np.argsort(-lengths, kind="stable")  # the series that go on at a time are the first ones
+    scale = np.array([float(np.std(series[i])) or 1.0 for i in order])
+    z = np.zeros((lengths.max(), len(order)))
+    for j, i in enumerate(order):
+        z[: lengths[i], j] = np.asarray(series[i], dtype=float) / scale[j]
+    ends = np.sort(lengths)
+
+    def losses(lanes: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        if len(lanes) == len(order):
+            return _trend_losses(z, len(order) - np.searchsorted(ends, np.arange(len(z)), side="right"), logs)
+        own = lengths[order[lanes]]
+        alive = len(lanes) - np.searchsorted(own[::-1], np.arange(own[0]), side="right")
+        return _trend_losses(z[: own[0], lanes], alive, logs)
+
+    with np.errstate(all="ignore"):
+        logs, v = nelder_mead_many(losses, len(order), [-2.0, -2.0, -4.0], steps=200)
+    fitted = np.exp(np.clip(logs, -30, 10)) * (scale**2)[:, None]
+    back = np.argsort(order)
+    return {"measurement": fitted[back, 0], "level": fitted[back, 1], "slope": fitted[back, 2], "loglik": (-v - lengths[order] * np.log(scale))[back]}
+
+
 def local_trend(z: np.ndarray) -> dict[str, float]:
     """Local linear trend by maximum likelihood: variances of measurement, level and slope."""
-    z = np.asarray(z, dtype=float)
-    scale = z.std() or 1.0
-
-    def loss(logs: np.ndarray) -> float:
-        h, q1, q2 = np.exp(np.clip(logs, -30, 10))
-        x, p = np.array([z[0] / scale, 0.0]), np.eye(2) * 1e4
-        f, q = np.array([[1.0, 1.0], [0.0, 1.0]]), np.diag([q1, q2])
-        total = 0.0
-        for v in z / scale:
-            x, p = f @ x, f @ p @ f.T + q
-            s = p[0, 0] + h
-            e = v - x[0]
-            total += 0.5 * (math.log(2 * math.pi * s) + e * e / s)
-            k = p[:, 0] / s
-            x, p = x + k * e, p - np.outer(k, p[0])
-        return total
-
-    logs, v = nelder_mead(loss, [-2.0, -2.0, -4.0], steps=200)
-    h, q1, q2 = np.exp(np.clip(logs, -30, 10)) * scale**2
-    return {"measurement": float(h), "level": float(q1), "slope": float(q2), "loglik": -v - len(z) * math.log(scale)}
+    return {k: float(v[0]) for k, v in local_trends([z]).items()}
 
 
 def partial_autocorrelation(acf: Sequence[float]) -> list[float]:

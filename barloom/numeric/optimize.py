@@ -54,6 +54,55 @@ def nelder_mead(f: Callable[[np.ndarray], float], x0: Sequence[float], bounds: S
     return points[best], float(values[best])
 
 
+def nelder_mead_many(f: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int, x0: Sequence[float], steps: int = 2000, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """``nelder_mead`` without bounds for n functions at once, which take the same steps as alone: their best points and values. f(lanes, points) gives
+    the values of the functions numbered ``lanes``, in ascending order, each at its own point."""
+
+    def value(lanes: np.ndarray, x: np.ndarray) -> np.ndarray:
+        v = f(lanes, x) if len(lanes) else np.zeros(0)
+        return np.where(np.isfinite(v), v, 1e300)
+
+    start = np.asarray(x0, dtype=float)
+    simplex = np.repeat(start[None], len(start) + 1, axis=0)
+    for i, x in enumerate(start):
+        simplex[i + 1, i] += 0.05 * abs(x) if x else 0.00025
+    everyone = np.arange(n)
+    all_points = np.repeat(simplex[None], n, axis=0)
+    all_values = np.stack([value(everyone, all_points[:, i]) for i in range(len(simplex))], axis=1)
+    going = everyone
+    for _ in range(steps):
+        points, values = all_points[going], all_values[going]
+        order = np.argsort(values, axis=1, kind="stable")
+        points, values = np.take_along_axis(points, order[:, :, None], axis=1), np.take_along_axis(values, order, axis=1)
+        close = np.abs(values[:, -1] - values[:, 0]) <= tol * (np.abs(values[:, 0]) + tol)
+        close &= np.abs(points[:, 1:] - points[:, :1]).max(axis=(1, 2)) <= 1e-8 * (1 + np.abs(points[:, 0]).max(axis=1))
+        all_points[going], all_values[going] = points, values
+        going, points, values = going[~close], points[~close], values[~close]
+        if not len(going):
+            break
+        worst, last = points[:, -1].copy(), values[:, -1].copy()
+        center = points[:, :-1].mean(axis=1)
+        r = center - (worst - center)
+        vr = value(going, r)
+        better = vr < values[:, 0]
+        kept = ~better & (vr < values[:, -2])
+        t = np.where(better, -2.0, np.where(vr < last, -0.5, 0.5))
+        second = np.flatnonzero(~kept)
+        c, vc = r.copy(), vr.copy()
+        c[second] = center[second] + t[second, None] * (worst[second] - center[second])
+        vc[second] = value(going[second], c[second])
+        taken = np.where(better, vc < vr, ~kept & (vc < np.minimum(vr, last)))
+        points[:, -1] = np.where(taken[:, None], c, np.where((better | kept)[:, None], r, worst))
+        values[:, -1] = np.where(taken, vc, np.where(better | kept, vr, last))
+        shrunk = np.flatnonzero(~better & ~kept & ~taken)
+        points[shrunk, 1:] = points[shrunk, :1] + 0.5 * (points[shrunk, 1:] - points[shrunk, :1])
+        for i in range(1, len(simplex)):
+            values[shrunk, i] = value(going[shrunk], points[shrunk, i])
+        all_points[going], all_values[going] = points, values
+    best = np.argmin(all_values, axis=1)
+    return all_points[everyone, best], all_values[everyone, best]
+
+
 def quadratic_program(q: np.ndarray, c: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int = 20_000) -> np.ndarray | None:
     """Minimises x'qx / 2 + c'x with a x = b and low <= x <= high; None if no point satisfies that. Operator splitting, then an exact solve on
     the active bounds."""

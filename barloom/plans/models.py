@@ -10,7 +10,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.fold import fold
+from barloom.fold import fold, fold_together
 from barloom.numeric import models as N
 from barloom.operators import betsize as Z
 from barloom.operators import ml as L
@@ -127,13 +127,16 @@ def hidden_regimes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("local_trend")
 def local_trend(spark: SparkSession, folder: str) -> DataFrame:
-    def fit(x: np.ndarray) -> dict[str, np.ndarray]:
-        if len(x) < N.TREND_PARAMETERS:
-            return {k: np.array([np.nan]) for k in ("measurement", "level", "slope", "loglik")}
-        out = N.local_trend(np.log(x))
-        return {k: np.array([v]) for k, v in out.items()}
-
-    return _per_series(daily(spark, folder).withColumn("c", F.when(F.col("c") > 0, F.col("c"))), "day", "c", fit, "measurement double, level double, slope double, loglik double")
+    def fit(series: list[np.ndarray]) -> dict[str, np.ndarray]:
+        out = {k: np.full(len(series), np.nan) for k in ("measurement", "level", "slope", "loglik")}
+        long = [i for i, x in enumerate(series) if len(x) >= N.TREND_PARAMETERS]
+        if long:
+            for k, v in N.local_trends([np.log(series[i]) for i in long]).items():
+                out[k][long] = v
+        return out
+
+    days = daily(spark, folder).withColumn("c", F.when(F.col("c") > 0, F.col("c")))
+    return fold_together(days, KEYS, ["day"], "c", fit, "measurement, level, slope, loglik")
 
 
 @query("informed_trading")

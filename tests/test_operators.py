@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -542,6 +543,34 @@ def test_short_series_are_fitted():
     assert math.isfinite(models.local_trend(r.standard_normal(models.TREND_PARAMETERS))["loglik"])
 
 
+def test_many_trends_are_fitted_together_as_each_alone():
+    r = np.random.default_rng(5)
+    series = [np.cumsum(r.standard_normal(n)) for n in (40, 3, 61, 40, 25)] + [np.full(10, 2.0)]
+
+    def alone(z):
+        scale = z.std() or 1.0
+
+        def loss(logs):
+            h, q1, q2 = np.exp(np.clip(logs, -30, 10))
+            x, p, f, total = np.array([z[0] / scale, 0.0]), np.eye(2) * 1e4, np.array([[1.0, 1.0], [0.0, 1.0]]), 0.0
+            for v in z / scale:
+                x, p = f @ x, f @ p @ f.T + np.diag([q1, q2])
+                s, e = p[0, 0] + h, v - x[0]
+                total += 0.5 * (math.log(2 * math.pi * s) + e * e / s)
+                x, p = x + p[:, 0] / s * e, p - np.outer(p[:, 0] / s, p[0])
+            return total
+
+        logs, v = nelder_mead(loss, [-2.0, -2.0, -4.0], steps=200)
+        return [*(np.exp(np.clip(logs, -30, 10)) * scale**2), -v - len(z) * math.log(scale)]
+
+    out = models.local_trends(series)
+    assert np.allclose(np.column_stack([out[k] for k in ("measurement", "level", "slope", "loglik")]), [alone(z) for z in series], rtol=1e-6)
+    # One by one these took minutes.
+    start = time.process_time()
+    assert np.isfinite(models.local_trends([np.cumsum(r.standard_normal(60)) for _ in range(400)])["loglik"]).all()
+    assert time.process_time() - start < 60
+
+
 def test_figarch_sums_a_thousand_lags_for_every_length():
     r = 0.5 + np.random.default_rng(3).random(1300)
     omega, phi, d, beta = 0.1, 0.2, 0.4, 0.3

@@ -9,9 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from barloom.joins import interval_sums, range_join, sweep, range_join
-from barloom.ordering import running
+from barloom.ordering import HOUR_US, cell_keys, earlier_cells, running, with_cells
 
 
 def closed_labels(labels: DataFrame, prices: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
@@ -66,12 +67,38 @@ def indicator_rows(points: DataFrame, labels: DataFrame, keys: Sequence[str], ts
     return range_join(bars, labels.select(*keys, "t0", "t1"), keys, ts, "t0", "t1").select(*keys, ts, "t0", "t1")
 
 
-def label_uniqueness(indicator: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
-    """keys, t0, t1 and ``uniqueness``: the mean over a label's bars of 1 / labels at the bar, from ``indicator_rows``; equal labels are one row with ``n_labels``."""
-    counts = indicator.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_n"))
-    l, r = indicator.alias("l"), counts.alias("r")
-    both = l.join(r, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, ts]]).select("l.*", "r._n")
-    return both.groupBy(*keys, "t0", "t1").agg(F.avg(F.lit(1.0) / F.col("_n")).alias("uniqueness"), (F.count(F.lit(1)) / F.countDistinct(ts)).cast("bigint").alias("n_labels"))
+def label_uniqueness(points: DataFrame, labels: DataFrame, keys: Sequence[str], ts: str = "ts", cell_us: int = 6 * HOUR_US) -> DataFrame:
+    """keys, t0, t1 and ``uniqueness``: the mean over a label's bars, those of ``indicator_rows``, of 1 / labels at the bar; equal labels are one row with ``n_labels``.
+    A label is the difference of running sums at its two ends and meets no other bar. The sums are whole numbers of 2**-60, in two parts, so differences are exact."""
+    known = labels.where(F.col("t1") >= F.col("t0")).where(" and ".join(f"`{k}` is not null" for k in keys)).groupBy(*keys, "t0", "t1").agg(F.count(F.lit(1)).alias("n_labels"))
+    none = F.lit(0).cast("bigint")
+    ends = F.explode(F.array(F.struct(F.col("t0").alias("t"), F.col("n_labels").alias("o"), none.alias("c")), F.struct(F.col("t1").alias("t"), none.alias("o"), F.col("n_labels").alias("c")))).alias("_e")
+    events = known.select(*keys, ends).select(*keys, F.col("_e.t").alias("_t"), F.col("_e.o").alias("_opened"), F.col("_e.c").alias("_closed"))
+    events = events.unionByName(points.where(F.col(ts).isNotNull()).select(*keys, F.col(ts).alias("_t"), none.alias("_opened"), none.alias("_closed")))
+    columns, by = cell_keys(events, keys, "_t", cell_us)
+    bars = events.select("_t", "_opened", "_closed", *[c.alias(n) for n, c in columns.items()]).repartition(*by).groupBy(*by, "_t").agg(F.sum("_opened").alias("_opened"), F.sum("_closed").alias("_closed"))
+    here = Window.partitionBy(*by).orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+
+    def carried(rows: DataFrame, sums: Sequence[str]) -> DataFrame:
+        return rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums]).select(*by, *[F.coalesce(F.sum(c).over(earlier_cells(by)), none).alias(f"_before{c}") for c in sums])
+
+    net = bars.withColumn("_net", F.col("_opened") - F.col("_closed"))
+    held = with_cells(net.withColumn("_run", F.sum("_net").over(here)), carried(net, ["_net"]), by)
+    held = held.select(*[F.col(f"l.{c}") for c in [*by, "_t", "_opened"]], F.col("l._closed"), (F.col("l._run") + F.col("r._before_net") + F.col("l._closed")).alias("_n")).where("_n > 0")
+    parts = ["_high", "_low", "_bars"]
+    share = held.withColumn("_u", F.expr(f"({1 << 60} + _n div 2) div _n"))
+    share = share.select(*by, "_t", (F.col("_opened") + F.col("_closed") > 0).alias("_is_end"), F.shiftright("_u", 30).alias("_high"), F.col("_u").bitwiseAND((1 << 30) - 1).alias("_low"), F.lit(1).cast("bigint").alias("_bars"))
+    runs = with_cells(share.withColumns({f"_run{c}": F.sum(c).over(here) for c in parts}).where("_is_end"), carried(share, parts), by)
+    runs = runs.select(*[F.col(f"l.{c}") for c in [*by, "_t", *parts]], *[(F.col(f"l._run{c}") + F.col(f"r._before{c}")).alias(f"_run{c}") for c in parts])
+
+    ends = F.explode(F.array(F.struct(F.col("t0").alias("t"), F.lit(False).alias("last")), F.struct(F.col("t1").alias("t"), F.lit(True).alias("last")))).alias("_e")
+    wanted = known.select(*keys, "t0", "t1", "n_labels", ends).select(*keys, "t0", "t1", "n_labels", F.col("_e.t").alias("_t"), F.col("_e.last").alias("_last"))
+    wanted = wanted.withColumns(cell_keys(wanted, keys, "_t", cell_us)[0])
+    met = wanted.alias("l").join(runs.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*by, "_t"]])
+    signed = [F.sum(F.when(F.col("l._last"), F.col(f"r._run{c}")).otherwise(F.col(f"r.{c}") - F.col(f"r._run{c}"))).alias(c) for c in parts]
+    out = met.groupBy(*[F.col(f"l.{c}") for c in [*keys, "t0", "t1"]]).agg(*signed, F.max("l.n_labels").alias("n_labels"))
+    total = F.col("_high") / F.lit(float(1 << 30)) + F.col("_low") / F.lit(float(1 << 60))
+    return out.select(*keys, "t0", "t1", (total / F.col("_bars")).alias("uniqueness"), "n_labels")
 
 
 class Bootstrap:

@@ -19,10 +19,10 @@ from barloom.operators import matrices as M
 from barloom.operators import signals as S
 from barloom.operators import weights as W
 from barloom.plans.features import _days, lag_sql
-from barloom.plans.inputs import DAILY_SQL, LABELS_SQL, PRICES_SQL, SIGNS_SQL, TICKS_SQL, daily, ticks
+from barloom.plans.inputs import DAILY_SQL, LABELS_SQL, PRICES_SQL, SIGNS_SQL, TICKS_SQL, daily, labels, ticks
 from barloom.plans.labels import _CLOSED, _closed
 from barloom.plans.models import _panel_returns
-from barloom.plans.registry import query
+from barloom.plans.registry import query, table
 from barloom.plans.statistics import _MOMENTS, _PAIRS, _RET, _panel, _returns
 from barloom.shared import shared_folder
 from barloom.sources import ticks as files
@@ -155,8 +155,10 @@ b AS (SELECT instrument, ts FROM (SELECT instrument, ts FROM prices UNION SELECT
 i AS (SELECT l.instrument, b.ts, l.t0, l.t1, count(*) OVER (PARTITION BY l.instrument, b.ts) AS n FROM l JOIN b ON b.instrument = l.instrument AND b.ts BETWEEN l.t0 AND l.t1)
 SELECT instrument, t0, t1, round(avg(1.0::DOUBLE / n), 7) AS uniqueness, CAST(count(*) / count(DISTINCT ts) AS BIGINT) AS n_labels FROM i GROUP BY 1, 2, 3""")
 def label_uniqueness(spark: SparkSession, folder: str) -> DataFrame:
-    p, l = _closed(spark, folder)
-    return W.label_uniqueness(W.indicator_rows(p, l, KEYS), KEYS).withColumn("uniqueness", F.round("uniqueness", 7))
+    """The bars' times may come more than once, so they are neither made unique nor written first."""
+    p = table(spark, folder, "bars").where("date_time is not null and close > 0").select("instrument", F.unix_micros("date_time").alias("ts"))
+    l = W.closed_labels(labels(spark, folder), p, KEYS).where("t1 is not null and t1 >= t0")
+    return W.label_uniqueness(p, l, KEYS).withColumn("uniqueness", F.round("uniqueness", 7))
 
 
 _Z95 = 1.6448536269514722

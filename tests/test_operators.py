@@ -543,6 +543,35 @@ def test_short_series_are_fitted():
     assert math.isfinite(models.local_trend(r.standard_normal(models.TREND_PARAMETERS))["loglik"])
 
 
+@pytest.mark.parametrize("cell", [7, 1000])
+def test_label_uniqueness_equals_the_indicator_matrix(spark, cell):
+    r = np.random.default_rng(6)
+    points = [(k, int(t)) for k in (1, 2) for t in r.integers(0, 200, 150)] + [(1, 50), (3, 5), (None, 5), (1, None)]
+    starts = r.integers(-5, 180, 60)
+    rows = [(int(1 + i % 2), int(a), int(a + b)) for i, (a, b) in enumerate(zip(starts, r.integers(0, 40, 60)))]
+    rows += rows[:3] + [(4, 1, 9), (4, 9, 12), (1, 30, 29), (None, 1, 5), (2, 10, None)]
+    p, l = spark.createDataFrame(points, "k long, ts long"), spark.createDataFrame(rows, "k long, t0 long, t1 long")
+    ones = weights.indicator_rows(p, l.where("t1 >= t0"), ["k"]).toPandas()
+    ones["u"] = 1 / ones.groupby(["k", "ts"]).t0.transform("size")
+    g = ones.groupby(["k", "t0", "t1"])
+    want = pd.DataFrame({"uniqueness": g.u.mean(), "n_labels": g.size() / g.ts.nunique()}).reset_index()
+    got = weights.label_uniqueness(p, l, ["k"], cell_us=cell).toPandas().sort_values(["k", "t0", "t1"])
+    assert (got[["k", "t0", "t1", "n_labels"]].to_numpy() == want[["k", "t0", "t1", "n_labels"]].to_numpy()).all()
+    assert np.abs(got.uniqueness.to_numpy() - want.uniqueness.to_numpy()).max() < 1e-14
+
+
+def test_label_uniqueness_makes_no_pairs(spark):
+    """20,000 labels that hold nearly all of 40,000 bars: 400 million ones."""
+    n = 20_000
+    l = spark.range(n).selectExpr("1L as k", "id as t0", f"id + {n} as t1")
+    out = weights.label_uniqueness(l.selectExpr("k", "t0 as ts"), l, ["k"], cell_us=1000).toPandas().sort_values("t0")
+    held = np.minimum(np.arange(2 * n) + 1, np.minimum(n + 1, 2 * n - np.arange(2 * n)))
+    held = np.minimum(held, n)
+    sums = np.concatenate([[0], np.cumsum(1 / held)])
+    at = np.arange(n)
+    assert np.allclose(out.uniqueness, (sums[at + n + 1] - sums[at]) / (n + 1), rtol=1e-9)
+
+
 def test_many_trends_are_fitted_together_as_each_alone():
     r = np.random.default_rng(5)
     series = [np.cumsum(r.standard_normal(n)) for n in (40, 3, 61, 40, 25)] + [np.full(10, 2.0)]

@@ -24,7 +24,7 @@ from barloom.plans.labels import _CLOSED, _closed
 from barloom.plans.models import _panel_returns
 from barloom.plans.registry import query, table
 from barloom.plans.statistics import _MOMENTS, _PAIRS, _RET, _panel, _returns
-from barloom.shared import shared_folder
+from barloom.shared import materialize, shared_folder
 from barloom.sources import ticks as files
 
 KEYS = ["instrument"]
@@ -257,9 +257,9 @@ def csv_bars_to_parquet(spark: SparkSession, folder: str) -> DataFrame:
 @query("panels_from_csv", f"WITH {DAILY_SQL} SELECT day AS ts, instrument AS security, o AS open, c AS close FROM daily")
 def panels_from_csv(spark: SparkSession, folder: str) -> DataFrame:
     """Frames of dates by securities as CSV files, one for opens and one for closes, side by side as long rows."""
-    out, d = _scratch(spark), daily(spark, folder)
+    out, d = _scratch(spark), materialize(daily(spark, folder).select("instrument", "day", "o", "c"), "panel")
     for name, c in (("open", "o"), ("close", "c")):
-        files.write_bars(d.groupBy(F.col("day").alias("ts")).pivot("instrument").agg(F.first(c)), f"{out}/{name}", "csv")
+        files.write_panel(d.withColumnRenamed("day", "ts"), f"{out}/{name}", "ts", "instrument", c)
     return files.read_panels(spark, {n: f"{out}/{n}" for n in ("open", "close")}).select(F.col("ts").cast("bigint").alias("ts"), F.col("security").cast("bigint").alias("security"), "open", "close").where("open is not null and close is not null")
 
 

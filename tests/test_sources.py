@@ -59,3 +59,41 @@ def test_raw_text_and_panels(spark, tmp_path):
     one = spark.createDataFrame([(1, "s", 5.0)], "ts long, security string, value double")
     out = S.join_panels({"open": one, "close": one.withColumn("value", F.lit(6.0))}).first()
     assert (out.open, out.close) == (5.0, 6.0)
+
+
+def test_panels_of_more_securities_than_a_plan_has_columns(spark, tmp_path):
+    """A pivot ends at 10,000 columns and Spark's CSV reader at 20,480."""
+    n = 21_000
+    rows = spark.range(n).selectExpr("explode(sequence(1L, 2L)) as ts", "id * 3 as instrument").selectExpr("*", "ts + instrument / 7D as o", "if(instrument % 2 = 0, ts - 0.5D, null) as c").where(f"not (ts = 2 and instrument >= {3 * n - 6})")
+    for x in "oc":
+        S.write_panel(rows, str(tmp_path / x), "ts", "instrument", x)
+    out = S.read_panels(spark, {x: str(tmp_path / x) for x in "oc"})
+    assert out.count() == 2 * n
+    found = out.where("o is not null").selectExpr("cast(ts as bigint) as ts", "cast(security as bigint) as instrument", "o", "c")
+    assert found.count() == 2 * n - 2 and found.exceptAll(rows).isEmpty() and rows.exceptAll(found).isEmpty()
+
+
+def test_panels_are_read_by_each_files_header(spark, tmp_path):
+    a, b = tmp_path / "a", tmp_path / "b"
+    a.mkdir()
+    b.mkdir()
+    (a / "1.csv").write_text('ts,x,"y,""z""",w\n1,1.5,2,3\n\n2,,4\n')
+    (a / "2.csv").write_text('w,ts,x\n"7",3,8\n')
+    (b / "1.csv").write_text('"y,\\"z\\"",ts,x\n10,1,20\n30,2,40\n50,3,60\n70,4,80\n')
+    got = {tuple(r) for r in S.read_panels(spark, {"a": str(a), "b": str(b)}).collect()}
+    assert got == {("1", "x", 1.5, 20.0), ("1", 'y,"z"', 2.0, 10.0), ("2", "x", None, 40.0), ("2", 'y,"z"', 4.0, 30.0), ("3", "x", 8.0, 60.0)}
+    with pytest.raises(ValueError, match="day is missing"):
+        S.read_panels(spark, {"a": str(a)}, "day")
+
+
+def test_a_written_panel_is_plain_csv(spark, tmp_path):
+    names = ["a,b", 'q"u', "back\\slash", " blank", "plain"]
+    rows = spark.createDataFrame([(t, s, t + i / 4) for t in (1, 2) for i, s in enumerate(names) if (t, i) not in ((1, 0), (2, 4), (1, 2))] + [(1, None, 9.0)], "t long, s string, v double")
+    S.write_panel(rows.unionAll(rows), str(tmp_path / "p"), "t", "s", "v")
+    wide = spark.read.option("header", True).csv(str(tmp_path / "p"))
+    assert set(wide.columns) == {"t", *names}
+    want = {(str(r.t), r.s): r.v for r in rows.where("s is not null").collect()}
+    assert {(r["t"], s): float(r[s]) for r in wide.collect() for s in names if r[s] is not None} == want
+    assert {(r.t, r.security): r.v for r in S.read_panels(spark, {"v": str(tmp_path / "p")}, "t").where("v is not null").collect()} == want
+    S.write_panel(rows.where("false"), str(tmp_path / "none"), "t", "s", "v")
+    assert S.read_panels(spark, {"v": str(tmp_path / "none")}, "t").count() == 0

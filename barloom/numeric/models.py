@@ -242,19 +242,40 @@ def _trend_losses(z: np.ndarray, alive: np.ndarray, logs: np.ndarray) -> np.ndar
     h, q1, q2 = np.ascontiguousarray(np.exp(np.clip(logs, -30, 10)).T)
     total, x0, x1 = np.zeros(len(h)), z[0].copy(), np.zeros(len(h))
     p00, p01, p10, p11 = np.full(len(h), 1e4), np.zeros(len(h)), np.zeros(len(h)), np.full(len(h), 1e4)
-    sums = total
+    sums, s, e, k0, k1, a = total, *np.empty((5, len(h)))
     for v, m in zip(z, alive.tolist()):
         if m < len(sums):
-            sums, x0, x1, p00, p01, p10, p11, h, q1, q2 = (c[:m] for c in (sums, x0, x1, p00, p01, p10, p11, h, q1, q2))
-        x0 = x0 + x1
-        p00 = (p00 + p10) + (p01 + p11) + q1
-        p01, p10, p11 = p01 + p11, p10 + p11, p11 + q2
-        s = p00 + h
-        e = v[:m] - x0
-        sums += 0.5 * (np.log(2 * math.pi * s) + e * e / s)
-        k0, k1 = p00 / s, p10 / s
-        x0, x1 = x0 + k0 * e, x1 + k1 * e
-        p00, p01, p10, p11 = p00 - k0 * p00, p01 - k0 * p01, p10 - k1 * p00, p11 - k1 * p01
+            sums, s, e, k0, k1, a, x0, x1, p00, p01, p10, p11, h, q1, q2 = (c[:m] for c in (sums, s, e, k0, k1, a, x0, x1, p00, p01, p10, p11, h, q1, q2))
+        x0 += x1
+        p00 += p10
+        np.add(p01, p11, out=p01)
+        p00 += p01
+        p00 += q1
+        p10 += p11
+        p11 += q2
+        np.add(p00, h, out=s)
+        np.subtract(v[:m], x0, out=e)
+        np.divide(p00, s, out=k0)
+        np.divide(p10, s, out=k1)
+        np.multiply(k0, e, out=a)
+        x0 += a
+        np.multiply(k1, e, out=a)
+        x1 += a
+        np.multiply(k1, p01, out=a)
+        p11 -= a
+        np.multiply(k0, p01, out=a)
+        p01 -= a
+        k1 *= p00
+        p10 -= k1
+        k0 *= p00
+        p00 -= k0
+        e *= e
+        e /= s
+        s *= 2 * math.pi
+        np.log(s, out=s)
+        s += e
+        s *= 0.5
+        sums += s
     return total
 
 
